@@ -83,9 +83,8 @@ def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
-def with_batches(df: DataFrame, keys: Sequence[str | Column], size: int = 64,
-                 seed: int = 42) -> DataFrame:
-    """Add ``batch_id``: consecutive runs of ``size`` rows in a reproducible shuffled order.
+def with_shuffle_rank(df: DataFrame, keys: Sequence[str | Column], seed: int = 42) -> DataFrame:
+    """Add ``_rank``: 0-based position in a reproducible shuffled order.
 
     The order is an MD5 of the row's unique ``keys``. Its first digits spread rows evenly over up
     to 65,536 groups; ranking happens inside a group and group offsets come from a count table.
@@ -96,7 +95,13 @@ def with_batches(df: DataFrame, keys: Sequence[str | Column], size: int = 64,
     counts = rows.groupBy("_g").count()
     start = counts.select("_g", (F.sum("count").over(Window.orderBy("_g")) - F.col("count"))
                           .alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_g").orderBy("_h")) - 1
-    return (rows.withColumn("_rank", rank).join(start, "_g")
-            .withColumn("batch_id", F.floor((F.col("_start") + F.col("_rank")) / size))
-            .drop("_h", "_g", "_rank", "_start"))
+    within = F.row_number().over(Window.partitionBy("_g").orderBy("_h")) - 1
+    return (rows.withColumn("_rank", within).join(start, "_g")
+            .withColumn("_rank", F.col("_start") + F.col("_rank")).drop("_h", "_g", "_start"))
+
+
+def with_batches(df: DataFrame, keys: Sequence[str | Column], size: int = 64,
+                 seed: int = 42) -> DataFrame:
+    """Add ``batch_id``: consecutive runs of ``size`` rows in a reproducible shuffled order."""
+    return (with_shuffle_rank(df, keys, seed)
+            .withColumn("batch_id", F.floor(F.col("_rank") / size)).drop("_rank"))
