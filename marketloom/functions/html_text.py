@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: where the main content of a page is looked for, and the fallback tags
 MAIN_CLASSES = {
@@ -114,7 +115,7 @@ def main_text(html: str) -> str:
     return body or "\n".join(t.strip() for t in texts[start:end] if t.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_main_text(pages: pd.Series) -> pd.Series:
     """``main_text`` over Arrow batches."""
     return pages.map(lambda h: None if h is None else main_text(h))

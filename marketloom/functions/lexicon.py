@@ -48,17 +48,20 @@ class LexiconScorer:
                                  "downgrade", "miss", "fall", "falls", "bankruptcy", "plunge")
 
     def __call__(self, text: Column) -> Column:
-        tokens = words(text)
-        pos = self._hits(tokens, self.positive)
-        neg = self._hits(tokens, self.negative)
-        label = F.when(pos > neg, "Positive").when(neg > pos, "Negative").otherwise("Neutral")
-        return F.struct(label.alias("label"),
-                        ((F.greatest(pos, neg) + 1) / (pos + neg + 2)).alias("score"))
-
-    @staticmethod
-    def _hits(tokens: Column, vocabulary: Iterable[str]) -> Column:
-        listed = F.array(*[F.lit(w) for w in vocabulary])
-        return F.size(F.filter(tokens, lambda w: F.array_contains(listed, w)))
+        # one pass over the words; the result is built once from the two counters
+        def listed(w: Column, vocabulary: Iterable[str]) -> Column:
+            return F.array_contains(F.array(*[F.lit(v) for v in vocabulary]), w).cast("int")
+
+        def result(acc: Column) -> Column:
+            p, n = acc["p"], acc["n"]
+            label = F.when(p > n, "Positive").when(n > p, "Negative").otherwise("Neutral")
+            return F.struct(label.alias("label"),
+                            ((F.greatest(p, n) + 1) / (p + n + 2)).alias("score"))
+
+        return F.aggregate(
+            words(text), F.struct(F.lit(0).alias("p"), F.lit(0).alias("n")),
+            lambda acc, w: F.struct((acc["p"] + listed(w, self.positive)).alias("p"),
+                                    (acc["n"] + listed(w, self.negative)).alias("n")), result)
 
 
 def model_scorer(load: Callable[[], Callable[[pd.Series], pd.DataFrame]]) -> Scorer:

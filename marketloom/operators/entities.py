@@ -50,12 +50,12 @@ def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, text: str = "text"
         raise ValueError(f"gazetteer phrases come in more than {max_words} lengths")
 
     def runs(w: Column, n: int) -> Column:
-        last = F.size(w) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.struct(
             i.alias("word"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("_phrase"))))
 
     tokens = document_sentences(docs, text).withColumn("_w", words(F.col("sentence")))
-    found = F.flatten(F.array_compact(F.array(*[runs(F.col("_w"), n) for n in lengths])))
+    found = F.flatten(F.array_compact(F.array(*[runs(F.col("_w"), n) for n in lengths or [1]])))
     grams = tokens.select("doc_id", "pos", "sentence", F.inline(found))
     return (join_dimension(grams, phrases.drop("_len"), ["_phrase"])
             .select("doc_id", "pos", "word", "entity", "label", "sentence"))

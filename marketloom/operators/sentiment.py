@@ -22,17 +22,23 @@ def majority_label(positive: Column, negative: Column, neutral: Column) -> Colum
 
 def aggregate_scores(results: Column) -> Column:
     """array<struct<label, score>> -> struct<label, score, details> of the whole text."""
-    def count(label: str) -> Column:
-        return F.size(F.filter(results, lambda r: r["label"] == label))
-
-    total = F.aggregate(results, F.lit(0.0), lambda acc, r: acc + F.when(
-        r["label"] == "Neutral", NEUTRAL_WEIGHT * r["score"]).otherwise(r["score"]))
-    scored = F.struct(
-        majority_label(count("Positive"), count("Negative"), count("Neutral")).alias("label"),
-        (total / F.size(results)).alias("score"), F.lit("aggregated").alias("details"))
-    default = F.struct(F.lit("Neutral").alias("label"), F.lit(0.0).alias("score"),
-                       F.lit("default").alias("details"))
-    return F.when(F.size(results) > 0, scored).otherwise(default)
+    names = ("Positive", "Negative", "Neutral")
+
+    def add(acc: Column, r: Column) -> Column:
+        weighted = F.when(r["label"] == "Neutral", NEUTRAL_WEIGHT * r["score"]).otherwise(r["score"])
+        return F.struct((acc["total"] + weighted).alias("total"),
+                        *[(acc[x] + (r["label"] == x).cast("int")).alias(x) for x in names])
+
+    def result(acc: Column) -> Column:
+        n = acc["Positive"] + acc["Negative"] + acc["Neutral"]
+        some = n > 0
+        return F.struct(
+            majority_label(*[acc[x] for x in names]).alias("label"),
+            F.when(some, acc["total"] / n).otherwise(0.0).alias("score"),
+            F.when(some, "aggregated").otherwise("default").alias("details"))
+
+    zero = F.struct(F.lit(0.0).alias("total"), *[F.lit(0).alias(x) for x in names])
+    return F.aggregate(results, zero, add, result)
 
 
 def aggregate_chunk_rows(chunks: DataFrame, by: str) -> DataFrame:
