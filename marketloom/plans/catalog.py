@@ -176,14 +176,16 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     panel = materialize(add_indicators(daily_panel(spark, folder), DAILY,
                                        columns=["future_return", "momentum"]), "returns")
     m = F.col("momentum")
-    total = F.exp(-m) + 1 + F.exp(m)
-    # rounded so that equal scores stay equal in every engine
+    # softmax shifted by its largest term; rounded so that equal scores stay equal in every engine
+    top, mid, low = F.lit(1.0), F.exp(-F.abs(m)), F.exp(-2 * F.abs(m))
+    total = top + mid + low
     return materialize(
         add_signal_label(panel, fit_thresholds(panel)).where(m.isNotNull())
         .select("Date", "Ticker", F.col("signal_label").alias("label"),
                 F.signum(m).cast("int").alias("prediction"),
-                F.round(F.exp(-m) / total, 9).alias("p0"), F.round(1 / total, 9).alias("p1"),
-                F.round(F.exp(m) / total, 9).alias("p2")), "predictions")
+                F.round(F.when(m < 0, top).otherwise(low) / total, 9).alias("p0"),
+                F.round(mid / total, 9).alias("p1"),
+                F.round(F.when(m < 0, low).otherwise(top) / total, 9).alias("p2")), "predictions")
 
 
 def label_distribution(spark: SparkSession, folder: str) -> DataFrame:

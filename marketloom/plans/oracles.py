@@ -103,12 +103,15 @@ wins AS (SELECT *, flatten(list({_VEC}) OVER (PARTITION BY side, "Ticker" ORDER
          FROM full_rows)"""
 
 _PREDICTIONS = """,
+s AS (
+  SELECT "Date", "Ticker", signal_label AS label, momentum AS m, exp(-abs(momentum)) AS mid,
+         exp(-2 * abs(momentum)) AS low, 1.0 + exp(-abs(momentum)) + exp(-2 * abs(momentum)) AS total
+  FROM labelled WHERE momentum IS NOT NULL),
 p AS (
-  SELECT "Date", "Ticker", signal_label AS label, CAST(sign(momentum) AS INTEGER) AS prediction,
-         round(exp(-momentum) / (exp(-momentum) + 1 + exp(momentum)), 9) AS p0,
-         round(1 / (exp(-momentum) + 1 + exp(momentum)), 9) AS p1,
-         round(exp(momentum) / (exp(-momentum) + 1 + exp(momentum)), 9) AS p2
-  FROM labelled WHERE momentum IS NOT NULL)"""
+  SELECT "Date", "Ticker", label, CAST(sign(m) AS INTEGER) AS prediction,
+         round(CASE WHEN m < 0 THEN 1.0 ELSE low END / total, 9) AS p0, round(mid / total, 9) AS p1,
+         round(CASE WHEN m < 0 THEN low ELSE 1.0 END / total, 9) AS p2
+  FROM s)"""
 
 _PRED = f"WITH {_DAILY}{_FEATURES}{_LABELLED}{_PREDICTIONS}"
 
