@@ -75,16 +75,18 @@ def document_sentiment(docs: DataFrame, text: str = "text", scorer: Scorer | Non
             .otherwise(_whole(scorer(t))))
         return done.select(*docs.columns, "_r.*")
 
+    kept = F.filter(parts, lambda c: c.rlike(r"\S"))
     pieces = (docs.select("doc_id", is_long(t).alias("_long"),
-                          F.explode_outer(F.filter(F.coalesce(parts, F.array(t)),
-                                                   lambda c: c.rlike(r"\S"))).alias("_piece"))
-              .withColumn("_s", F.when(F.col("_piece").isNotNull(), scorer(F.col("_piece")))))
-    results = F.collect_list(F.when(F.col("_piece").isNotNull(), F.col("_s")))
-    done = (pieces.groupBy("doc_id").agg(results.alias("_results"), F.first("_long").alias("_long"))
-            .select("doc_id", F.when(F.col("_long") | (F.size("_results") == 0),
-                                     aggregate_scores(F.col("_results")))
+                          F.explode(F.when(is_long(t), kept).otherwise(F.array(t))).alias("_piece"))
+              .where(F.col("_piece").isNotNull()).withColumn("_s", scorer(F.col("_piece"))))
+    done = (pieces.groupBy("doc_id").agg(F.collect_list("_s").alias("_results"),
+                                         F.first("_long").alias("_long"))
+            .select("doc_id", F.when(F.col("_long"), aggregate_scores(F.col("_results")))
                     .otherwise(_whole(F.col("_results")[0])).alias("_r")))
-    return docs.join(done, "doc_id").select(*docs.columns, "_r.*")
+    nothing = F.struct(F.lit("Neutral").alias("label"), F.lit(0.0).alias("score"),
+                       F.lit("default").alias("details"))
+    return (docs.join(done, "doc_id", "left").withColumn("_r", F.coalesce("_r", nothing))
+            .select(*docs.columns, "_r.*"))
 
 
 def _whole(result: Column) -> Column:

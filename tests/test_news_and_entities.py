@@ -89,7 +89,7 @@ def test_incremental_run_resumes(spark, meta, pages):
     assert run() == 5                       # nothing new
     news.write_json_lines(meta.where("url = 'ok'"), src, mode="append")
     assert run() == 6
-    assert spark.read.json(out).where("status = 'success'").count() == 4
+    assert spark.read.json(out).where("status = 'success'").count() == 5
 
 
 def test_bar_stream(spark, tmp_path):
