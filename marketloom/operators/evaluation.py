@@ -68,14 +68,16 @@ def class_report(preds: DataFrame, classes: Sequence[int] = CLASSES) -> DataFram
 
 
 def auc_one_vs_one(preds: DataFrame, label: str, scores: Sequence[str],
-                   bins: int = 256) -> DataFrame:
+                   bins: int | None = None) -> DataFrame:
     """ROC-AUC per unordered class pair (both directions averaged) and their mean, ``macro``.
 
     ``label`` holds the class index into ``scores``. Equal scores share their average rank. Rows
     shrink to counts per distinct score; cumulative counts are taken inside quantile bins of the
-    score and shifted by the totals of the earlier bins, so no task ranks a whole class.
+    score and shifted by the totals of the earlier bins, so no task ranks a whole class. By
+    default there is a bin per two million rows (at least 256).
     """
     k = len(scores)
+    bins = bins or min(20_000, max(256, preds.count() // 2_000_000))
     cuts = preds.approxQuantile(list(scores), [i / bins for i in range(1, bins)], 0.25 / bins)
     splits = [[-float("inf"), *sorted(set(c)), float("inf")] for c in cuts]
     binned = Bucketizer(splitsArray=splits, inputCols=list(scores),

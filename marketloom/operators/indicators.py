@@ -48,7 +48,8 @@ def add_indicators(panel: DataFrame, s: Series = Series(), p: Params = Params(),
     if unknown:
         raise ValueError(f"unknown indicators: {sorted(unknown)}")
     base = panel.columns
-    df = with_positions(panel, s, "Close")
+    gaps = {"daily_return", "volatility"} | _SCANNED     # the others only need row positions
+    df = with_positions(panel, s, "Close" if gaps & set(columns) else None)
     if "daily_return" in columns:
         df = df.withColumn("daily_return", 100 * (F.col("_fill") / F.col("_fill_prev") - 1))
     if _SCANNED & set(columns):
@@ -65,7 +66,9 @@ def _frames(df: DataFrame, s: Series, p: Params, columns: set[str]) -> DataFrame
     c = F.col("Close")
     back = max(p.sma - 1, p.momentum, p.volatility, p.lag)
     ahead = max(p.horizon, -p.lag)
-    df = with_blocks(df.withColumn("_ret", F.col("_fill") / F.col("_fill_prev") - 1), back, ahead)
+    if "volatility" in columns:
+        df = df.withColumn("_ret", F.col("_fill") / F.col("_fill_prev") - 1)
+    df = with_blocks(df, back, ahead)
 
     def shift(col: Column, n: int) -> Column:
         return F.lag(col, n).over(w) if n >= 0 else F.lead(col, -n).over(w)
@@ -77,10 +80,11 @@ def _frames(df: DataFrame, s: Series, p: Params, columns: set[str]) -> DataFrame
     made = {
         "sma": full(F.avg, c, p.sma),
         "momentum": (c - shift(c, p.momentum)) / shift(c, p.momentum),
-        "volatility": full(F.stddev_samp, F.col("_ret"), p.volatility),
         "future_return": 100 * (shift(c, -p.horizon) / c - 1),
         "Close_lag1": shift(c, p.lag),
     }
+    if "volatility" in columns:
+        made["volatility"] = full(F.stddev_samp, F.col("_ret"), p.volatility)
     if "Volume_lag1" in columns:
         made["Volume_lag1"] = shift(F.col("Volume"), p.lag)
     return df.withColumns({k: v for k, v in made.items() if k in columns}).where("_own")

@@ -37,8 +37,11 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
 
 def join_dimension(left: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner",
-                   max_rows: int = 100_000) -> DataFrame:
-    """Join to a dimension: broadcast when it is counted to be small, else ``spread_join``."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
+                   max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Join to a dimension: broadcast when its rows and bytes are counted to be small, else
+    ``spread_join``."""
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, volume = dim.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    if rows <= max_rows and volume <= max_bytes:
         return left.join(F.broadcast(dim), list(on), how)
     return spread_join(left, dim, on, how)

@@ -272,7 +272,8 @@ def smote(spark: SparkSession, folder: str) -> DataFrame:
 def document_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as an article: title = first line, author = source, the url of a page.
 
-    Some urls are blank or missing, some belong to no stored page.
+    The urls of very short documents are blank, those of one source missing, and those of one
+    language belong to no stored page.
     """
     docs = table(spark, folder, "documents")
     pages = table(spark, folder, "pages")
@@ -281,22 +282,23 @@ def document_articles(spark: SparkSession, folder: str) -> DataFrame:
     return (join_dimension(docs.withColumn("_page", F.col("doc_id") % F.lit(n)), url, ["_page"], "left")
             .select("doc_id", F.substring_index("text", "\n", 1).alias("title"),
                     F.col("source").alias("author"),
-                    F.when(F.col("doc_id") % 13 == 0, "").when(F.col("doc_id") % 17 == 0, None)
-                    .when(F.col("doc_id") % 11 == 0, F.concat("url", F.lit("&unknown")))
+                    F.when(F.col("n_chars") < 150, "").when(F.col("source") == "src7", None)
+                    .when(F.col("lang") == "es", F.concat("url", F.lit("&unknown")))
                     .otherwise(F.col("url")).alias("url"),
-                    F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("symbol")))
+                    F.when(F.col("lang") != "en", F.col("lang")).alias("symbol")))
 
 
 def fetch_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored pages with fetch outcomes by page number."""
-    i = F.col("page_id")
+    """Stored pages with a fetch outcome read off their url."""
+    u = F.col("url")
     return table(spark, folder, "pages").select(
         "page_id", "url", "html",
-        F.when(i % 7 == 1, 404).when(i % 7 == 2, 503).when(i % 7 == 3, None).otherwise(200)
-        .cast("int").alias("http_status"),
-        F.when(i % 7 == 1, "http").when(i % 7 == 3, "timeout").when(i % 14 == 4, "network")
-        .when(i % 14 == 5, "other").alias("error_kind"),
-        F.concat(F.lit("error on page "), i.cast("string")).alias("error_message"))
+        F.when(u.contains("#"), None).when(u.contains("page="), 404).when(u.contains("//m."), 503)
+        .otherwise(200).cast("int").alias("http_status"),
+        F.when(u.contains("#"), "timeout").when(u.contains("page="), "http")
+        .when(u.contains("//m."), None).when(u.contains("//blog."), "network")
+        .when(u.contains(".org/"), "other").alias("error_kind"),
+        F.concat(F.lit("error on page "), F.col("page_id").cast("string")).alias("error_message"))
 
 
 def news_flatten(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,18 +192,18 @@ kept AS (SELECT * FROM mentions WHERE label IN ('ORG', 'MONEY', 'PERSON', 'GPE',
 
 _ARTICLES = """articles AS (
   SELECT doc_id, string_split(text, chr(10))[1] AS title, source AS author,
-         CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN NULL
-              WHEN doc_id % 11 = 0 THEN url || '&unknown' ELSE url END AS url,
-         CASE WHEN doc_id % 5 <> 0 THEN lang END AS symbol
+         CASE WHEN n_chars < 150 THEN '' WHEN source = 'src7' THEN NULL
+              WHEN lang = 'es' THEN url || '&unknown' ELSE url END AS url,
+         CASE WHEN lang <> 'en' THEN lang END AS symbol
   FROM documents LEFT JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages))"""
 
 _FETCHED = f"""{_ARTICLES},
 fetched AS (
   SELECT doc_id, a.title, a.author, a.url, coalesce(a.symbol, 'unknown') AS symbol, html,
-    CASE WHEN page_id IS NULL THEN 'network_error'
-         WHEN page_id % 7 = 1 THEN 'http_error_404' WHEN page_id % 7 = 2 THEN 'http_error_503'
-         WHEN page_id % 7 = 3 THEN 'timeout_error' WHEN page_id % 14 = 4 THEN 'network_error'
-         WHEN page_id % 14 = 5 THEN 'unexpected_exception' ELSE 'success' END AS status, page_id
+    CASE WHEN page_id IS NULL THEN 'network_error' WHEN contains(a.url, '#') THEN 'timeout_error'
+         WHEN contains(a.url, 'page=') THEN 'http_error_404' WHEN contains(a.url, '//m.') THEN 'http_error_503'
+         WHEN contains(a.url, '//blog.') THEN 'network_error'
+         WHEN contains(a.url, '.org/') THEN 'unexpected_exception' ELSE 'success' END AS status, page_id
   FROM articles a LEFT JOIN pages USING (url) WHERE a.url IS NOT NULL AND a.url <> '')"""
 
 # Paragraph texts of the article element of the stored pages. Sound for these pages only: they have
