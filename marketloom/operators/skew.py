@@ -12,27 +12,23 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
                 share: float = 0.001, salts: int = 64) -> DataFrame:
     """Join many ``left`` rows per key to one ``right`` row per key, spreading hot keys.
 
-    Keys with more than ``share`` of the left rows (so fewer than 1/share keys: that is what is
-    broadcast, as 8-byte hashes) are split over ``salts`` sub-keys, and their right row is copied
-    to each. All other keys join as usual. ``how``: inner, left or left_semi.
+    Keys with more than ``share`` of the left rows (so fewer than 1/share keys, held as 8-byte
+    hashes) are split over ``salts`` sub-keys, and their right row is copied to each. Without such
+    keys this is a plain join. ``how``: inner, left or left_semi.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("how must be inner, left or left_semi")
     on = list(on)
-    code = F.xxhash64(*on).alias("_code")
-    counts = left.groupBy(code).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.count()
-    hot = (counts.where(F.col("_n") > max(total * share, 1_000)).select("_code")
-           .withColumn("_hot", F.lit(True)))
-    hot = F.broadcast(hot)
+    code = F.xxhash64(*on)
+    least = max(left.count() * share, 1_000)
+    hot = [r[0] for r in left.groupBy(code.alias("_code")).count()
+           .where(F.col("count") > least).collect()]
+    if not hot:
+        return left.join(right, on, how)
     spot = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    many = (left.withColumn("_code", code).join(hot, "_code", "left")
-            .withColumn("_salt", F.when(F.col("_hot"), spot).otherwise(F.lit(0)))
-            .drop("_code", "_hot"))
-    one = (right.withColumn("_code", code).join(hot, "_code", "left")
-           .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                          .otherwise(F.array(F.lit(0)))))
-           .drop("_code", "_hot"))
+    many = left.withColumn("_salt", F.when(code.isin(hot), spot).otherwise(0))
+    copies = F.when(code.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    one = right.withColumn("_salt", F.explode(copies))
     return many.join(one, [*on, "_salt"], how).drop("_salt")
 
 
