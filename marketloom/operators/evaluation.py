@@ -95,7 +95,7 @@ def auc_one_vs_one(preds: DataFrame, label: str, scores: Sequence[str],
                                  for x in n]))
     lower = Window.partitionBy("c", "b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = cells.select("c", "b", *n, *[
-        F.coalesce(F.sum(x).over(lower), F.lit(0)).alias(f"l_{x}") for x in n]).join(start, ["c", "b"])
+        F.coalesce(F.sum(x).over(lower), F.lit(0)).alias(f"l_{x}") for x in n]).join(start.hint("merge"), ["c", "b"])
 
     pairs = list(combinations(range(k), 2))
 

@@ -124,7 +124,7 @@ def _scan(df: DataFrame, panel: DataFrame, s: Series, p: Params, columns: set[st
                             f"_key {dict(panel.dtypes)[s.key]}, _bucket timestamp_ntz, "
                             + ", ".join(f"{c} double" for c in states))
                .withColumnRenamed("_key", s.key))
-    df = _local(df, s, p, means, with_signal).join(carried, [s.key, "_bucket"])
+    df = _local(df, s, p, means, with_signal).join(carried.hint("merge"), [s.key, "_bucket"])
 
     def mean(m: str) -> Column:
         product, part = _MEANS[m]

@@ -4,7 +4,9 @@ A plain ``Window.partitionBy(ticker)`` puts a whole series into one task. A tick
 third of all rows, so the series operators work on bounded pieces instead:
 
 * ``with_positions`` ranks rows inside (ticker, calendar unit) groups, whose size the bar grain
-  bounds, and adds the offset of the earlier groups from a per-group summary table;
+  bounds, and adds the offset of the earlier groups from a per-group summary table.
+  The join is a merge join: the rows are already partitioned and sorted by its keys, and keep
+  that for the windows that follow;
 * ``with_blocks`` cuts a series into runs of consecutive rows and copies only the rows next to a
   cut into the neighbouring run, so a row-based frame never needs rows from another task.
 """
@@ -60,7 +62,7 @@ def with_positions(df: DataFrame, s: Series, value: str | None = None) -> DataFr
         before = Window.partitionBy(s.key).orderBy("_bucket").rowsBetween(
             Window.unboundedPreceding, -1)
         start = per.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_row0"))
-        return (rows.join(start, keys)
+        return (rows.join(start.hint("merge"), keys)
                 .withColumn("_pos", F.col("_row0") + F.col("_rn") - 1).drop("_row0"))
 
     x = F.col(value)
@@ -80,7 +82,7 @@ def with_positions(df: DataFrame, s: Series, value: str | None = None) -> DataFr
     pos = F.col("_row0") + F.col("_rn") - 1
     last_pos = F.coalesce(F.last(F.when(x.isNotNull(), pos), True).over(earlier),
                           F.col("_lastpos0"))
-    return (rows.join(start, keys)
+    return (rows.join(start.hint("merge"), keys)
             .withColumns({
                 "_pos": pos,
                 "_prev": F.when(F.col("_rn") == 1, F.col("_x0")).otherwise(F.lag(x).over(w)),

@@ -96,7 +96,7 @@ def with_shuffle_rank(df: DataFrame, keys: Sequence[str | Column], seed: int = 4
     start = counts.select("_g", (F.sum("count").over(Window.orderBy("_g")) - F.col("count"))
                           .alias("_start"))
     within = F.row_number().over(Window.partitionBy("_g").orderBy("_h")) - 1
-    return (rows.withColumn("_rank", within).join(start, "_g")
+    return (rows.withColumn("_rank", within).join(start.hint("merge"), "_g")
             .withColumn("_rank", F.col("_start") + F.col("_rank")).drop("_h", "_g", "_start"))
 
 

@@ -19,7 +19,7 @@ from marketloom.functions.expressions import (
     analysis_text, day_string, days_before, strip, ticker_text)
 from marketloom.functions.html_text import html_main_text
 from marketloom.operators import (
-    articles, bars, classifiers, entities, evaluation, linking, samples, scaling, sentiment)
+    articles, bars, classifiers, entities, evaluation, linking, samples, sentiment)
 from marketloom.operators.indicators import add_indicators
 from marketloom.operators.labels import add_signal_label, class_index, fit_thresholds
 from marketloom.operators.layout import Series
@@ -66,7 +66,8 @@ def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 def hourly_bars(spark: SparkSession, folder: str) -> DataFrame:
     return bars.ohlcv(table(spark, folder, "events"), F.col("event_type"),
-                      F.date_trunc("hour", "ts").cast("timestamp_ntz"), F.col("value"),
+                      F.to_date("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour("ts")),
+                      F.col("value"),
                       ["ts", "event_id"])
 
 

@@ -119,7 +119,7 @@ _BATCHES = """,
 b AS (SELECT *, (row_number() OVER (ORDER BY md5('42|' || "Ticker" || '|' || CAST("Date" AS VARCHAR))) - 1) // 64 AS batch_id
       FROM p),
 batches AS (
-  SELECT batch_id, count(*) AS n, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS correct,
+  SELECT batch_id, count(*) AS n, CAST(sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS BIGINT) AS correct,
          100.0 * sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) / count(*) AS accuracy,
          avg(-ln(greatest(CASE label WHEN -1 THEN p0 WHEN 0 THEN p1 ELSE p2 END, 1e-15))) AS loss
   FROM b GROUP BY 1)"""
@@ -296,10 +296,10 @@ m AS (SELECT *, CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS prec,
 f AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM m)
 SELECT CAST(cls AS VARCHAR) AS name, round(prec, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1, support FROM f
 UNION ALL SELECT 'accuracy', round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6),
-  round(sum(tp) / sum(support), 6), sum(support) FROM f
-UNION ALL SELECT 'macro avg', round(avg(prec), 6), round(avg(rec), 6), round(avg(f1), 6), sum(support) FROM f
+  round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', round(avg(prec), 6), round(avg(rec), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', round(sum(prec * support) / sum(support), 6),
-  round(sum(rec * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support) FROM f""",
+  round(sum(rec * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""",
     "auc_ovo": f"""{_PRED},
 pairs AS ({_PAIRS})
 SELECT pair, round(auc, 6) AS auc FROM pairs UNION ALL SELECT 'macro', round(avg(auc), 6) FROM pairs""",
@@ -307,6 +307,9 @@ SELECT pair, round(auc, 6) AS auc FROM pairs UNION ALL SELECT 'macro', round(avg
 SELECT batch_id, n, correct, round(accuracy, 6) AS accuracy, round(loss, 6) AS loss FROM batches""",
     "eval_metrics": f"""{_PRED}{_BATCHES}
 SELECT CAST(sum(n) AS BIGINT) AS n, round(100.0 * sum(correct) / sum(n), 6) AS accuracy, round(avg(loss), 6) AS loss FROM batches""",
+    "smote": f"""WITH {_DAILY}{_FEATURES}{_LABELLED}{_SIDES},
+c AS (SELECT signal_label, count(*) AS n FROM sides WHERE side = 'train' AND {_ALL} GROUP BY 1)
+SELECT signal_label, (SELECT max(n) FROM c) AS n FROM c""",
 
     "news_flatten": f"WITH {_ARTICLES} SELECT title, author, url FROM articles",
     "symbol_news_all": f"""SELECT unnest({_SPLIT.format("text")}) AS title, lang AS author,
@@ -325,6 +328,9 @@ SELECT title, url, author, CASE WHEN status = 'success' THEN {_page_text("html")
   status, CASE WHEN status = 'unexpected_exception' THEN 'error on page ' || page_id ELSE '' END AS error_details,
   symbol FROM fetched""",
     "html_main_text": f"SELECT page_id, {_page_text('html')} AS content FROM pages",
+    "incremental_articles": f"""WITH {_FETCHED}
+SELECT CASE WHEN page_id IS NULL THEN 'network_error' ELSE 'success' END AS status, symbol, 2 * count(*) AS n
+FROM fetched GROUP BY 1, 2""",
     "chunks_fixed": f"""WITH {_CHUNKS}
 SELECT doc_id, length(text) > 1792 AS is_long, pos, chunk FROM chunks""",
     "doc_sentiment": f"""WITH {_CHUNKS},

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import collect, panel_frame, to_spark, walk
 from marketloom.operators.indicators import add_indicators
-from marketloom.operators.labels import Thresholds, add_signal_label, class_index, fit_thresholds
-from marketloom.operators.layout import Series
+from marketloom.operators.labels import Thresholds, add_signal_label, class_index
 from marketloom.operators.quantiles import exact_quantiles
 from marketloom.operators.samples import (
     as_vectors, complete_rows, shuffled, split_panel, split_point, window_samples, with_batches)

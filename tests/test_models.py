@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from helpers import panel_frame, to_spark, walk
 from marketloom.operators import bars, classifiers, evaluation
-from marketloom.operators.samples import with_batches
 from marketloom.plans.pipeline import evaluate, train_and_evaluate
 from marketloom.session import scratch_path
 from marketloom.sources import models, prices
