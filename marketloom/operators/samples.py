@@ -13,9 +13,10 @@ from marketloom.operators.layout import Series, in_block, with_blocks, with_posi
 from marketloom.schemas import FEATURES
 
 
-def split_point(panel: DataFrame, fraction: float = 0.8, s: Series = Series()):
-    """(time, key) of the first test row when the first int(n * fraction) rows in (time, key)
-    order are the training rows; None if no row is left for the test side.
+def split_point(panel: DataFrame, fraction: float = 0.8,
+                s: Series = Series()) -> tuple[str, str] | None:
+    """(time, key) of the first test row, as text, when the first int(n * fraction) rows in
+    (time, key) order are the training rows; None if no row is left for the test side.
 
     Counts narrow the search to one calendar unit, then one time, whose rows are at most one per
     key; the rows themselves are never sorted together.
@@ -25,15 +26,20 @@ def split_point(panel: DataFrame, fraction: float = 0.8, s: Series = Series()):
     if rank >= n:
         return None
     slot = panel.select(s.time, s.key, s.bucket().alias("_bucket"))
+    at = ""
     for col in ("_bucket", s.time):
         counts = slot.groupBy(col).count()
         upto = F.sum("count").over(Window.orderBy(col))
-        row = (counts.select(col, (upto - F.col("count")).alias("before"), upto.alias("upto"))
-               .where(F.col("upto") > rank).orderBy(col).first())
-        slot, rank = slot.where(F.col(col) == F.lit(row[0])), rank - row["before"]
-    at = slot.select(s.time, s.key, F.row_number().over(Window.orderBy(s.key)).alias("_r"))
-    row = at.where(F.col("_r") == rank + 1).first()
-    return row[0], row[1]
+        at, before = (counts.select(F.col(col).cast("string"), (upto - F.col("count")).alias("before"),
+                                    upto.alias("upto"))
+                      .where(F.col("upto") > rank).orderBy("upto").select(F.col(col), "before").first())
+        slot, rank = slot.where(F.col(col) == _moment(slot, col, at)), rank - before
+    keys = slot.select(s.key, F.row_number().over(Window.orderBy(s.key)).alias("_r"))
+    return at, keys.where(F.col("_r") == rank + 1).first()[0]
+
+
+def _moment(df: DataFrame, column: str, text: str) -> Column:
+    return F.lit(text).cast(dict(df.dtypes)[column])
 
 
 def split_panel(panel: DataFrame, fraction: float = 0.8, s: Series = Series()):
@@ -41,7 +47,7 @@ def split_panel(panel: DataFrame, fraction: float = 0.8, s: Series = Series()):
     point = split_point(panel, fraction, s)
     if point is None:
         return panel, panel.where(F.lit(False))
-    t, k = F.lit(point[0]), F.lit(point[1])
+    t, k = _moment(panel, s.time, point[0]), F.lit(point[1])
     early = (F.col(s.time) < t) | ((F.col(s.time) == t) & (F.col(s.key) < k))
     return panel.where(early), panel.where(~early)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from helpers import collect, panel_frame, to_spark, walk
 from marketloom.operators.indicators import add_indicators
 from marketloom.operators.labels import Thresholds, add_signal_label, class_index
+from marketloom.operators.layout import Series
 from marketloom.operators.quantiles import exact_quantiles
 from marketloom.operators.samples import (
     as_vectors, complete_rows, shuffled, split_panel, split_point, window_samples, with_batches)
@@ -69,10 +70,22 @@ def test_split_is_positional(spark, fraction):
     cut = int(11 * fraction)
     assert sorted(tuple(r) for r in train.collect()) == rows[:cut]
     assert sorted(tuple(r) for r in test.collect()) == rows[cut:]
-    assert split_point(df, 0.8) == (dt.date(2021, 1, 4), "E")
+    assert split_point(df, 0.8) == ("2021-01-04", "E")
     assert split_point(df, 1.0) is None
 
 
+def test_split_of_timestamps_in_another_zone(spark):
+    hours = [dt.datetime(2024, 3, 10) + dt.timedelta(hours=i) for i in range(50)]
+    df = spark.createDataFrame([(h, k) for h in hours for k in "AB"], "Date timestamp_ntz, Ticker string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        train, test = split_panel(df, 0.55, Series(grain="hourly"))
+        assert (train.count(), test.count()) == (55, 45)
+        assert test.orderBy("Date", "Ticker").first()[:] == (hours[27], "B")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("n,windows", [(6, 0), (7, 0), (8, 1), (20, 13)])
 def test_window_counts(spark, n, windows):
     rows = [(dt.date(2020, 12, 20) + dt.timedelta(i), "A", float(i), i % 3 - 1) for i in range(n)]
