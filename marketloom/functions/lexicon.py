@@ -28,7 +28,11 @@ def sentences(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words (letters and digits) in order."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(_tokens(text), lambda w: w != "")
+
+
+def _tokens(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
 def mentions_finance(text: Column, keywords: Iterable[str] = FINANCE_KEYWORDS) -> Column:
@@ -48,9 +52,11 @@ class LexiconScorer:
                                  "downgrade", "miss", "fall", "falls", "bankruptcy", "plunge")
 
     def __call__(self, text: Column) -> Column:
-        # one pass over the words; the result is built once from the two counters
+        # one look-up per word; counting only touches the listed words
         def listed(w: Column, vocabulary: Iterable[str]) -> Column:
-            return F.array_contains(F.array(*[F.lit(v) for v in vocabulary]), w).cast("int")
+            return F.array_contains(F.array(*[F.lit(v) for v in vocabulary]), w)
+
+        known = F.filter(_tokens(text), lambda w: listed(w, [*self.positive, *self.negative]))
 
         def result(acc: Column) -> Column:
             p, n = acc["p"], acc["n"]
@@ -59,9 +65,10 @@ class LexiconScorer:
                             ((F.greatest(p, n) + 1) / (p + n + 2)).alias("score"))
 
         return F.aggregate(
-            words(text), F.struct(F.lit(0).alias("p"), F.lit(0).alias("n")),
-            lambda acc, w: F.struct((acc["p"] + listed(w, self.positive)).alias("p"),
-                                    (acc["n"] + listed(w, self.negative)).alias("n")), result)
+            known, F.struct(F.lit(0).alias("p"), F.lit(0).alias("n")),
+            lambda acc, w: F.struct((acc["p"] + listed(w, self.positive).cast("int")).alias("p"),
+                                    (acc["n"] + listed(w, self.negative).cast("int")).alias("n")),
+            result)
 
 
 def model_scorer(load: Callable[[], Callable[[pd.Series], pd.DataFrame]]) -> Scorer:
