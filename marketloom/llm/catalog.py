@@ -3,14 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketloom.llm import near_dedup
-from marketloom.llm.common import table
+from marketloom.llm import (
+    decontaminate, fingerprint, language, licenses, mixing, near_dedup, quality, secrets, toxicity,
+    url_filters)
+from marketloom.llm.common import fold, table
+
+
+def op1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, folder, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_minhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs.select("doc_id", "text"), language.fit(docs)).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return url_filters.judge(url_filters.dated_captures(pages), url_filters.derived_entries(pages))
+
+
+def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.scan(docs, secrets.fit(secrets.findings(docs)), path="source").drop("version")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_license_scans, op2_document_fingerprints, op3_toxicity, op4_quality_classifier,
+    op5_source_mixing, op6_benchmark_decontamination, op7_minhash_near_dedup, op8_language_id,
+    op9_url_filters, op10_secret_scans)}
+ORACLES: dict[str, str] = {"op9_url_filters": url_filters.ORACLE}
