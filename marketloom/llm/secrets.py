@@ -141,7 +141,8 @@ def _plant(r: random.Random) -> tuple[str, str, int]:
         (name + sign, r.choice(["required", "optional", "string", "function", "settings.get"]), 0),
         ("", f"{word}-{r.choice(['one', 'large', 'small'])}-{r.randint(1, 9999)}", 0),
         ("file ", f"{word}_{word}_{r.randint(1, 400)}", 0), ("version ", f"{word}-{r.randint(1, 9)}-release-{r.randint(1, 99)}", 0),
-        ("order ", str(r.randint(10 ** 12, 10 ** 15)), 0), ("", f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}", 0),
+        (r.choice(["order ", "", ""]), str(r.randint(10 ** 12, 10 ** 17)), 0),
+        ("", f"{r.randint(1000, 9999)}-{r.randint(1000, 9999)}-{r.randint(1000, 9999)}", 0), ("", f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}", 0),
     ])
 
 
