@@ -12,7 +12,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,6 @@ WORD_PART = 48  # longer runs of letters are scored in parts of this length
 CACHE = 200_000
 
 
-@cache
 def pieces(path: str) -> dict[str, int]:
     """Piece -> index; index 0 stands for a single character outside the vocabulary. Pieces are
     folded to lower case like the texts; the mark of a word's start is kept."""
@@ -169,10 +167,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
     docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    languages = model.languages
+    languages, index = model.languages, pieces(model.vocabulary)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lattice, known = Lattice(pieces(model.vocabulary)), {}
+        lattice, known = Lattice(index), {}
         for series in batches:
             out = []
             for at in range(0, len(series), 256):
