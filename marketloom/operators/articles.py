@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.expressions import (
@@ -19,6 +19,14 @@ def valid_articles(meta: DataFrame) -> DataFrame:
             .withColumn("symbol", symbol_or_default(F.col("symbol"))))
 
 
+def outcome_columns(pages: DataFrame) -> DataFrame:
+    """(url, http_status, error_kind, error_message, html); what ``pages`` lacks is null."""
+    for name, kind in (("http_status", "int"), ("error_kind", "string"), ("error_message", "string")):
+        if name not in pages.columns:
+            pages = pages.withColumn(name, F.lit(None).cast(kind))
+    return pages.select("url", "http_status", "error_kind", "error_message", "html")
+
+
 def fetch_from_table(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """Look every article's page up by URL instead of fetching it.
 
@@ -26,11 +34,7 @@ def fetch_from_table(articles: DataFrame, pages: DataFrame) -> DataFrame:
     ``error_message``. An article without a page gets ``network_error``. A URL shared by a large
     part of the articles is spread over tasks.
     """
-    for name, kind in (("http_status", "int"), ("error_kind", "string"), ("error_message", "string")):
-        if name not in pages.columns:
-            pages = pages.withColumn(name, F.lit(None).cast(kind))
-    page = pages.select("url", "http_status", "error_kind", "error_message", "html",
-                        F.lit(True).alias("_known"))
+    page = outcome_columns(pages).withColumn("_known", F.lit(True))
     got = spread_join(articles, page, ["url"])
     kind = F.when(F.col("_known").isNull(), "network").otherwise(F.col("error_kind"))
     return got.withColumn("status", fetch_status(F.col("http_status"), kind)).drop("_known")
@@ -39,10 +43,12 @@ def fetch_from_table(articles: DataFrame, pages: DataFrame) -> DataFrame:
 def processed_articles(fetched: DataFrame) -> DataFrame:
     """Fetched articles as output records: main text of successful pages, error details."""
     ok = F.col("status") == "success"
+    return _records(fetched, F.when(ok, html_main_text(F.when(ok, F.col("html")))))
+
+
+def _records(fetched: DataFrame, content: Column) -> DataFrame:
     return fetched.select(
-        "title", "url", "author",
-        F.coalesce(F.when(ok, html_main_text(F.when(ok, F.col("html")))), F.lit(""))
-        .alias("scraped_content"),
+        "title", "url", "author", F.coalesce(content, F.lit("")).alias("scraped_content"),
         "status",
         F.when(F.col("status") == "unexpected_exception", F.coalesce("error_message", F.lit("")))
         .otherwise("").alias("error_details"),
@@ -50,8 +56,11 @@ def processed_articles(fetched: DataFrame) -> DataFrame:
 
 
 def scrape(meta: DataFrame, pages: DataFrame) -> DataFrame:
-    """Metadata -> processed articles."""
-    return processed_articles(fetch_from_table(valid_articles(meta), pages))
+    """Metadata -> processed articles. Texts are taken once per page, before they meet the articles."""
+    status = fetch_status(F.col("http_status"), F.col("error_kind"))
+    texts = outcome_columns(pages).withColumn("html", F.when(status == "success", html_main_text(
+        F.when(status == "success", F.col("html")))))
+    return _records(fetch_from_table(valid_articles(meta), texts), F.col("html"))
 
 
 def with_analysis_text(processed: DataFrame) -> DataFrame:

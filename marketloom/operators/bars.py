@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from marketloom.schemas import FIELDS
 
 
+WIDE_TICKERS = 5_000
+
+
 def ohlcv(ticks: DataFrame, key: Column, time: Column, price: Column, order: Sequence[str],
           volume: Column | None = None) -> DataFrame:
     """One bar per (key, time). ``order`` must order the ticks of a bar uniquely.
@@ -47,7 +50,10 @@ def wide_to_long(wide: DataFrame, time: str = "Date", sep: str = "|",
 
 def long_to_wide(panel: DataFrame, tickers: Sequence[str], time: str = "Date", sep: str = "|",
                  fields: Sequence[str] = tuple(FIELDS)) -> DataFrame:
-    """The inverse of ``wide_to_long``, for an explicit ticker list."""
+    """The inverse of ``wide_to_long``, for an explicit ticker list of at most ``WIDE_TICKERS``
+    (``ValueError`` above: a plan can't hold as many columns)."""
+    if len(tickers) > WIDE_TICKERS:
+        raise ValueError(f"more than {WIDE_TICKERS} tickers don't fit one row; keep the long layout")
     return panel.groupBy(time).agg(*[
         F.max(F.when(F.col("Ticker") == t, F.col(f))).alias(f"{f}{sep}{t}")
         for t in tickers for f in fields])

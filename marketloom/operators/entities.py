@@ -32,22 +32,19 @@ def finance_sentences(docs: DataFrame, text: str = "text",
     return rows.where(mentions_finance(F.col("sentence"), *([keywords] if keywords else [])))
 
 
-def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, text: str = "text",
-                       max_words: int = 8) -> DataFrame:
+def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, text: str = "text") -> DataFrame:
     """Mentions of the phrases in ``gazetteer`` (entity, label), matched on lower-case words.
 
-    Returns (doc_id, pos, word, entity, label, sentence). Only the phrase lengths that occur are
-    tried; word runs meet the phrases in a join. A trained recogniser can replace this operator:
+    Returns (doc_id, pos, word, entity, label, sentence), every label and spelling of a phrase in
+    a row of its own. Only the phrase lengths that occur are tried; word runs meet the phrases in
+    a join. A trained recogniser can replace this operator:
     the others only need its output columns.
     """
     phrases = (gazetteer.select("entity", "label", words(F.col("entity")).alias("_w"))
                .select("entity", "label", F.size("_w").alias("_len"),
                        F.array_join("_w", " ").alias("_phrase"))
-               .where(F.col("_len") > 0).dropDuplicates(["_phrase"]))
-    lengths = [r[0] for r in phrases.select("_len").distinct().orderBy("_len")
-               .limit(max_words + 1).collect()]
-    if len(lengths) > max_words or (lengths and lengths[-1] > 64):
-        raise ValueError(f"gazetteer phrases come in more than {max_words} lengths")
+               .where(F.col("_len") > 0).distinct())
+    lengths = [r[0] for r in phrases.select("_len").distinct().orderBy("_len").collect()]
 
     def runs(w: Column, n: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))

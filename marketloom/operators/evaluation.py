@@ -13,17 +13,21 @@ CLASSES = (-1, 0, 1)
 
 
 def prediction_distribution(preds: DataFrame, column: str = "prediction") -> DataFrame:
-    """Rows per predicted label, the total and the share, in label order."""
+    """Rows per predicted label and the total, in label order."""
     n = preds.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return n.select(column, "n", total.alias("total")).orderBy(column)
 
 
 def confusion_matrix(preds: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """Rows are true labels, columns ``pred_<class>``; absent combinations are 0."""
-    return (preds.groupBy("label")
-            .agg(*[F.count(F.when(F.col("prediction") == c, 1)).alias(f"pred_{c}")
-                   for c in classes]).orderBy("label"))
+    """A row for each of ``classes`` as truth, columns ``pred_<class>``; what is absent is 0."""
+    counted = preds.groupBy("label").agg(*[
+        F.count(F.when(F.col("prediction") == c, 1)).alias(f"pred_{c}") for c in classes])
+    rows = preds.sparkSession.createDataFrame([(c,) for c in classes], "label int")
+    names = [f"pred_{c}" for c in classes]
+    return (rows.withColumn("label", F.col("label").cast(preds.schema["label"].dataType))
+            .join(counted, "label", "left").select("label", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+            .orderBy("label"))
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.expressions import nan_to_null
 from marketloom.operators.layout import Series, in_block, with_blocks, with_positions
 from marketloom.schemas import INDICATORS
 
@@ -43,15 +44,18 @@ _FRAMED = {"sma", "momentum", "volatility", "future_return", "Close_lag1", "Volu
 
 def add_indicators(panel: DataFrame, s: Series = Series(), p: Params = Params(),
                    columns: Sequence[str] = tuple(INDICATORS)) -> DataFrame:
-    """``panel`` (key, time, Close, [Volume, ...]) plus the requested indicator columns."""
+    """``panel`` (key, time, Close, [Volume, ...]) plus the requested indicator columns.
+
+    NaN in a floating column counts as missing; a change relative to a price of zero is null."""
     unknown = set(columns) - set(INDICATORS)
     if unknown:
         raise ValueError(f"unknown indicators: {sorted(unknown)}")
     base = panel.columns
+    panel = nan_to_null(panel)
     gaps = {"daily_return", "volatility"} | _SCANNED     # the others only need row positions
     df = with_positions(panel, s, "Close" if gaps & set(columns) else None)
     if "daily_return" in columns:
-        df = df.withColumn("daily_return", 100 * (F.col("_fill") / F.col("_fill_prev") - 1))
+        df = df.withColumn("daily_return", 100 * (F.try_divide("_fill", "_fill_prev") - 1))
     if _SCANNED & set(columns):
         df = _scan(df, panel, s, p, set(columns))
     if _FRAMED & set(columns):
@@ -67,7 +71,7 @@ def _frames(df: DataFrame, s: Series, p: Params, columns: set[str]) -> DataFrame
     back = max(p.sma - 1, p.momentum, p.volatility, p.lag)
     ahead = max(p.horizon, -p.lag)
     if "volatility" in columns:
-        df = df.withColumn("_ret", F.col("_fill") / F.col("_fill_prev") - 1)
+        df = df.withColumn("_ret", F.try_divide("_fill", "_fill_prev") - 1)
     df = with_blocks(df, back, ahead)
 
     def shift(col: Column, n: int) -> Column:
@@ -79,8 +83,8 @@ def _frames(df: DataFrame, s: Series, p: Params, columns: set[str]) -> DataFrame
 
     made = {
         "sma": full(F.avg, c, p.sma),
-        "momentum": (c - shift(c, p.momentum)) / shift(c, p.momentum),
-        "future_return": 100 * (shift(c, -p.horizon) / c - 1),
+        "momentum": F.try_divide(c - shift(c, p.momentum), shift(c, p.momentum)),
+        "future_return": 100 * (F.try_divide(shift(c, -p.horizon), c) - 1),
         "Close_lag1": shift(c, p.lag),
     }
     if "volatility" in columns:

@@ -72,7 +72,7 @@ def document_sentiment(docs: DataFrame, text: str = "text", scorer: Scorer | Non
         results = F.transform(F.filter(F.col("_parts"), lambda c: c.rlike(r"\S")), scorer)
         done = docs.withColumn("_parts", parts).withColumn(
             "_r", F.when(F.col("_parts").isNotNull(), aggregate_scores(results))
-            .otherwise(_whole(scorer(t))))
+            .otherwise(F.when(t.isNull(), _nothing()).otherwise(_whole(scorer(t)))))
         return done.select(*docs.columns, "_r.*")
 
     kept = F.filter(parts, lambda c: c.rlike(r"\S"))
@@ -83,12 +83,16 @@ def document_sentiment(docs: DataFrame, text: str = "text", scorer: Scorer | Non
                                          F.first("_long").alias("_long"))
             .select("doc_id", F.when(F.col("_long"), aggregate_scores(F.col("_results")))
                     .otherwise(_whole(F.col("_results")[0])).alias("_r")))
-    nothing = F.struct(F.lit("Neutral").alias("label"), F.lit(0.0).alias("score"),
-                       F.lit("default").alias("details"))
-    return (docs.join(done, "doc_id", "left").withColumn("_r", F.coalesce("_r", nothing))
+    return (docs.join(done, "doc_id", "left").withColumn("_r", F.coalesce("_r", _nothing()))
             .select(*docs.columns, "_r.*"))
 
 
+def _nothing() -> Column:
+    """The result of a row without text."""
+    return F.struct(F.lit("Neutral").alias("label"), F.lit(0.0).alias("score"),
+                    F.lit("default").alias("details"))
+
+
 def _whole(result: Column) -> Column:
     return F.struct(result["label"].alias("label"), result["score"].alias("score"),
                     F.lit(None).cast("string").alias("details"))

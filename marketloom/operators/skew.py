@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-                share: float = 0.001, salts: int = 64) -> DataFrame:
+                rows_per_task: int = 1_000_000) -> DataFrame:
     """Join many ``left`` rows per key to one ``right`` row per key, spreading hot keys.
 
-    Keys with more than ``share`` of the left rows (so fewer than 1/share keys, held as 8-byte
-    hashes) are split over ``salts`` sub-keys, and their right row is copied to each. Without such
-    keys this is a plain join. ``how``: inner, left or left_semi.
+    A key with more than ``rows_per_task`` left rows is split into as many sub-keys as it has that
+    many rows, and its right row is copied to each; what is held of such keys is two numbers each
+    (one key per ``rows_per_task`` rows at most). Equal rows spread by the partition they are in,
+    which a task that runs again finds unchanged. Without hot keys this is a plain join.
+    ``how``: inner, left or left_semi.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError("how must be inner, left or left_semi")
     on = list(on)
     code = F.xxhash64(*on)
-    least = max(left.count() * share, 1_000)
-    hot = [r[0] for r in left.groupBy(code.alias("_code")).count()
-           .where(F.col("count") > least).collect()]
+    counts = left.groupBy(code.alias("_code")).count().where(F.col("count") > rows_per_task)
+    hot = [(r[0], -(-r[1] // rows_per_task)) for r in counts.collect()]
     if not hot:
         return left.join(right, on, how)
-    spot = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    many = left.withColumn("_salt", F.when(code.isin(hot), spot).otherwise(0))
-    copies = F.when(code.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    one = right.withColumn("_salt", F.explode(copies))
+    table = F.broadcast(left.sparkSession.createDataFrame(hot, "_code long, _salts long"))
+    spot = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.col("_salts"))
+    many = (left.withColumn("_code", code).join(table, "_code", "left")
+            .withColumn("_salt", F.coalesce(spot, F.lit(0).cast("long"))).drop("_code", "_salts"))
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    one = (right.withColumn("_code", code).join(table, "_code", "left")
+           .withColumn("_salt", F.explode(copies)).drop("_code", "_salts"))
     return many.join(one, [*on, "_salt"], how).drop("_salt")
 
 

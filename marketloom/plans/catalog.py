@@ -25,7 +25,8 @@ from marketloom.operators.labels import add_signal_label, class_index, fit_thres
 from marketloom.operators.layout import Series
 from marketloom.operators.skew import join_dimension
 from marketloom.plans import pipeline
-from marketloom.schemas import ARTICLE_META, FEATURES, FIELDS, INDICATORS
+from marketloom.schemas import (
+    ARTICLE_META, FEATURES, FIELDS, INDICATORS, NEWS_PAYLOAD, SYMBOL_NEWS_PAYLOAD)
 from marketloom.session import materialize, scratch_path
 from marketloom.sources import models, news, prices
 from marketloom.streaming import articles as stream
@@ -87,7 +88,7 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def wide_to_long(spark: SparkSession, folder: str) -> DataFrame:
     panel = hourly_bars(spark, folder)
-    names = [r[0] for r in panel.select("Ticker").distinct().orderBy("Ticker").limit(1000).collect()]
+    names = sorted(r[0] for r in panel.select("Ticker").distinct().limit(bars.WIDE_TICKERS + 1).collect())
     return rounded(bars.wide_to_long(bars.long_to_wide(panel, names)), 8)
 
 
@@ -302,17 +303,27 @@ def fetch_results(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("error on page "), F.col("page_id").cast("string")).alias("error_message"))
 
 
+def _with_bad(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """Records and quarantined payloads (as title) told apart by ``kind``."""
+    return good.withColumn("kind", F.lit("good")).unionByName(
+        bad.select(F.col("payload").alias("title"), F.lit("bad").alias("kind")), allowMissingColumns=True)
+
+
 def news_flatten(spark: SparkSession, folder: str) -> DataFrame:
-    """One payload per document holding the article, a null element and an empty one."""
+    """One payload per document holding the article, a null element and an empty one, and one that is
+    cut off."""
     a = document_articles(spark, folder)
     article = F.to_json(F.struct("title", "author", "url"), {"ignoreNullFields": "false"})
     payload = F.concat(F.lit('{"status":"ok","totalResults":3,"articles":['), article,
                        F.lit(",null,{}]}"))
-    return news.flatten_news(a.select(payload.alias("payload")))
+    cut = F.concat(F.lit('{"status":"ok","articles":[{"title": "'), F.col("doc_id").cast("string"))
+    both = a.select(F.explode(F.array(payload, cut)).alias("payload"))
+    return _with_bad(news.flatten_news(both), news.bad_payloads(both, NEWS_PAYLOAD))
 
 
 def symbol_news(mode: str, spark: SparkSession, folder: str) -> DataFrame:
-    """One payload per document: its source with one item per sentence, and a symbol without any."""
+    """One payload per document: its source with one item per sentence, and a symbol without any;
+    and one payload that is cut off."""
     docs = table(spark, folder, "documents")
     item = F.transform(lexicon.sentences(F.col("text")), lambda s: F.struct(F.struct(
         s.alias("title"),
@@ -321,7 +332,9 @@ def symbol_news(mode: str, spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.col("lang").alias("displayName")).alias("provider")).alias("content")))
     payload = F.to_json(F.map_from_arrays(
         F.array(F.col("source"), F.lit("none")), F.array(item, F.filter(item, lambda i: F.lit(False)))))
-    return news.flatten_symbol_news(docs.select(payload.alias("payload")), mode=mode)
+    cut = F.concat(F.lit('{"none": [{"content": {"title": "'), F.col("doc_id").cast("string"))
+    both = docs.select(F.explode(F.array(payload, cut)).alias("payload"))
+    return _with_bad(news.flatten_symbol_news(both, mode=mode), news.bad_payloads(both, SYMBOL_NEWS_PAYLOAD))
 
 
 def json_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -368,10 +381,12 @@ def html_text(spark: SparkSession, folder: str) -> DataFrame:
 def incremental_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Two batches of files through one checkpoint, with a rerun that must add nothing."""
     meta = document_articles(spark, folder).drop("doc_id")
-    pages = table(spark, folder, "pages")
+    pages = fetch_results(spark, folder)
     src, out, ckpt = (scratch_path(spark, n) for n in ("incoming", "processed", "progress"))
     for _ in range(2):
         news.write_json_lines(meta, src, mode="append")
+        meta.select(F.concat(F.lit('{"title": '), F.col("author")).alias("value")).write.mode(
+            "append").text(src)
         for _ in range(2):
             s = stream.processed_stream(stream.article_stream(spark, src), pages)
             stream.run_incremental(s, out, ckpt).awaitTermination()

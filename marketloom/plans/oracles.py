@@ -311,11 +311,14 @@ SELECT CAST(sum(n) AS BIGINT) AS n, round(100.0 * sum(correct) / sum(n), 6) AS a
 c AS (SELECT signal_label, count(*) AS n FROM sides WHERE side = 'train' AND {_ALL} GROUP BY 1)
 SELECT signal_label, (SELECT max(n) FROM c) AS n FROM c""",
 
-    "news_flatten": f"WITH {_ARTICLES} SELECT title, author, url FROM articles",
+    "news_flatten": f"""WITH {_ARTICLES} SELECT title, author, url, 'good' AS kind FROM articles
+UNION ALL SELECT '{{"status":"ok","articles":[{{"title": "' || doc_id, NULL, NULL, 'bad' FROM articles""",
     "symbol_news_all": f"""SELECT unnest({_SPLIT.format("text")}) AS title, lang AS author,
-  'http://news.example.com/' || doc_id AS url, source AS symbol FROM documents""",
+  'http://news.example.com/' || doc_id AS url, source AS symbol, 'good' AS kind FROM documents
+UNION ALL SELECT '{{"none": [{{"content": {{"title": "' || doc_id, NULL, NULL, NULL, 'bad' FROM documents""",
     "symbol_news_last": f"""SELECT {_SPLIT.format("text")}[-1] AS title, lang AS author,
-  'http://news.example.com/' || doc_id AS url, source AS symbol FROM documents""",
+  'http://news.example.com/' || doc_id AS url, source AS symbol, 'good' AS kind FROM documents
+UNION ALL SELECT '{{"none": [{{"content": {{"title": "' || doc_id, NULL, NULL, NULL, 'bad' FROM documents""",
     "json_lines": f"""WITH {_ARTICLES}
 SELECT title, author, url, symbol, 'good' AS kind FROM articles
 UNION ALL SELECT 'null', NULL, NULL, NULL, 'bad' FROM articles
@@ -329,8 +332,8 @@ SELECT title, url, author, CASE WHEN status = 'success' THEN {_page_text("html")
   symbol FROM fetched""",
     "html_main_text": f"SELECT page_id, {_page_text('html')} AS content FROM pages",
     "incremental_articles": f"""WITH {_FETCHED}
-SELECT CASE WHEN page_id IS NULL THEN 'network_error' ELSE 'success' END AS status, symbol, 2 * count(*) AS n
-FROM fetched GROUP BY 1, 2""",
+SELECT status, symbol, 2 * count(*) AS n FROM fetched GROUP BY 1, 2
+UNION ALL SELECT 'malformed_line', NULL, 2 * count(*) FROM documents""",
     "chunks_fixed": f"""WITH {_CHUNKS}
 SELECT doc_id, length(text) > 1792 AS is_long, pos, chunk FROM chunks""",
     "doc_sentiment": f"""WITH {_CHUNKS},

@@ -11,8 +11,17 @@ from pyspark.sql import types as T
 from marketloom.schemas import NEWS_PAYLOAD, SYMBOL_NEWS_PAYLOAD
 
 
+def bad_payloads(payloads: DataFrame, schema: T.DataType, payload: str = "payload") -> DataFrame:
+    """The payloads that are no JSON record of ``schema``, to be kept aside; a null one is none."""
+    p = F.col(payload)
+    return payloads.where(p.isNotNull() & (F.from_json(p, schema).isNull() | ~p.rlike(r"^\s*\{")
+                                           | F.get_json_object(p, "$").isNull()))
+
+
 def flatten_news(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row (title, author, url) per non-empty article of the general news payloads (JSON)."""
+    """One row (title, author, url) per non-empty article of the general news payloads (JSON).
+
+    Payloads that do not parse yield nothing here; ``bad_payloads`` returns them."""
     a = F.col("article")
     empty = a.isNull() | (F.to_json(a) == "{}")
     return (payloads.select(F.explode(F.from_json(payload, NEWS_PAYLOAD)["articles"]).alias("article"))

@@ -4,27 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from marketloom.functions.expressions import fetch_status
-from marketloom.operators.articles import processed_articles, valid_articles
+from marketloom.functions.expressions import fetch_status, symbol_or_default
+from marketloom.functions.html_text import html_main_text
+from marketloom.operators.articles import outcome_columns
 from marketloom.schemas import ARTICLE_META
 
 
 def article_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """New article metadata files (JSON lines) as a stream."""
-    return (spark.readStream.schema(ARTICLE_META).option("maxFilesPerTrigger", files_per_trigger)
-            .json(path))
+    """New article metadata files (JSON lines) as a stream.
+
+    A line that is no record comes as ``_bad`` with all other columns null; blank lines are skipped."""
+    lines = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+             .where(F.col("value").rlike(r"\S")))
+    full = T.StructType([*ARTICLE_META.fields, T.StructField("_corrupt", T.StringType())])
+    record = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = lines.withColumn("_r", record)
+    ok = F.coalesce(F.col("_r").isNotNull() & F.col("_r._corrupt").isNull()
+                    & F.col("value").rlike(r"^\s*\{"), F.lit(False))
+    return parsed.select(*[F.when(ok, F.col(f"_r.{c}")).alias(c) for c in ARTICLE_META.names],
+                         F.when(~ok, F.col("value")).alias("_bad"))
 
 
 def processed_stream(meta: DataFrame, pages: DataFrame) -> DataFrame:
-    """Streaming metadata joined to the page table and turned into processed articles."""
-    page = pages.select("url", "html", F.lit(True).alias("_known"))
-    kind = F.when(F.col("_known").isNull(), "network")
-    fetched = valid_articles(meta).join(page, "url", "left").withColumns({
-        "status": fetch_status(F.lit(None).cast("int"), kind),
-        "error_message": F.lit(None).cast("string")})
-    return processed_articles(fetched)
+    """Streaming metadata joined to the page table and turned into processed articles.
+
+    Outcomes are those of ``fetch_from_table``: ``pages`` may hold ``http_status``, ``error_kind`` and
+    ``error_message``. Lines that are no record come out as ``malformed_line`` with the line as
+    details, so nothing that arrived is lost. The main text is taken per page before the join.
+    """
+    page = outcome_columns(pages)
+    status = fetch_status(F.col("http_status"), F.col("error_kind"))
+    page = page.select("url", status.alias("_status"), "error_message", F.when(
+        status == "success", html_main_text(F.when(status == "success", F.col("html")))).alias("_text"))
+    bad = meta["_bad"] if "_bad" in meta.columns else F.lit(None).cast("string")
+    rows = meta.withColumn("_bad", bad)
+    keep = F.col("_bad").isNotNull() | (F.coalesce("url", F.lit("")) != "")
+    rows = rows.where(keep).withColumn("symbol", F.when(
+        F.col("_bad").isNull(), symbol_or_default(F.col("symbol"))))
+    got = rows.join(page, "url", "left")
+    status = F.when(F.col("_bad").isNotNull(), "malformed_line").otherwise(
+        F.coalesce("_status", F.lit("network_error")))
+    return got.withColumn("status", status).select(
+        "title", "url", "author", F.coalesce("_text", F.lit("")).alias("scraped_content"), "status",
+        F.when(F.col("_bad").isNotNull(), F.col("_bad")).when(
+            F.col("status") == "unexpected_exception", F.coalesce("error_message", F.lit("")))
+        .otherwise("").alias("error_details"), "symbol")
 
 
 def run_incremental(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -115,7 +115,7 @@ def test_spread_join_equals_join(spark, how):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"),
         "id")
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 500, 2)], "k string, v int")
-    got = spread_join(left, right, ["k"], how, salts=8)
+    got = spread_join(left, right, ["k"], how, rows_per_task=20)
     want = left.join(right, "k", how)
     assert got.columns == want.columns
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
