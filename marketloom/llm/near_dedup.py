@@ -5,9 +5,9 @@
    class before anything is compared; only its smallest id goes on.
 2. 50 bands of 6 values are the candidate keys: a pair of similarity 0.75 shares none with
    probability 6e-5, one of 0.8 with 3e-7. Each bucket links its members to its smallest member
-   only. Buckets that still hold several components then compare the members outside their
-   largest component with the other members, so no candidate between components is left out,
-   while copies never meet each other in pairs.
+   only. The documents of buckets that still hold several components are then joined by exact
+   prefix and position filters over their whole sets, between components only, so no candidate
+   is left out while copies never meet each other in pairs.
 3. Candidates are compared by batches of 20 values. A pair is dropped as soon as the posterior
    probability (uniform prior) of similarity >= 0.75 falls below ``miss``.
 4. Survivors are confirmed on the full shingle sets of their whole texts.
@@ -225,6 +225,49 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         before = after
 
 
+def between_components(mixed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``mixed`` (b, c: document and component) in different components that may be
+    alike, by prefix and position filters over whole sets; no pair that is alike is missing.
+
+    A document's shingles stand in one common order, rare ones first. Alike documents share one of
+    the first n - ceil(n * percent / 100) + 1, at a place that leaves enough shingles behind it. Copies
+    with many edits of their own start with shingles nobody shares, so they meet nobody."""
+    def run(batches):
+        s = Shingler()
+        for b in _slices(batches, 128):
+            sets = [s.shingles(s.words(t)) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate(sets).view(np.int64) if ends[-1] else np.zeros(0, np.int64)
+            tag = [int(x[len(x) // 2] >> np.uint64(1)) if len(x) else 0 for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(tag, pa.int64()), pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "tag", "words"])
+
+    ids = mixed.select(F.col("b").alias("doc_id")).distinct()
+    sets = materialize(join_narrow(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi")
+                       .select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, tag long, words array<bigint>"), "sets")
+    each = sets.select("doc_id", "tag", F.size("words").alias("n"), F.explode("words").alias("w"))
+    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = (each.join(often, "w").groupBy("doc_id", "tag", "n")
+               .agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("known"))
+               .select("doc_id", "tag", "n", F.size("known").alias("m"), F.posexplode("known").alias("i", "k"))
+               .withColumn("at", F.col("n") - F.col("m") + F.col("i"))
+               .where((F.col("n") - F.col("at")) * 100 >= percent * F.col("n")))
+    rows = materialize(ordered.join(mixed.withColumnRenamed("b", "doc_id"), "doc_id")
+                       .select("k.w", "doc_id", "c", "n", "at"), "prefixes")
+    counts = rows.groupBy("w", "c").agg(F.count(F.lit(1)).alias("docs"))
+    major = (counts.groupBy("w").agg(F.max(F.struct("docs", "c")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+             .where("kinds > 1").select("w", F.col("top.c").alias("major")))
+    shared = materialize(rows.join(major, "w"), "shared")
+    return (shared.where("c <> major").alias("x").join(shared.alias("y"), "w")
+            .where("x.c <> y.c and (y.c = y.major or x.doc_id < y.doc_id)")
+            .where((F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) * (100 + percent)
+                    >= percent * F.expr("x.n + y.n")))
+            .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+            .distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -254,14 +297,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> D
     part = components(found)
     rows = (shared.join(part.withColumnRenamed("node", "b"), "b", "left")
             .select("bucket", "b", F.coalesce("component", "b").alias("c")))
-    counts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    major = (counts.groupBy("bucket").agg(
-        F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-        .where("kinds > 1").select("bucket", F.col("top.c").alias("major")))
-    mixed = materialize(rows.join(major, "bucket"), "mixed")
-    rest = (mixed.where("c <> major").alias("x").join(mixed.alias("y"), "bucket")
-            .where("x.c <> y.c and (y.c = y.major or x.b < y.b)")
-            .select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct())
+    kinds = rows.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    mixed = materialize(rows.join(kinds.where("least <> most"), "bucket", "left_semi")
+                        .select("b", "c").distinct(), "mixed")
+    rest = between_components(mixed, docs, percent)
     more = verify(materialize(bayes_prune(rest, nodes, percent / 100, miss), "pairs"), docs, percent)
     links = found.unionByName(more).unionByName(members.where("doc_id <> rep").toDF("b", "a"))
     part = components(links)
