@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` puts it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def own(name: str) -> str:
     """A column name no input column has."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"
@@ -47,3 +53,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
             .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(bound))
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(rows), "doc_id"))
+
+
+def text_sample(docs: DataFrame, texts: int) -> DataFrame:
+    """(text): about ``texts`` different non-empty texts of ``docs``, those whose hash falls below a
+    share set by the row count; copies fall in or out together, and a re-run takes the same."""
+    n = max(1, docs.count())
+    share = min(1_000_000, -(-1_000_000 * texts // n))
+    return (docs.where("length(text) > 0")
+            .where(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1_000_000)) < share).select("text").distinct())

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import BROADCAST_ROWS
+from marketloom.llm.common import BROADCAST_ROWS, let
 from marketloom.session import materialize
 
 PARAGRAPH = r"(?s).{96}[^.!?\n]{0,128}[.!?\n]*|.+"
@@ -29,11 +29,6 @@ ROUNDS = 10
 NONE = "array<struct<n:int,k:bigint,c:bigint>>"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs; none for null or empty text."""
     cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))

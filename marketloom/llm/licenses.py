@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import let, text_sample
 from marketloom.session import materialize
 
 UNKNOWN = "unknown"
@@ -76,6 +77,12 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "text string, family string")
 
 
+def softmax(z: Column, temperature: float) -> Column:
+    return let(z, lambda v: let(F.array_max(v), lambda top: let(
+        F.transform(v, lambda x: F.exp((x - top) / temperature)), lambda e: let(
+            F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))))
+
+
 @dataclass
 class LicenseModel:
     vocabulary: list[str]
@@ -89,11 +96,8 @@ class LicenseModel:
             self.vocabulary, inputCol=gram_column, outputCol="_v", minTF=1.0)
         vector.setBinary(True)
         out = PipelineModel([vector, self.regression]).transform(rows)
-        z = F.transform(vector_to_array("_raw"), lambda x: x / self.temperature)
-        top = F.array_max(z)
-        e = F.transform(z, lambda x: F.exp(x - top))
-        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        return out.withColumn("probabilities", F.transform(e, lambda x: x / total)).drop("_v", "_raw", "_p", "_k")
+        return out.withColumn("probabilities", softmax(vector_to_array("_raw"), self.temperature)).drop(
+            "_v", "_raw", "_p", "_k")
 
 
 def paragraphs(docs: DataFrame, anchors: list[str] | None = None) -> DataFrame:
@@ -109,15 +113,13 @@ def paragraphs(docs: DataFrame, anchors: list[str] | None = None) -> DataFrame:
 
 
 def fit(docs: DataFrame, bound: int = 4_000, common: float = 0.002, penalty: float = 0.0005) -> LicenseModel:
-    """Train on the notices and at most ``bound`` documents' first 20 lines (smallest hashes of the
-    text) that no license family name occurs in, as unknown paragraphs. A word in more than
+    """Train on the notices and the first 20 lines of about ``bound`` texts (chosen by hash) that no license family name occurs in, as unknown paragraphs. A word in more than
     ``common`` of those lines is no anchor."""
     spark = docs.sparkSession
     own = notices(spark).withColumn("w", words(F.col("text")))
     names = ["license", "licensed", "licence", "licenses", "copyright", "rights", "cc", "gnu", "apache", "mit",
              "bsd", "mozilla", "gpl", "creative", "permission", "redistribution", "unlicense"]
-    some = (docs.where("length(text) > 0").select("text").distinct()
-            .orderBy(F.xxhash64("text"), "text").limit(bound).repartition(6, F.xxhash64("text"))
+    some = (text_sample(docs, bound).repartition(6, F.xxhash64("text"))
             .select(F.explode(F.slice(F.split("text", "\n"), 1, 20)).alias("text"))
             .where(F.trim("text") != "").withColumn("w", words(F.col("text")))
             .where(~F.arrays_overlap("w", F.lit(names))).distinct())
@@ -148,10 +150,8 @@ def fit(docs: DataFrame, bound: int = 4_000, common: float = 0.002, penalty: flo
     z = regression.transform(made.where("kept_out")).select("label", held.alias("z"))
 
     def loss(t: float) -> Column:
-        scaled = F.transform("z", lambda x: x / t)
-        top = F.array_max(scaled)
-        total = F.aggregate(F.transform(scaled, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-        return F.avg(F.log(total) + top - F.element_at(scaled, F.col("label").cast("int") + 1))
+        p = F.element_at(softmax(F.col("z"), t), F.col("label").cast("int") + 1)
+        return F.avg(-F.log(F.greatest(p, F.lit(1e-12))))
 
     grid = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8]
     values = z.agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(grid)]).first()
@@ -175,8 +175,8 @@ def scan(docs: DataFrame, model: LicenseModel, least: float = 0.5, share: float
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     spark = docs.sparkSession
     known = spark.createDataFrame([(f, n) for f, all_ in FAMILIES.items() for n in all_], "family string, notice string")
-    pair = F.array_distinct(F.when(F.size(words(F.col("notice"))) < 2, words(F.col("notice")))
-                            .otherwise(grams(words(F.col("notice")), 2)))
+    pair = let(words(F.col("notice")), lambda w: F.array_distinct(
+        F.when(F.size(w) < 2, w).otherwise(grams(w, 2))))
     known = known.groupBy("family").agg(F.collect_list(pair).alias("pairs"))  # of the fixed table above
     held = F.array_distinct(F.concat("w", grams(F.col("w"), 2)))
     best_share = F.array_max(F.transform("pairs", lambda p: F.size(F.array_intersect(p, F.col("held"))) / F.size(p)))

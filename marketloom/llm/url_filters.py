@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import BROADCAST_ROWS
+from marketloom.llm.common import BROADCAST_ROWS, let
 from marketloom.session import materialize
 
 SPAN = 91  # days in a bucket
@@ -27,17 +27,17 @@ def host(url: Column) -> Column:
 
 def keys(url: Column) -> Column:
     """The host, its parent domains of two or more labels, the host with one and two path parts."""
-    h = host(url)
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    parents = F.when(n < 2, F.array(h)).otherwise(F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(labels, i, n - i + 1), ".")))
-    parts = F.filter(F.split(F.regexp_extract(url, URL, 2), "/"), lambda x: x != "")
-    paths = F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda i: i <= F.size(parts)),
-                        lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
-    return F.when(h == "", F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.concat(parents, paths)))
+    def parents(labels: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
+                           lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+
+    def paths(h: Column, parts: Column) -> Column:
+        return F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda i: i <= F.size(parts)),
+                           lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+
+    steps = F.filter(F.split(F.regexp_extract(url, URL, 2), "/"), lambda x: x != "")
+    return let(host(url), lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.concat(let(F.split(h, r"\."), parents), let(steps, lambda s: paths(h, s))))))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
