@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import join_narrow, own
+from marketloom.llm.common import join_narrow, own, text_sample
 from marketloom.session import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -147,10 +147,10 @@ def _plant(r: random.Random) -> tuple[str, str, int]:
 
 
 def findings(docs: DataFrame, documents: int = 1_500, each: int = 8) -> DataFrame:
-    """(text, path, start, label): findings planted in excerpts of at most ``documents`` documents
-    (smallest hashes of the text), ``each`` per document, the same on every run."""
-    some = (docs.where("length(text) > 0").select(F.substring("text", 1, 600).alias("text")).distinct()
-            .orderBy(F.xxhash64("text"), "text").limit(documents).repartition(6, F.xxhash64("text")))
+    """(text, path, start, label): findings planted in excerpts of about ``documents`` texts
+    (chosen by hash), ``each`` per text, the same on every run."""
+    some = (text_sample(docs, documents).select(F.substring("text", 1, 600).alias("text"))
+            .repartition(6, F.xxhash64("text")))
 
     def run(batches):
         for b in batches:
