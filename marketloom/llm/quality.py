@@ -130,4 +130,5 @@ def score(docs: DataFrame, model: QualityModel, into: str = "score") -> DataFram
 
     All columns and rows stay, repeated rows get equal scores."""
     s = own("s")
-    return add_statistics(docs, "text", s).withColumn(into, model.score(s)).drop(s)
+    # generated, so that a filter on it stays above and does not compute the statistics per rule
+    return add_statistics(docs, "text", s).withColumn(into, F.explode(F.array(model.score(s)))).drop(s)
