@@ -24,7 +24,7 @@ from marketloom.session import materialize
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 WORD_PART = 48  # longer runs of letters are scored in parts of this length
-CACHE = 200_000
+CACHE = 500_000  # words a task keeps the sums of
 
 
 def pieces(path: str) -> dict[str, int]:
@@ -34,15 +34,22 @@ def pieces(path: str) -> dict[str, int]:
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     names = {p.id_to_piece(i).lower() for i in range(p.get_piece_size())}
     names = sorted(n for n in names if re.fullmatch(r"▁?[^\W\d_]+|▁", n))
+    if len(names) >= 1 << 16:
+        raise ValueError("a vocabulary of at most 65,535 pieces is needed")
     return {n: i + 1 for i, n in enumerate(names)}
 
 
+def parts(word: str) -> list[str]:
+    """The word with the mark of its start, in pieces of at most WORD_PART letters."""
+    return ["▁" + word[:WORD_PART], *(word[i:i + WORD_PART] for i in range(WORD_PART, len(word), WORD_PART))]
+
+
 def text_words(text: str | None) -> Counter:
-    """Counts of the lower-cased runs of letters, each starting with the word mark."""
+    """Counts of the parts of the lower-cased runs of letters."""
     out: Counter = Counter()
     for w, n in Counter(LETTERS.findall((text or "").lower())).items():
-        for i in range(0, len(w), WORD_PART):
-            out["▁" + w[i:i + WORD_PART] if i == 0 else w[i:i + WORD_PART]] += n
+        for x in parts(w):
+            out[x] += n
     return out
 
 
@@ -50,27 +57,28 @@ class Lattice:
     """All segmentations of words as edges (word, from, to, piece)."""
 
     def __init__(self, index: dict[str, int]) -> None:
-        self.index = index
-        self.starts = {p[:i] for p in index for i in range(1, len(p) + 1)}
+        # every beginning of a piece, with the piece's number if it is one itself
+        self.known = {p[:i]: -1 for p in index for i in range(1, len(p) + 1)} | index
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        get, starts = self.index.get, self.starts
-        word, begin, end, piece = [], [], [], []
+        get, out = self.known.get, []
+        add = out.append
         for k, w in enumerate(words):
             n = len(w)
             for i in range(n):
-                single = True
-                for j in range(i + 1, n + 1):
-                    s = w[i:j]
-                    if s not in starts:
+                at = k << 28 | i << 22
+                p = get(w[i])
+                add(at | i + 1 << 16 | (p if p and p > 0 else 0))
+                if p is None:
+                    continue
+                for j in range(i + 2, n + 1):
+                    p = get(w[i:j])
+                    if p is None:
                         break
-                    p = get(s)
-                    if p is not None:
-                        single = single and j > i + 1
-                        word.append(k), begin.append(i), end.append(j), piece.append(p)
-                if single:
-                    word.append(k), begin.append(i), end.append(i + 1), piece.append(0)
-        return tuple(np.array(x, np.int64) for x in (word, begin, end, piece))
+                    if p > 0:
+                        add(at | j << 16 | p)
+        code = np.array(out, np.int64)
+        return code >> 28, code >> 22 & 63, code >> 16 & 63, code & 65_535
 
 
 def _forward(words: list[str], edges, prob: np.ndarray) -> np.ndarray:
@@ -101,6 +109,13 @@ class LanguageModel:
         last = alpha[np.arange(len(words)), [len(w) for w in words]]
         return np.log(np.maximum(last, 1e-300))
 
+    def scores(self, words: list[str], lattice: Lattice) -> np.ndarray:
+        """Log probability of each run of letters, the sum over its parts."""
+        cut = [parts(w) for w in words]
+        flat = self.word_scores([x for c in cut for x in c], lattice)
+        starts = np.cumsum([0, *map(len, cut)])[:-1]
+        return np.add.reduceat(flat, starts, axis=0)
+
 
 def fit(docs: DataFrame, each: int = 400, chars: int = 20_000_000, rounds: int = 3,
         add: float = 0.05, vocabulary: str = VOCABULARY) -> LanguageModel | None:
@@ -170,23 +185,27 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
     languages, index = model.languages, pieces(model.vocabulary)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lattice, known = Lattice(index), {}
+        lattice, known, table = Lattice(index), {}, np.zeros((0, len(languages)))
         for series in batches:
             out = []
             for at in range(0, len(series), 256):
-                counted = [text_words(t) for t in series.iloc[at:at + 256]]
-                fresh = list({w for c in counted for w in c if w not in known})
+                counted = [Counter(LETTERS.findall(t.lower())) if t else Counter()
+                           for t in series.iloc[at:at + 256]]
+                fresh = set().union(*counted) - known.keys()
                 if len(known) + len(fresh) > CACHE:
-                    known.clear()
-                    fresh = list({w for c in counted for w in c})
-                for i in range(0, len(fresh), 8192):
-                    part = fresh[i:i + 8192]
-                    known.update(zip(part, model.word_scores(part, lattice)))
+                    known, table = {}, table[:0]
+                    fresh = set().union(*counted)
+                if fresh:
+                    words = list(fresh)
+                    known.update(zip(words, range(len(known), len(known) + len(words))))
+                    table = np.concatenate([table, *(
+                        model.scores(words[i:i + 8192], lattice) for i in range(0, len(words), 8192))])
                 for c in counted:
                     if not c:
                         out.append(("und", 0.0))
                         continue
-                    total = np.array([known[w] for w in c]).T @ np.fromiter(c.values(), float, len(c))
+                    rows = np.fromiter(map(known.__getitem__, c), np.int64, len(c))
+                    total = np.fromiter(c.values(), float, len(c)) @ table[rows]
                     k = int(total.argmax())
                     out.append((languages[k], float(1 / np.exp(total - total[k]).sum())))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])

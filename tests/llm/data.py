@@ -11,7 +11,7 @@ def prose(r, n, letters="abcdefgh"):
 
 def frame(spark, rows):
     """rows: (doc_id, text[, lang, source])."""
-    full = [(i, t, *(rest or ("en", "s0")), len(t) if t else 0) for i, t, *rest in rows]
+    full = [(i, t, *(*rest, *("en", "s0")[len(rest):]), len(t) if t else 0) for i, t, *rest in rows]
     return spark.createDataFrame(full, DOCS)
 
 
