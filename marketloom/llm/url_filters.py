@@ -115,15 +115,15 @@ WITH p AS (
   SELECT page_id, url, regexp_replace(lower(regexp_extract(url,
       '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)', 1)), '^.*@|:[0-9]*$|\\.$', '', 'g') AS host,
     list_filter(string_split(regexp_extract(url,
-      '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)', 2), '/'), x -> x <> '') AS parts,
+      '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)', 2), '/'), lambda x: x <> '') AS parts,
     ('0x' || substr(md5(concat_ws('|', page_id::VARCHAR, url)), 1, 6))::INT AS n
   FROM pages),
 k AS (
   SELECT page_id, url, n, unnest(list_distinct(list_concat(
     list_transform(range(1, greatest(len(string_split(host, '.')), 2)),
-      i -> array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(list_filter([1, 2], i -> i <= len(parts)),
-      i -> host || '/' || array_to_string(parts[1:i], '/'))))) AS key
+      lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(list_filter([1, 2], lambda i: i <= len(parts)),
+      lambda i: host || '/' || array_to_string(parts[1:i], '/'))))) AS key
   FROM p WHERE host <> ''),
 e AS (
   SELECT key, ('0x' || substr(md5(key), 1, 6))::INT AS m FROM (SELECT DISTINCT key FROM k)
