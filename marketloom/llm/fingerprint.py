@@ -195,7 +195,7 @@ def with_next(docs: DataFrame, per_block: int = 512, coarse: int = 256) -> DataF
     tails = (follow.join(texts, F.col("n_id").eqNullSafe(F.col("x_id")) & (F.col("n_h") == F.col("x_h")))
              .select("c", "s", "head_text"))
     inside = rows.withColumn("lead_text", F.lead("text").over(Window.partitionBy("c", "s").orderBy(*order)))
-    return (inside.hint("shuffle_hash").join(materialize(tails, "tails"), ["c", "s"], "left")
+    return (inside.join(materialize(tails, "tails").hint("shuffle_hash"), ["c", "s"], "left")
             .select("doc_id", "text", F.coalesce("lead_text", "head_text").alias("next_text")))
 
 
