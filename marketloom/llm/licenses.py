@@ -141,7 +141,7 @@ def fit(docs: DataFrame, bound: int = 4_000, common: float = 0.002, penalty: flo
     vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="g", outputCol="_v", minTF=1.0)
     vector.setBinary(True)
     rows = materialize(rows.select("label", "g", (F.crc32(F.col("text").cast("binary")) % 5 == 0).alias("kept_out")), "training")
-    made = vector.transform(rows).repartition(6).cache()
+    made = vector.transform(rows).repartition(2).cache()
     regression = LogisticRegression(
         featuresCol="_v", labelCol="label", elasticNetParam=1.0, regParam=penalty, family="multinomial",
         standardization=False, maxIter=60, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_k",
