@@ -67,7 +67,7 @@ def grams(w: Column, n: int) -> Column:
 
 
 def all_grams(w: Column) -> Column:
-    return F.concat(w, grams(w, 2), grams(w, 3))
+    return let(w, lambda v: F.concat(v, grams(v, 2), grams(v, 3)))
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -178,7 +178,7 @@ def scan(docs: DataFrame, model: LicenseModel, least: float = 0.5, share: float
     pair = let(words(F.col("notice")), lambda w: F.array_distinct(
         F.when(F.size(w) < 2, w).otherwise(grams(w, 2))))
     known = known.groupBy("family").agg(F.collect_list(pair).alias("pairs"))  # of the fixed table above
-    held = F.array_distinct(F.concat("w", grams(F.col("w"), 2)))
+    held = let(F.col("w"), lambda v: F.array_distinct(F.concat(v, grams(v, 2))))
     best_share = F.array_max(F.transform("pairs", lambda p: F.size(F.array_intersect(p, F.col("held"))) / F.size(p)))
     return (scored.withColumn("held", held).join(F.broadcast(known), "family")
             .select("doc_id", "paragraph", "family", "probability", best_share.alias("template_share"))
