@@ -25,14 +25,14 @@ def host(url: Column) -> Column:
     return F.coalesce(name, F.lit(""))
 
 
-def keys(url: Column) -> Column:
-    """The host, its parent domains of two or more labels, the host with one and two path parts."""
+def keys(url: Column, depth: int = 2) -> Column:
+    """The host, its parent domains of two or more labels, the host with 1 to ``depth`` path parts."""
     def parents(labels: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
 
     def paths(h: Column, parts: Column) -> Column:
-        return F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda i: i <= F.size(parts)),
+        return F.transform(F.filter(F.sequence(F.lit(1), F.lit(max(1, depth))), lambda i: i <= F.least(F.size(parts), F.lit(depth))),
                            lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
 
     steps = F.filter(F.split(F.regexp_extract(url, URL, 2), "/"), lambda x: x != "")
@@ -44,10 +44,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(list, key, since, until): active from ``since`` up to, not including, ``until`` (or null).
 
     ``entries``: (list, key, action 'add' or 'remove', day). On one day a removal wins. Rows with a
-    null or another action are ignored. A key's history has one row a day at most, which bounds it."""
+    null or another action are ignored. Case counts in path parts only. A key's history has one row a day at most, which bounds it."""
+    name = F.substring_index("key", "/", 1)
+    key = F.concat(F.lower(name), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))
     days = (entries.where("list is not null and key is not null and day is not null "
                           "and action in ('add', 'remove')")
-            .groupBy("list", F.lower("key").alias("key"), F.to_date("day").alias("since"))
+            .groupBy("list", key.alias("key"), F.to_date("day").alias("since"))
             .agg(F.max("action").alias("action")))
     w = Window.partitionBy("list", "key").orderBy("since")
     return (days.withColumn("until", F.lead("since").over(w)).where("action = 'add'")
@@ -62,6 +64,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     asked = (captures.select(F.col(url).alias("u"), F.to_date(day).alias("d"))
              .where("u is not null and d is not null").distinct())
     active = materialize(intervals(entries), "intervals")
+    depth = active.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0  # of the longest entry
     last = captures.agg(F.max(F.to_date(day))).first()[0]
     epoch = F.lit("1970-01-01").cast("date")
 
@@ -72,7 +75,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     dealt = active.where(end >= F.col("since")).withColumn(
         "bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(end))))
     small = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    looked = asked.select("u", "d", bucket(F.col("d")).alias("bucket"), F.explode(keys(F.col("u"))).alias("key"))
+    looked = asked.select("u", "d", bucket(F.col("d")).alias("bucket"), F.explode(keys(F.col("u"), depth)).alias("key"))
     found = (looked.join(F.broadcast(dealt) if small else dealt, ["key", "bucket"])
              .where("since <= d and (until is null or d < until)")
              .groupBy("u", "d").agg(

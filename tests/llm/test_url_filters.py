@@ -43,3 +43,13 @@ def test_empty_tables(spark):
     entries = spark.createDataFrame([], "list string, key string, action string, day date")
     assert [x.blocked for x in url_filters.judge(captures, entries).collect()] == [False]
     assert url_filters.judge(captures.limit(0), entries).collect() == []
+
+
+def test_deep_and_capital_paths(spark):
+    day = dt.date(2024, 1, 1)
+    entries = [("l1", "Site.ORG/Docs", "add", day), ("l2", "site.org/a/b/c/d", "add", day)]
+    urls = ["http://site.org/Docs", "http://SITE.org/Docs/x", "http://site.org/docs", "http://site.org/a/b/c/d/e",
+            "http://site.org/a/b/c", "http://site.org/a/b/c/D"]
+    got = url_filters.judge(spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched date"),
+                            spark.createDataFrame(entries, "list string, key string, action string, day date")).collect()
+    assert {x.page_id: x.lists for x in got} == {0: "l1", 1: "l1", 2: "", 3: "l2", 4: "", 5: ""}
