@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import (
-    decontaminate, fingerprint, language, licenses, mixing, near_dedup, quality, secrets, toxicity,
-    url_filters)
+    decontaminate, fingerprint, language, licenses, mixing, near_dedup, neighbours, quality, secrets,
+    spelling, toxicity, url_filters)
 from marketloom.llm.common import fold, table
 
 
@@ -65,8 +65,16 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(secrets.findings(docs)), path="source").drop("version")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_document_fingerprints, op3_toxicity, op4_quality_classifier,
     op5_source_mixing, op6_benchmark_decontamination, op7_minhash_near_dedup, op8_language_id,
-    op9_url_filters, op10_secret_scans)}
+    op9_url_filters, op10_secret_scans, op11_spelling_variants, op13_nearest_neighbours)}
 ORACLES: dict[str, str] = {"op9_url_filters": url_filters.ORACLE}
