@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import (
-    decontaminate, fingerprint, language, licenses, mixing, near_dedup, neighbours, quality, secrets,
-    spelling, toxicity, url_filters)
+    decontaminate, fingerprint, language, licenses, mixing, near_dedup, neighbours, prefix_trie, quality,
+    secrets, spelling, toxicity, url_filters)
 from marketloom.llm.common import fold, table
 
 
@@ -69,6 +69,10 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
 def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
 
@@ -76,5 +80,6 @@ def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_document_fingerprints, op3_toxicity, op4_quality_classifier,
     op5_source_mixing, op6_benchmark_decontamination, op7_minhash_near_dedup, op8_language_id,
-    op9_url_filters, op10_secret_scans, op11_spelling_variants, op13_nearest_neighbours)}
+    op9_url_filters, op10_secret_scans, op11_spelling_variants,
+    op12_conversation_trie, op13_nearest_neighbours)}
 ORACLES: dict[str, str] = {"op9_url_filters": url_filters.ORACLE}
