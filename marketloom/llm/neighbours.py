@@ -11,7 +11,8 @@
    queries the true neighbours are found by brute force in blocks, and visits widen until the
    recall among them reaches ``recall``. A query goes on while its leaves hold too few rows.
 4. Queries meet the blocks of their leaves in bounded groups; the cosine is taken in double precision
-   on the original vectors, and the k best of each group leave it.
+   on the original vectors, and the k best of each group leave it. The early leaves come first: what
+   the others hand on must reach the k-th score found there.
 """
 
 from __future__ import annotations
@@ -250,36 +251,37 @@ def build_index(table: DataFrame, k: int = 5, sample: int = SAMPLE, leaf_rows: i
 
 
 def visits_of(index: Index, queries: DataFrame, visits: int) -> DataFrame:
-    """(query_id, v, leaf): the leaves of each query (vec_id, v), best bin first; more than
-    ``visits`` while they hold too few rows for k neighbours."""
+    """(query_id, v, leaf, early): the leaves of each query (vec_id, v), best bin first; more than
+    ``visits`` while they hold too few rows for k neighbours. The first eighth is ``early``."""
     tree, sizes, width, k = index.tree, index.sizes, index.width, index.k
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                ids, leaves = [], []
+                ids, leaves, early = [], [], []
                 for q, unit in enumerate(_unit(_matrix(part.column("v").to_pylist(), width))):
                     held = 0
                     for seen, leaf in enumerate(tree.best_first(unit)):
                         if seen >= visits and held > k:
                             break
+                        early.append(seen < max(1, visits // 8) or held <= k)
                         held += sizes[leaf]
                         ids.append(q), leaves.append(leaf)
                 at = pa.array(ids, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id").take(at), part.column("v").take(at), pa.array(leaves, pa.int64())],
-                    ["query_id", "v", "leaf"])
+                    [part.column("vec_id").take(at), part.column("v").take(at), pa.array(leaves, pa.int64()), pa.array(early)],
+                    ["query_id", "v", "leaf", "early"])
 
-    return queries.select("vec_id", "v").mapInArrow(run, "query_id long, v binary, leaf long")
+    return queries.select("vec_id", "v").mapInArrow(run, "query_id long, v binary, leaf long, early boolean")
 
 
-def search(index: Index, queries: DataFrame, visits: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows in the visited leaves of each query."""
-    spark, width, k = queries.sparkSession, index.width, index.k
-    asked = materialize(visits_of(index, queries, visits), "visits")
+def in_leaves(index: Index, asked: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score): for ``asked`` (query_id, v, leaf, bound) the rows of each leaf block
+    that are among its k nearest and not below the query's bound."""
+    width, k = index.width, index.k
     counts = {leaf: n for leaf, n in asked.groupBy("leaf").count().collect()}  # bounded by the sample
-    deal = F.broadcast(spark.createDataFrame(
+    deal = F.broadcast(asked.sparkSession.createDataFrame(
         [(leaf, max(1, -(-int(index.sizes[leaf]) // BLOCK)), max(1, -(-n // BLOCK))) for leaf, n in counts.items()],
         "leaf long, row_blocks long, query_blocks long"))
 
@@ -292,7 +294,7 @@ def search(index: Index, queries: DataFrame, visits: int) -> DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         c = c.sort_values("vec_id")
-        ids, own = q["query_id"].to_numpy(), c["vec_id"].to_numpy()
+        ids, own, bound = q["query_id"].to_numpy(), c["vec_id"].to_numpy(), q["bound"].to_numpy()
         x, y = _matrix(q["v"], width), _matrix(c["v"], width)
         nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
         out = []
@@ -300,23 +302,38 @@ def search(index: Index, queries: DataFrame, visits: int) -> DataFrame:
             s = (x[lo:lo + 256] @ y.T) / nx[lo:lo + 256, None] / ny
             s[ids[lo:lo + 256, None] == own[None, :]] = -2
             kth = -np.partition(-s, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1]
-            i, j = np.nonzero((s >= kth[:, None] - _SLACK) & (s > -2))
+            i, j = np.nonzero((s >= np.maximum(kth, bound[lo:lo + 256])[:, None] - _SLACK) & (s > -2))
             exact = (x[lo + i] * y[j]).sum(axis=1) / (nx[lo + i] * ny[j])
             order = np.lexsort((own[j], -exact, i))
             i, j, exact = i[order], j[order], exact[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            best = place < k
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
             out.append(pd.DataFrame({"query_id": ids[lo + i[best]], "vec_id": own[j[best]], "score": exact[best]}))
         return pd.concat(out)
 
     keys = ["leaf", "row_block", "query_block"]
-    found = (cut(asked, "query_id", "query_block", "query_blocks", "row_block", "row_blocks").groupBy(*keys)
-             .cogroup(cut(index.distinct, "vec_id", "row_block", "row_blocks", "query_block", "query_blocks")
-                      .groupBy(*keys))
-             .applyInPandas(meet, "query_id long, vec_id long, score double"))
+    return (cut(asked, "query_id", "query_block", "query_blocks", "row_block", "row_blocks").groupBy(*keys)
+            .cogroup(cut(index.distinct, "vec_id", "row_block", "row_blocks", "query_block", "query_blocks").groupBy(*keys))
+            .applyInPandas(meet, "query_id long, vec_id long, score double"))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search(index: Index, queries: DataFrame, visits: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest rows in the visited leaves of each query. The k-th score of
+    the early leaves bounds what the others hand on."""
+    k, columns = index.k, ["query_id", "rank", "vec_id", "score"]
+    asked = materialize(visits_of(index, queries, visits), "visits")
+    early = _best(in_leaves(index, asked.where("early").withColumn("bound", F.lit(-2.0))), k).select(*columns)
+    late = asked.where("not early")
+    if late.isEmpty():
+        return early
+    early = materialize(early, "early")
+    bounds = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    late = late.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
+    return _best(early.drop("rank").unionByName(in_leaves(index, late)), k).select(*columns)
 
 
 def nearest(table: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, vec_id: str = "vec_id",
