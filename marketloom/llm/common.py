@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (id, ...) that one executor may hold as a broadcast side: about 50 MB as a hash table.
-BROADCAST_ROWS = 500_000
+#: What one executor may hold as a broadcast side: rows, and characters of their texts and lists.
+BROADCAST_ROWS, BROADCAST_CHARS = 500_000, 64 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,18 +28,33 @@ def own(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex[:8]}"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and about ``size`` bytes (one row at least). A
+    worker that waits for its next task gives back what it no longer needs."""
+    for b in batches:
+        each = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, each):
+            yield b.slice(i, each)
+    pa.default_memory_pool().release_unused()
+
+
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def join_narrow(docs: DataFrame, narrow: DataFrame, on: list[str], how: str,
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def fits_broadcast(narrow: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> bool:
+    """Whether rows and bytes, both counted, are small enough for a broadcast."""
+    wide = [c for c, kind in narrow.dtypes if kind in ("string", "binary") or "<" in kind]
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct(*wide)))), F.lit(0)) if wide else F.lit(0)
+    rows, chars = narrow.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return rows <= max_rows and chars <= max_chars
+
+
+def join_narrow(docs: DataFrame, narrow: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join whole documents to a narrow side (ids and numbers): broadcast, so that texts stay
-    where they are, when its rows are counted to be at most ``max_rows``; else a shuffled join."""
-    if narrow.limit(max_rows + 1).count() <= max_rows:
-        narrow = F.broadcast(narrow)
-    return docs.join(narrow, on, how)
+    where they are, when it is counted to be small; else a shuffled join."""
+    return docs.join(F.broadcast(narrow) if fits_broadcast(narrow) else narrow, on, how)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
