@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import BROADCAST_ROWS, let
+from marketloom.llm.common import fits_broadcast, let
 from marketloom.session import materialize
 
 PARAGRAPH = r"(?s).{96}[^.!?\n]{0,128}[.!?\n]*|.+"
@@ -185,7 +185,7 @@ def with_next(docs: DataFrame, per_block: int = 512, coarse: int = 256) -> DataF
                                 "inner": F.lead("known").over(w).isNotNull()}).join(F.broadcast(turn), "c")
     follow = follow.select("c", "s", F.when(F.col("inner"), F.col("n_id")).otherwise(F.col("t_id")).alias("n_id"),
                            F.when(F.col("inner"), F.col("n_h")).otherwise(F.col("t_h")).alias("n_h"))
-    small = heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = fits_broadcast(heads)
     want = heads.select(F.col("doc_id").alias("h_id"), "h").distinct()
     texts = rows.withColumn("hash", F.xxhash64("text"))
     texts = texts.join(F.broadcast(want) if small else want,

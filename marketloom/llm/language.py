@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import fold
+from marketloom.llm.common import fold, own
 from marketloom.session import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, each: int = 400, chars: int = 20_000_000, rounds: int =
 
     About ``each`` documents per language are taken by a hash of doc_id, none with more than
     ``chars`` characters. None when no row has a language and letters."""
-    rows = docs.where((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull()
+    rows = docs.select("doc_id", "lang", "text").where((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull()
                       & F.col("text").isNotNull() & (F.length("text") <= chars))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000
@@ -211,8 +211,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     call = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.withColumn("_said", call(F.col(text))).select(
-        *docs.columns, "_said.lang_pred", "_said.score")
+    said = own("said")
+    return docs.withColumn(said, call(F.col(text))).select(*docs.columns, f"{said}.lang_pred", f"{said}.score")
 
 
 def held_out(doc_id: Column) -> Column:

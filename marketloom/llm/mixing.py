@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.0, most:
     """
     made = ["size", "source_size", "target", "taken"]
     docs = docs.drop(*made)
-    key, cut_key, cut_id, times = own("key"), own("cut"), own("id"), own("times")
+    key, cut_key, cut_id, times, fit = own("key"), own("cut"), own("id"), own("times"), own("fit")
     weight = letter_share(F.col("text")) if weight is None else weight
     keyed = docs.withColumn("size", word_count(F.col("text"))).withColumn(
         key, exponential_key(F.col("doc_id"), weight, seed))
@@ -122,12 +122,12 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.0, most:
         # no row of the bin fits: everything below the bin
         F.coalesce(F.col("last.key"), F.col("low.key")).alias(cut_key),
         F.when(F.col("last").isNotNull(), F.col("last.doc_id")).alias(cut_id),
-        F.col("last").isNotNull().alias("_whole")), "cuts")
+        F.col("last").isNotNull().alias(fit)), "cuts")
     kind = own("source")
     final = final.withColumnRenamed("source", kind)
     small = final.count() <= 100_000
     out = keyed.join(F.broadcast(final) if small else final, keyed["source"].eqNullSafe(final[kind]), "left")
-    fits = (F.col(key) < F.col(cut_key)) | ((F.col(key) == F.col(cut_key)) & F.col("_whole") & (
+    fits = (F.col(key) < F.col(cut_key)) | ((F.col(key) == F.col(cut_key)) & F.col(fit) & (
         F.coalesce(F.col("doc_id") <= F.col(cut_id), F.lit(True))))
     return out.withColumn("taken", F.col("size") * (F.col(times) + F.coalesce(fits, F.lit(False)).cast("long"))).drop(
-        key, cut_key, cut_id, times, kind, "_whole")
+        key, cut_key, cut_id, times, kind, fit)

@@ -18,14 +18,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import join_narrow
+from marketloom.llm.common import join_narrow, slices
 from marketloom.session import materialize
 
 K = 5
@@ -107,17 +106,11 @@ class Shingler:
         return (low >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, key binary, sig binary): key is the digest of the word sequence."""
     def run(batches):
         s = Shingler()
-        for b in _slices(batches):
+        for b in slices(batches):
             sizes, keys, sigs = [], [], []
             for text in b.column(1).to_pylist():
                 words = s.words(text)
@@ -137,7 +130,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, words binary): the shingle set of each whole text as sorted 8-byte hashes."""
     def run(batches):
         s = Shingler()
-        for b in _slices(batches):
+        for b in slices(batches):
             sets = [s.shingles(s.words(t)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())],
                                              ["doc_id", "words"])
@@ -169,7 +162,7 @@ def bayes_prune(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: floa
             .select("a", "b", "sig_a", "sig_b"))
 
     def run(batches):
-        for b in _slices(batches, 4096):
+        for b in slices(batches, 4096):
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, PERMS)
                     for i in (2, 3))
             alive = np.arange(len(x))
@@ -192,7 +185,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "set_a", "set_b"))
 
     def run(batches):
-        for b in _slices(batches, 256):
+        for b in slices(batches, 256):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -234,7 +227,7 @@ def between_components(mixed: DataFrame, docs: DataFrame, percent: int) -> DataF
     with many edits of their own start with shingles nobody shares, so they meet nobody."""
     def run(batches):
         s = Shingler()
-        for b in _slices(batches, 128):
+        for b in slices(batches, 128):
             sets = [s.shingles(s.words(t)) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate(sets).view(np.int64) if ends[-1] else np.zeros(0, np.int64)
@@ -308,3 +301,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-5) -> D
             .join(part.toDF("doc_id", "component"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def one_of_each(docs: DataFrame, **limits) -> DataFrame:
+    """``docs`` with the document of smallest doc_id of each near-duplicate group; rows without
+    doc_id stay. Rows that repeat a kept doc_id are one document: that with the smallest text
+    hash stays (equal texts: one of the equal rows)."""
+    found = materialize(near_duplicates(docs, **limits).where("doc_id is not null"), "groups")
+    gone = found.where("not kept").select("doc_id").distinct()
+    kept = join_narrow(docs, gone, ["doc_id"], "left_anti").select(docs.columns)
+    again = materialize(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    single = join_narrow(kept, again, ["doc_id"], "left_anti").select(docs.columns)
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+    twice = join_narrow(kept, again, ["doc_id"], "left_semi").select(docs.columns).groupBy("doc_id").agg(least.alias("row"))
+    return single.unionByName(twice.select("row.*"))

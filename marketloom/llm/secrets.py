@@ -19,12 +19,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import join_narrow, own, text_sample
+from marketloom.llm.common import join_narrow, own, slices, text_sample
 from marketloom.session import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,6 +40,8 @@ TEST_PATH = re.compile(r"(?i)test|example|sample|mock|fixture|docs?/")
 FEATURES = ["length", "entropy", "transitions", "digits", "capitals", "symbols", "hex", "covered",
             "longest_word", "path", "assigned", "quoted", "near_secret", "near_other", "placeholder",
             "distinct", "prefix", "dashes"]
+FOUND = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
+                   ("lead", pa.string()), ("features", pa.list_(pa.float64()))])
 
 
 @cache
@@ -100,21 +103,21 @@ def candidates(docs: DataFrame, path: str | None = None, vocabulary: str = VOCAB
     words = dictionary(vocabulary)  # at most the vocabulary's size, sent with the function
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
-            for doc, version, text, where in zip(b["doc_id"], b["version"], b["text"], b["path"]):
+            for doc, version, text, where in zip(*(c.to_pylist() for c in b.columns)):
                 for s, e, assigned in spans(text):
                     out.append((doc, version, s, e - s, text[s:s + 4],
                                 features(text, s, e, assigned, where, words)))
-            yield pd.DataFrame(out, columns=["doc_id", "version", "start", "length", "lead", "features"]
-                               ).astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[i] for o in out], f.type) for i, f in enumerate(FOUND)], schema=FOUND)
 
     where = F.col(path).cast("string") if path else F.lit("")
     rows = docs.where("text is not null").select(
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text",
         F.coalesce(where, F.lit("")).alias("path"))
-    return rows.mapInPandas(run, "doc_id long, version long, start long, length long, lead string, "
-                                 "features array<double>")
+    return rows.mapInArrow(run, "doc_id long, version long, start long, length long, lead string, "
+                                "features array<double>")
 
 
 def _plant(r: random.Random) -> tuple[str, str, int]:

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import labelled_sample
+from marketloom.llm.common import labelled_sample, own
 from marketloom.session import materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -216,8 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> ToxicityMode
 
 def score(docs: DataFrame, model: ToxicityModel, into: str = "score") -> DataFrame:
     """``docs`` plus ``into``; null text is scored as empty. All rows and columns stay."""
-    counted = add_counts(docs, model.terms, model.stems, "_counts")
+    found = own("counts")
+    counted = add_counts(docs, model.terms, model.stems, found)
     z = F.lit(model.intercept)
     for i, w in enumerate(model.weights):
-        z = z + F.col("_counts")[i] * w
-    return counted.withColumn(into, 1 / (1 + F.exp(-z))).drop("_counts")
+        z = z + F.col(found)[i] * w
+    return counted.withColumn(into, 1 / (1 + F.exp(-z))).drop(found)

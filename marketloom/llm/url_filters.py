@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import BROADCAST_ROWS, let
+from marketloom.llm.common import fits_broadcast, let, own
 from marketloom.session import materialize
 
 SPAN = 91  # days in a bucket
@@ -74,15 +74,16 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     end = F.least(F.coalesce(F.date_sub("until", 1), F.lit(last).cast("date")), F.lit(last).cast("date"))
     dealt = active.where(end >= F.col("since")).withColumn(
         "bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(end))))
-    small = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = fits_broadcast(dealt)
     looked = asked.select("u", "d", bucket(F.col("d")).alias("bucket"), F.explode(keys(F.col("u"), depth)).alias("key"))
     found = (looked.join(F.broadcast(dealt) if small else dealt, ["key", "bucket"])
              .where("since <= d and (until is null or d < until)")
              .groupBy("u", "d").agg(
                  F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"),
                  F.max(F.struct(F.length("key").alias("n"), "key"))["key"].alias("rule")))
-    keyed = captures.withColumns({"_u": F.col(url), "_d": F.to_date(day)})
-    return (keyed.join(found.toDF("_u", "_d", "lists", "rule"), ["_u", "_d"], "left").drop("_u", "_d")
+    u, d = own("url"), own("day")
+    keyed = captures.withColumns({u: F.col(url), d: F.to_date(day)})
+    return (keyed.join(found.toDF(u, d, "lists", "rule"), [u, d], "left").drop(u, d)
             .select(*captures.columns, F.col("rule").isNotNull().alias("blocked"),
                     F.coalesce("lists", F.lit("")).alias("lists"), "rule"))
 
