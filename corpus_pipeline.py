@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import decontaminate, mixing, near_dedup, quality, secrets
-from marketloom.llm.common import join_narrow, own, table
+from marketloom.llm.common import own, table
 from marketloom.session import materialize
 
 
@@ -24,16 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; rows without doc_id stay. Rows that
-    repeat a kept doc_id are one document: one of them stays."""
-    found = materialize(near_dedup.near_duplicates(docs).where("doc_id is not null"), "groups")
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = join_narrow(docs, gone, ["doc_id"], "left_anti").select(docs.columns)
-    again = materialize(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    return (join_narrow(kept, again, ["doc_id"], "left_anti").select(docs.columns).unionByName(
-        join_narrow(kept, again, ["doc_id"], "left_semi").select(docs.columns).dropDuplicates(["doc_id"])))
+    """One document of each near-duplicate group and of each doc_id."""
+    return near_dedup.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
