@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -14,8 +15,9 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.operators.cells import best_matches
 from marketloom.operators.labels import class_index
-from marketloom.operators.linking import NegativeSquaredDistance, top_matches
+from marketloom.operators.linking import NegativeSquaredDistance
 from marketloom.operators.samples import as_vectors, with_shuffle_rank
 
 
@@ -100,41 +102,47 @@ def balanced_weight(df: DataFrame, label: str = "signal_label") -> Column:
 
 
 def smote(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "signal_label",
-          k: int = 5, seed: int = 42, **kw) -> DataFrame:
+          k: int = 5, seed: int = 42, trace: bool = False, **kw) -> DataFrame:
     """Oversample every smaller class to the size of the largest.
 
     A new row lies between a row and one of its ``k`` nearest rows of the same class. Base rows
     are taken evenly in a seeded shuffled order; neighbour and position come from a seeded hash,
-    so a re-run task makes the same rows. Output: label and features of old and new rows.
+    so a re-run task makes the same rows. All classes are searched in one pass, each in its own cells.
+    Output: label and features of old and new rows; with ``trace`` also ``ends``, the base row and its
+    neighbour (null for old rows). Rows without a label are kept as they are.
     """
-    counts = class_counts(df, label)
-    target = max(counts.values())
+    counts = {c: n for c, n in class_counts(df, label).items() if c is not None}
+    target = max(counts.values(), default=0)
     out = df.select(label, *features)
+    out = out.withColumn("ends", F.lit(None).cast("array<array<double>>")) if trace else out
+    small = {c: n for c, n in counts.items() if n < target}
+    if any(n < 2 for n in small.values()):
+        raise ValueError(f"class {next(c for c, n in small.items() if n < 2)} has a single row")
+    if not small:
+        return out
     rows = df.select(label, *keys, F.array(*[F.col(f).cast("double") for f in features]).alias("_v"))
-    for c, n in counts.items():
-        need = target - n
-        if need == 0:
-            continue
-        if n < 2:
-            raise ValueError(f"class {c} has a single row")
+    sides = []
+    for c, n in small.items():
         own = with_shuffle_rank(rows.where(F.col(label) == c), keys, seed)
-        own = own.select(F.concat_ws("|", *keys).alias("id"), "_v", "_rank")
-        copies = F.lit(need // n) + (F.col("_rank") < need % n).cast("int")
-        base = own.select(F.concat_ws("#", "id", copies.cast("string")).alias("q_id"),
-                          F.col("_v").alias("q_value"), copies.alias("_c")).where("_c > 0")
-        # the query id carries the number of copies, so no join is needed to get it back
-        near = top_matches(base, own.select(F.concat(F.col("id"), F.lit("#"), copies.cast("string")).alias("c_id"),
-                                            F.col("_v").alias("c_value")),
-                           NegativeSquaredDistance(), min(k, n - 1), exclude_same_id=True, **kw)
-        n_copies = F.element_at(F.split("q_id", "#"), -1).cast("int")
-        made = near.withColumn("_i", F.explode(F.sequence(F.lit(1), n_copies)))
-        pick = F.pmod(F.xxhash64("q_id", "_i", F.lit(seed)), F.lit(min(k, n - 1))) + 1
-        step = F.pmod(F.xxhash64("q_id", "_i", F.lit(seed + 1)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-        made = (made.where(F.col("rank") == pick).withColumn("_t", step)
-                .withColumn("_v", F.zip_with("q_value", "c_value", lambda a, b: a + F.col("_t") * (b - a))))
-        out = out.unionByName(made.select(
-            F.lit(c).alias(label), *[F.col("_v")[i].alias(f) for i, f in enumerate(features)]))
-    return out
+        copies = F.lit((target - n) // n) + (F.col("_rank") < (target - n) % n).cast("int")
+        # the id carries the number of copies, so no join is needed to get it back
+        sides.append(own.select(F.concat_ws("#", F.concat_ws("|", *keys), copies.cast("string")).alias("id"), "_v",
+                                copies.alias("_c"), F.lit(c).alias("part")))
+    own = reduce(DataFrame.unionByName, sides)
+    own = own.withColumn("id", F.concat_ws("#", F.col("part").cast("string"), "id"))
+    near = best_matches(own.where("_c > 0").select(F.col("id").alias("q_id"), F.col("_v").alias("q_value"), "part"),
+                        own.select(F.col("id").alias("c_id"), F.col("_v").alias("c_value"), "part"),
+                        NegativeSquaredDistance(), min(k, max(small.values()) - 1), exclude_same_id=True, **kw)
+    part = F.substring_index("q_id", "#", 1)
+    known = F.create_map(*[x for c, n in small.items() for x in (F.lit(str(c)), F.lit(min(k, n - 1)))])
+    made = near.withColumn("_i", F.explode(F.sequence(F.lit(1), F.element_at(F.split("q_id", "#"), -1).cast("int"))))
+    pick = F.pmod(F.xxhash64("q_id", "_i", F.lit(seed)), F.element_at(known, part)) + 1
+    step = F.pmod(F.xxhash64("q_id", "_i", F.lit(seed + 1)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    made = (made.where(F.col("rank") == pick).withColumn("_t", step)
+            .withColumn("_v", F.zip_with("q_value", "c_value", lambda a, b: a + F.col("_t") * (b - a))))
+    ends = [F.array("q_value", "c_value").alias("ends")] if trace else []
+    return out.unionByName(made.select(part.cast(df.schema[label].dataType).alias(label),
+                                       *[F.col("_v")[i].alias(f) for i, f in enumerate(features)], *ends))
 
 
 # ---------------------------------------------------------------- trees

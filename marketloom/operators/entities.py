@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial, reduce
 
-from pyspark.ml.feature import HashingTF, Normalizer
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.feature import Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.chunking import fixed_chunks
-from marketloom.functions.expressions import strip
+from marketloom.functions.expressions import strip, ticker_text
 from marketloom.functions.lexicon import LexiconScorer, Scorer, mentions_finance, sentences, words
+from marketloom.operators.linking import link_vectors
+from marketloom.operators.phrases import PhraseAutomaton
 from marketloom.operators.skew import join_dimension, spread_join
 
 # fixed values: labels of mentions that are kept
@@ -32,32 +38,62 @@ def finance_sentences(docs: DataFrame, text: str = "text",
     return rows.where(mentions_finance(F.col("sentence"), *([keywords] if keywords else [])))
 
 
-def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, text: str = "text") -> DataFrame:
+def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, text: str = "text",
+                       part_chars: int = 32 << 20) -> DataFrame:
     """Mentions of the phrases in ``gazetteer`` (entity, label), matched on lower-case words.
 
     Returns (doc_id, pos, word, entity, label, sentence), every label and spelling of a phrase in
-    a row of its own. Only the phrase lengths that occur are tried; word runs meet the phrases in
-    a join. A trained recogniser can replace this operator:
-    the others only need its output columns.
+    a row of its own; overlapping and nested phrases are all found. One pass over the sentences runs
+    all phrases as an automaton, and only matches get their sentence. A gazetteer above
+    ``part_chars`` characters is dealt by first words to several passes. A trained recogniser can
+    replace this operator: the others only need its output columns.
     """
     phrases = (gazetteer.select("entity", "label", words(F.col("entity")).alias("_w"))
-               .select("entity", "label", F.size("_w").alias("_len"),
-                       F.array_join("_w", " ").alias("_phrase"))
-               .where(F.col("_len") > 0).distinct())
-    lengths = [r[0] for r in phrases.select("_len").distinct().orderBy("_len").collect()]
-
-    def runs(w: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
-        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.struct(
-            i.alias("word"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("_phrase"))))
-
-    tokens = document_sentences(docs, text).withColumn("_w", words(F.col("sentence")))
-    found = F.flatten(F.array_compact(F.array(*[runs(F.col("_w"), n) for n in lengths or [1]])))
-    grams = tokens.select("doc_id", "pos", "sentence", F.inline(found))
-    return (join_dimension(grams, phrases.drop("_len"), ["_phrase"])
+               .where(F.size("_w") > 0).distinct())
+    size = phrases.agg(F.coalesce(F.sum(F.length("entity") + 32), F.lit(0))).first()[0]
+    parts = max(1, -(-size // part_chars))
+    first = F.pmod(F.xxhash64(F.col("_w")[0]), F.lit(parts))
+    tokens = (docs.select("doc_id", sentences(F.col(text)).alias("_s")).where("_s is not null")
+              .withColumn("_w", F.transform("_s", words)))
+    found = [_matches(tokens, phrases.where(first == i) if parts > 1 else phrases) for i in range(parts)]
+    return (reduce(DataFrame.unionByName, found).withColumn("sentence", strip(F.col("sentence")))
             .select("doc_id", "pos", "word", "entity", "label", "sentence"))
 
 
+def _matches(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
+    rows = phrases.collect()  # bounded by part_chars
+    named: dict[tuple[str, ...], list[int]] = {}
+    for i, r in enumerate(rows):
+        named.setdefault(tuple(r["_w"]), []).append(i)
+    known = tokens.sparkSession.sparkContext.broadcast((
+        PhraseAutomaton(list(named)), list(named.values()), [r["entity"] for r in rows], [r["label"] for r in rows]))
+    kind = dict(tokens.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, names, entity, label = known.value
+        entity, label = pa.array(entity, pa.string()), pa.array(label, pa.string())
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                texts, lists = part.column(1).flatten(), part.column(2).flatten()
+                in_doc = part.column(1).value_lengths().to_numpy()
+                doc = np.repeat(np.arange(part.num_rows), in_doc)
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(in_doc) - in_doc, in_doc)
+                in_sentence = lists.value_lengths().to_numpy()
+                sentence = np.repeat(np.arange(len(lists)), in_sentence)
+                at, phrase = automaton.find(automaton.numbers(lists.flatten()), sentence)
+                row = np.array([i for k in phrase.tolist() for i in names[k]], np.int64)
+                at = np.repeat(at, [len(names[k]) for k in phrase.tolist()])
+                s = sentence[at]
+                word = at - (np.cumsum(in_sentence) - in_sentence)[s]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(doc[s])), pa.array(pos[s], pa.int32()), pa.array(word, pa.int32()),
+                     entity.take(pa.array(row)), label.take(pa.array(row)), texts.take(pa.array(s))],
+                    ["doc_id", "pos", "word", "entity", "label", "sentence"])
+
+    return tokens.mapInArrow(run, f"doc_id {kind}, pos int, word int, entity string, label string, sentence string")
+
+
 def financial_mentions(mentions: DataFrame, labels: Sequence[str] = tuple(ENTITY_LABELS)) -> DataFrame:
     """Mentions with a label of interest."""
     return mentions.where(F.col("label").isin(list(labels)))
@@ -95,13 +131,48 @@ def entity_sentiment(mentions: DataFrame, scorer: Scorer | None = None) -> DataF
 
 # ---------------------------------------------------------------- embeddings
 
-def embed_text(rows: DataFrame, text: str = "text", dim: int = 256,
-               out: str = "embedding") -> DataFrame:
-    """Unit-length hashed bag of words: the bundled embedder (replace it by a trained model)."""
-    tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim)
-    unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0)
-    made = unit.transform(tf.transform(rows.withColumn("_words", words(F.col(text)))))
-    return made.withColumn(out, vector_to_array("_unit")).drop("_words", "_tf", "_unit")
+GRID = float(1 << 20)   # components are multiples of 1 / GRID: sums of products are exact
+
+
+def letter_grams(text: Column, n: int = 3) -> Column:
+    """The runs of ``n`` characters of the lower-case text, which names share with longer texts."""
+    low = F.lower(text)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))
+
+
+def buckets(pieces: Column, dim: int) -> Column:
+    """The bucket of each piece: 28 bits of its md5, modulo ``dim``."""
+    return F.transform(pieces, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int") % dim)
+
+
+def embed_text(rows: DataFrame, text: str = "text", dim: int = 256, out: str = "embedding", pieces=words) -> DataFrame:
+    """Unit-length hashed bag of ``pieces`` (words, or ``letter_grams`` for names): the bundled embedder, which a
+    trained model such as ``word_vectors`` can replace. Null texts and texts without pieces give zeros."""
+    @F.pandas_udf("array<double>")
+    def unit(found: pd.Series) -> pd.Series:
+        made = []
+        for b in found:
+            n = np.bincount(b, minlength=dim).astype(float) if b is not None and len(b) else np.zeros(dim)
+            made.append(np.rint(GRID * n / max(1.0, np.sqrt((n * n).sum()))) / GRID)
+        return pd.Series(made)
+
+    return rows.withColumn(out, unit(buckets(pieces(F.col(text)), dim)))
+
+
+def word_vectors(docs: DataFrame, text: str = "text", dim: int = 64, least: int = 5, seed: int = 42, rounds: int = 1):
+    """A trained embedder: word vectors learned from ``docs``, mean-pooled and of unit length. It takes the
+    place of ``embed_text``; texts without a known word give zeros."""
+    own = docs.select(F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
+    model = Word2Vec(vectorSize=dim, minCount=least, seed=seed, maxIter=rounds, numPartitions=1,
+                     inputCol="_w", outputCol="_v").fit(own)
+
+    def embed(rows: DataFrame, text: str = "text", dim: int = dim, out: str = "embedding") -> DataFrame:
+        pooled = model.transform(rows.withColumn("_w", F.coalesce(words(F.col(text)), F.array().cast("array<string>"))))
+        return (Normalizer(inputCol="_v", outputCol="_u", p=2.0).transform(pooled)
+                .withColumn(out, vector_to_array("_u")).drop("_w", "_v", "_u"))
+
+    return embed
 
 
 def mean_embedding(rows: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
@@ -115,3 +186,28 @@ def embed_documents(docs: DataFrame, text: str = "text", dim: int = 256, embed=e
     """Long texts are cut into chunks, embedded, and averaged per document."""
     chunks = docs.select("doc_id", F.explode(fixed_chunks(F.col(text))).alias("text"))
     return mean_embedding(embed(chunks, "text", dim), "doc_id")
+
+
+# ---------------------------------------------------------------- tickers
+
+def link_tickers(mentions: DataFrame, tickers: DataFrame, dim: int = 256, embed=None, **kw) -> DataFrame:
+    """(entity, ticker, similarity): every distinct organisation of ``mentions`` linked to the ticker whose
+    text (symbol, sector and sub-industry without separators) has the nearest vector.
+
+    ``tickers`` has the columns of the ticker CSV; rows without a symbol are no targets, other
+    missing fields count as empty."""
+    embed = embed or partial(embed_text, pieces=letter_grams)
+    names = mentions.where(F.col("label") == "ORG").select(F.col("entity").alias("q_id")).distinct()
+    empty = F.lit("")
+    texts = tickers.where(F.col("Symbol").isNotNull()).select(F.col("Symbol").alias("c_id"), ticker_text(
+        F.col("Symbol"), F.coalesce("GICS Sector", empty), F.coalesce("GICS Sub-Industry", empty)).alias("text"))
+    found = link_vectors(embed(names.withColumn("text", F.col("q_id")), "text", dim, "q_value"),
+                         embed(texts.dropDuplicates(["c_id"]), "text", dim, "c_value"), **kw)
+    return found.select(F.col("q_id").alias("entity"), F.col("c_id").alias("ticker"), F.col("score").alias("similarity"))
+
+
+def entity_records(mentions: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, entity, n, ticker, similarity): the entities of each document with the number of their
+    mentions and, for organisations, the linked ticker."""
+    made = mentions.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+    return join_dimension(made, links, ["entity"], "left")

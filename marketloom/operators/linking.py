@@ -1,138 +1,143 @@
-"""Exact best matches of queries in a reference set: vectors, names, nearest rows of a class.
-
-A reference set counted to be small is broadcast as one matrix and every query batch is scored
-against it in place. A larger one is cut into tiles; query tiles and reference tiles meet through
-an equi-join on a tile pair, each task holds two bounded tiles, and only the k best per query and
-tile leave it. Pairs are never materialized as rows in either case.
-"""
+"""Exact links of vectors and names to a reference set, through the cells of ``cells``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CELLS = 4_000_000      # scores held at once by a task
+from marketloom.operators.cells import Cells, Side, best_matches
 
+_PAIRS = 1 << 22
+# fixed values: the characters of a normalised name
+NAME_LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789_"
 
-@dataclass(frozen=True)
-class InnerProduct:
-    def prepare(self, values: list) -> np.ndarray:
-        return np.asarray(values, dtype=float)
 
-    def scores(self, queries: list, prepared: np.ndarray) -> np.ndarray:
-        return np.asarray(queries, dtype=float) @ prepared.T
+class _Vectors:
+    """Scores of vectors: a fast block product finds those that matter, exact sums decide."""
+
+    def features(self, values: Sequence) -> np.ndarray:
+        return np.array([np.asarray(v, dtype=float) for v in values])
+
+    def distance(self, x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        return np.sqrt(((x - centre) ** 2).sum(axis=1))
+
+    def top(self, q: Side, c: Side, k: int, floor: np.ndarray, same: bool):
+        rows, cols, scores = [], [], []
+        step = max(1, _PAIRS // max(1, len(c.ids)))
+        for lo in range(0, len(q.ids), step):
+            x = q.features[lo:lo + step]
+            s, slack = self._product(x, c.features)
+            if same:
+                s[q.ids[lo:lo + step, None] == c.ids[None, :]] = -np.inf
+            n = min(k, len(c.ids))
+            kth = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+            i, j = np.nonzero((s >= np.maximum(kth, floor[lo:lo + step])[:, None] - slack) & (s > -np.inf))
+            rows.append(lo + i), cols.append(j), scores.append(self._exact(x[i], c.features[j]))
+        return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
 @dataclass(frozen=True)
-class NegativeSquaredDistance:
-    def prepare(self, values: list):
-        m = np.asarray(values, dtype=float)
-        centre = m.mean(axis=0)
-        m = m - centre
-        return m, centre, (m * m).sum(axis=1)
+class InnerProduct(_Vectors):
+    def _product(self, x, y):
+        s = x @ y.T
+        return s, 1e-9 * (1 + np.abs(s).max(initial=0))
+
+    def _exact(self, x, y):
+        return (x * y).sum(axis=1)
 
-    def scores(self, queries: list, prepared) -> np.ndarray:
-        m, centre, norms = prepared
-        q = np.asarray(queries, dtype=float) - centre
-        return 2 * q @ m.T - norms - (q * q).sum(axis=1)[:, None]
+    def bound(self, q: np.ndarray, cells: Cells) -> np.ndarray:
+        return q @ cells.centres.T + np.linalg.norm(q, axis=1)[:, None] * cells.radius * (1 + 1e-9)
+
+
+@dataclass(frozen=True)
+class NegativeSquaredDistance(_Vectors):
+    def _product(self, x, y):
+        middle = y.mean(axis=0)
+        x, y = x - middle, y - middle
+        a, b = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        return 2 * x @ y.T - b - a[:, None], 1e-9 * (1 + a.max(initial=0) + b.max(initial=0))
+
+    def _exact(self, x, y):
+        return -((x - y) ** 2).sum(axis=1)
+
+    def bound(self, q: np.ndarray, cells: Cells) -> np.ndarray:
+        s, slack = self._product(q, cells.centres)
+        gap = np.sqrt(np.maximum(0.0, -s)) - cells.radius * (1 + 1e-9)
+        return slack - np.maximum(0.0, gap) ** 2
+
+
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, all places of ``a`` at once as bits."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full = v = (1 << len(a)) - 1
+    for ch in b:
+        m = at.get(ch)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
 
 
 @dataclass(frozen=True)
 class NameRatio:
     """Similarity in percent of two names given as sorted tokens: 2 * (longest common
-    subsequence) / (sum of lengths), rounded; 0 if either is empty."""
+    subsequence) / (sum of lengths), rounded; 0 if either is empty.
 
-    def prepare(self, values: list):
-        length = np.array([len(v) for v in values])
-        codes = np.full((len(values), max(int(length.max(initial=0)), 1)), -1)
+    No common subsequence has more letters than the names share, so letter counts bound the score: it is
+    at most 100 - 100 * (sum of count differences) / (sum of lengths). These differences obey the
+    triangle inequality, which bounds a whole cell; only pairs that pass are aligned."""
+
+    def features(self, values: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(values), len(NAME_LETTERS)))
         for i, v in enumerate(values):
-            codes[i, :len(v)] = [ord(ch) for ch in v]
-        return codes, length
-
-    def scores(self, queries: list, prepared) -> np.ndarray:
-        codes, length = prepared
-        out = np.zeros((len(queries), len(length)))
-        for i, q in enumerate(queries):
-            best = np.zeros((codes.shape[0], codes.shape[1] + 1), dtype=int)
-            for ch in q:
-                step = np.where(codes == ord(ch), best[:, :-1] + 1, best[:, 1:])
-                best[:, 1:] = np.maximum.accumulate(step, axis=1)
-            ratio = 200.0 * best[:, -1] / np.maximum(length + len(q), 1)
-            out[i] = np.where((length > 0) & (len(q) > 0), np.rint(ratio), 0.0)
+            out[i] = [v.count(ch) for ch in NAME_LETTERS]
         return out
 
+    def distance(self, x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        return np.abs(x - centre).sum(axis=1)
+
+    @staticmethod
+    def _differences(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(q), len(c)))
+        for letter in range(q.shape[1]):
+            out += np.abs(q[:, letter, None] - c[None, :, letter])
+        return out
 
-def top_matches(queries: DataFrame, corpus: DataFrame, scorer, k: int = 1,
-                exclude_same_id: bool = False, max_broadcast_bytes: int = 64 << 20,
-                tile_rows: int = 4096) -> DataFrame:
-    """The ``k`` best corpus rows of every query, ties by id.
-
-    ``queries`` (q_id, q_value, ...) and ``corpus`` (c_id, c_value), ids unique. Returns q_id,
-    q_value, c_id, c_value, score and ``rank`` (1 = best).
-    """
-    queries, corpus = queries.select("q_id", "q_value"), corpus.select("c_id", "c_value")
-    types = {**dict(queries.dtypes), **dict(corpus.dtypes)}
-    schema = (f"q_id {types['q_id']}, q_value {types['q_value']}, c_id {types['c_id']}, "
-              f"c_value {types['c_value']}, score double, rank int")
-
-    def best(q: pd.DataFrame, ids: np.ndarray, values: list, prepared) -> pd.DataFrame:
-        frames = []
-        step = max(1, _CELLS // max(1, len(ids)))
-        for lo in range(0, len(q), step):
-            part = q.iloc[lo:lo + step]
-            s = scorer.scores(list(part["q_value"]), prepared)
-            if exclude_same_id:
-                s = np.where(part["q_id"].to_numpy()[:, None] == ids[None, :], -np.inf, s)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]      # ids ascend: ties by id
-            rows, cols = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
-            frames.append(pd.DataFrame({
-                "q_id": part["q_id"].to_numpy()[rows], "q_value": part["q_value"].to_numpy()[rows],
-                "c_id": ids[cols], "c_value": [values[c] for c in cols], "score": s[rows, cols],
-                "rank": np.tile(np.arange(1, top.shape[1] + 1), len(part))}))
-        out = pd.concat(frames) if frames else pd.DataFrame(
-            columns=["q_id", "q_value", "c_id", "c_value", "score", "rank"])
-        return out[out["score"] > -np.inf]
-
-    width = F.size("c_value") * 8 if types["c_value"].startswith("array") else F.length("c_value") * 8
-    n, size = corpus.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    if size <= max_broadcast_bytes:
-        table = corpus.toPandas().sort_values("c_id")
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (table["c_id"].to_numpy(), list(table["c_value"])))
-
-        def against_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, values = shared.value
-            prepared = scorer.prepare(values) if values else None
-            for q in batches:
-                if values and len(q):
-                    yield best(q, ids, values, prepared)
-
-        return queries.mapInPandas(against_all, schema)
-
-    c_tiles = -(-n // tile_rows)
-    q_tiles = max(1, -(-queries.count() // tile_rows))
-
-    def tile(df: DataFrame, id_: str, mine: str, own: int, other: str, others: int) -> DataFrame:
-        return (df.withColumn(mine, F.pmod(F.xxhash64(id_), F.lit(own)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))))
-
-    def pair(_, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame(columns=["q_id", "q_value", "c_id", "c_value", "score", "rank"])
-        c = c.sort_values("c_id")
-        values = list(c["c_value"])
-        return best(q, c["c_id"].to_numpy(), values, scorer.prepare(values))
-
-    parts = (tile(queries, "q_id", "qt", q_tiles, "ct", c_tiles).groupBy("qt", "ct")
-             .cogroup(tile(corpus, "c_id", "ct", c_tiles, "qt", q_tiles).groupBy("qt", "ct"))
-             .applyInPandas(pair, schema))
-    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    def bound(self, q: np.ndarray, cells: Cells) -> np.ndarray:
+        n = q.sum(axis=1)[:, None]
+        least = np.maximum(self._differences(q, cells.centres) - cells.radius * (1 + 1e-9),
+                           np.maximum(n - cells.most, cells.least - n))
+        return np.rint(100 - 100 * np.maximum(least, 0.0) / np.maximum(n + cells.most, 1) + 1e-6)
+
+    def top(self, q: Side, c: Side, k: int, floor: np.ndarray, same: bool):
+        found: list[tuple[int, int, float]] = []
+        step = max(1, _PAIRS // max(1, len(c.ids)))
+        sizes = c.features.sum(axis=1)
+        for lo in range(0, len(q.ids), step):
+            x = q.features[lo:lo + step]
+            total = x.sum(axis=1)[:, None] + sizes
+            most = np.rint(100 * (total - self._differences(x, c.features)) / np.maximum(total, 1) + 1e-9)
+            for i, name in enumerate(q.values[lo:lo + step], lo):
+                best: list[float] = []
+                for j in np.argsort(-most[i - lo], kind="stable").tolist():
+                    reach = most[i - lo, j]
+                    if reach < floor[i] or (len(best) == k and reach < best[0]):
+                        break
+                    if same and q.ids[i] == c.ids[j]:
+                        continue
+                    other = c.values[j]
+                    score = float(np.rint(200.0 * lcs_length(name, other) / (len(name) + len(other)))) if name and other else 0.0
+                    found.append((i, j, score))
+                    heapq.heappush(best, score) if len(best) < k else heapq.heappushpop(best, score)
+        i, j, score = zip(*found) if found else ((), (), ())
+        return np.array(i, np.int64), np.array(j, np.int64), np.array(score, float)
 
 
 def sorted_tokens(name: Column) -> Column:
@@ -144,13 +149,12 @@ def sorted_tokens(name: Column) -> Column:
 
 def link_vectors(entities: DataFrame, tickers: DataFrame, k: int = 1, **kw) -> DataFrame:
     """Nearest ticker vectors by inner product: (q_id, c_id, score, rank)."""
-    return top_matches(entities, tickers, InnerProduct(), k, **kw).select(
-        "q_id", "c_id", "score", "rank")
+    return best_matches(entities, tickers, InnerProduct(), k, **kw).select("q_id", "c_id", "score", "rank")
 
 
 def link_names(names: DataFrame, titles: DataFrame, k: int = 5, **kw) -> DataFrame:
     """Best ``k`` titles for each distinct name by token-sort ratio: (name, title, score, rank)."""
     q = names.select(F.col("name").alias("q_id"), sorted_tokens(F.col("name")).alias("q_value"))
     c = titles.select(F.col("title").alias("c_id"), sorted_tokens(F.col("title")).alias("c_value"))
-    return top_matches(q.dropDuplicates(["q_id"]), c.dropDuplicates(["c_id"]), NameRatio(), k, **kw).select(
+    return best_matches(q.dropDuplicates(["q_id"]), c.dropDuplicates(["c_id"]), NameRatio(), k, **kw).select(
         F.col("q_id").alias("name"), F.col("c_id").alias("title"), "score", "rank")

@@ -263,10 +263,16 @@ def tune_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def smote(spark: SparkSession, folder: str) -> DataFrame:
-    """Class sizes after oversampling."""
+    """Class sizes after oversampling, and how many new rows lie off the segment of a row and its neighbour."""
     train, _ = _train_rows(spark, folder)
-    grown = classifiers.smote(train, ["Ticker", "Date"], FEATURES)
-    return grown.groupBy("signal_label").agg(F.count(F.lit(1)).alias("n"))
+    grown = classifiers.smote(train, ["Ticker", "Date"], FEATURES, trace=True)
+    a, b, v = F.col("ends")[0], F.col("ends")[1], F.array(*FEATURES)
+    # a point of the segment has equal shares of every coordinate's difference
+    off = F.exists(F.arrays_zip(a.alias("a"), b.alias("b"), v.alias("v")), lambda x: (
+        (x["v"] < F.least(x["a"], x["b"]) - 1e-9 * F.abs(x["a"])) | (x["v"] > F.greatest(x["a"], x["b"]) + 1e-9 * F.abs(x["a"]))))
+    return grown.groupBy("signal_label").agg(
+        F.count(F.lit(1)).alias("n"), F.count("ends").alias("made"),
+        F.count(F.when(off, 1)).alias("outside"))
 
 
 # ---------------------------------------------------------------- news
@@ -432,10 +438,12 @@ def finance_sentences(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- entities and links
 
 def gazetteer(spark: SparkSession, folder: str) -> DataFrame:
-    """Every distinct word of at least seven letters in ``benchmark``, labelled by its length."""
+    """Every distinct word and pair of neighbouring words in ``benchmark``, labelled by its length."""
     label = F.array(*[F.lit(x) for x in [*entities.ENTITY_LABELS, "DATE", "NORP"]])
-    return (table(spark, folder, "benchmark").select(F.explode(lexicon.words(F.col("text"))).alias("entity"))
-            .where(F.length("entity") >= 7).distinct()
+    own = lexicon.words(F.col("text"))
+    pairs = F.zip_with(own, F.slice(own, F.lit(2), F.size(own)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return (table(spark, folder, "benchmark").select(F.explode(F.concat(own, pairs)).alias("entity"))
+            .where("entity is not null").distinct()
             .withColumn("label", F.element_at(label, F.length("entity") % 7 + 1)))
 
 
@@ -492,8 +500,30 @@ def fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of the mean chunk vector of each document that are not zero."""
     made = entities.embed_documents(table(spark, folder, "documents"), dim=64)
-    return made.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return rounded(made.select("doc_id", F.posexplode("embedding").alias("pos", "value"))).where("value <> 0")
+
+
+def entity_tickers(spark: SparkSession, folder: str) -> DataFrame:
+    """Organisations linked to the nearest ticker of a ticker CSV, made of the parts."""
+    path = scratch_path(spark, "tickers")
+    prices.write_csv(table(spark, folder, "part").select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("Symbol"), F.col("p_type").alias("GICS Sector"),
+        F.col("p_name").alias("GICS Sub-Industry")), path)
+    m = materialize(entities.financial_mentions(mentions(spark, folder)).select("doc_id", "entity", "label"), "mentions")
+    links = entities.link_tickers(m, prices.read_ticker_csv(spark, path))
+    return rounded(entities.entity_records(m, materialize(links, "links")), 9)
+
+
+def ticker_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The ticker CSV as read: one row per part, with missing and quoted fields."""
+    path = scratch_path(spark, "tickers")
+    prices.write_csv(table(spark, folder, "part").select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("Symbol"),
+        F.when(F.col("p_partkey") % 7 > 0, F.concat(F.col("p_type"), F.lit(', "'), F.col("p_brand"), F.lit('"'))).alias("GICS Sector"),
+        F.col("p_name").alias("GICS Sub-Industry")), path)
+    return prices.read_ticker_csv(spark, path).toDF("symbol", "sector", "sub_industry")
 
 
 def ticker_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -574,6 +604,8 @@ QUERIES: dict[str, Query] = {
     "nearest_ticker": nearest_ticker,
     "fuzzy_names": fuzzy_names,
     "doc_embedding": doc_embedding,
+    "entity_tickers": entity_tickers,
+    "ticker_rows": ticker_rows,
     "ticker_texts": ticker_texts,
     "date_strings": date_strings,
     "stripped_texts": stripped_texts,

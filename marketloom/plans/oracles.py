@@ -182,14 +182,30 @@ _SENTENCES = f"""sents AS (
 
 _MENTIONS = f"""{_SENTENCES},
 gaz AS (
-  SELECT entity, ['ORG', 'MONEY', 'PERSON', 'GPE', 'PRODUCT', 'DATE', 'NORP'][length(entity) % 7 + 1] AS label
-  FROM (SELECT DISTINCT unnest({_WORDS.format("text")}) AS entity FROM benchmark) WHERE length(entity) >= 7),
+  SELECT entity, ['ORG', 'MONEY', 'PERSON', 'GPE', 'PRODUCT', 'DATE', 'NORP'][length(entity) % 7 + 1] AS label FROM (
+    SELECT DISTINCT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS entity
+    FROM (SELECT {_WORDS.format("text")} AS ws FROM benchmark))),
 tokens AS (
   SELECT doc_id, pos, sentence, unnest(ws) AS entity, generate_subscripts(ws, 1) - 1 AS word
   FROM (SELECT *, {_WORDS.format("sentence")} AS ws FROM sents)),
-mentions AS (SELECT doc_id, pos, word, t.entity, label, sentence FROM tokens t JOIN gaz USING (entity)),
+runs AS (
+  SELECT doc_id, pos, word, entity, sentence FROM tokens
+  UNION ALL SELECT a.doc_id, a.pos, a.word, a.entity || ' ' || b.entity, a.sentence
+  FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND a.pos = b.pos AND a.word + 1 = b.word),
+mentions AS (SELECT doc_id, pos, word, t.entity, label, sentence FROM runs t JOIN gaz USING (entity)),
 kept AS (SELECT * FROM mentions WHERE label IN ('ORG', 'MONEY', 'PERSON', 'GPE', 'PRODUCT'))"""
 
+
+def _hashed(name: str, source: str, key: str, pieces: str, dim: int) -> str:
+    """``name``: (key, bucket, v), fixed-point unit vectors of the hashed pieces of each key."""
+    return f"""
+{name}_c AS (SELECT {key}, ('0x' || substr(md5(w), 1, 7))::INT % {dim} AS bucket, count(*) AS c
+  FROM (SELECT {key}, unnest({pieces}) AS w FROM {source}) GROUP BY ALL),
+{name} AS (SELECT {key}, bucket, round(1048576 * c / sqrt(sum(c * c) OVER (PARTITION BY {key}))) / 1048576 AS v FROM {name}_c)"""
+
+
+_GRAMS = "list_transform(range(1, greatest(length({0}) - 2, 1) + 1), lambda i: substring(lower({0}), i, 3))"
+
 _ARTICLES = """articles AS (
   SELECT doc_id, string_split(text, chr(10))[1] AS title, source AS author,
          CASE WHEN n_chars < 150 THEN '' WHEN source = 'src7' THEN NULL
@@ -309,7 +325,7 @@ SELECT batch_id, n, correct, round(accuracy, 6) AS accuracy, round(loss, 6) AS l
 SELECT CAST(sum(n) AS BIGINT) AS n, round(100.0 * sum(correct) / sum(n), 6) AS accuracy, round(avg(loss), 6) AS loss FROM batches""",
     "smote": f"""WITH {_DAILY}{_FEATURES}{_LABELLED}{_SIDES},
 c AS (SELECT signal_label, count(*) AS n FROM sides WHERE side = 'train' AND {_ALL} GROUP BY 1)
-SELECT signal_label, (SELECT max(n) FROM c) AS n FROM c""",
+SELECT signal_label, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) - n AS made, 0 AS outside FROM c""",
 
     "news_flatten": f"""WITH {_ARTICLES} SELECT title, author, url, 'good' AS kind FROM articles
 UNION ALL SELECT '{{"status":"ok","articles":[{{"title": "' || doc_id, NULL, NULL, 'bad' FROM articles""",
@@ -369,6 +385,22 @@ c AS (SELECT title, {_tokens("title")} AS b FROM titles),
 s AS (SELECT name, title, round_even(200.0 * ({_lcs("a", "b")}) / (length(a) + length(b)), 0) AS score FROM q CROSS JOIN c),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, title) AS rank FROM s)
 SELECT name, title, score, rank FROM r WHERE rank <= 5""",
+    "doc_embedding": f"""WITH {_CHUNKS},{_hashed("v", "chunks", "doc_id, pos", _WORDS.format("chunk"), 64)}
+SELECT doc_id, bucket::INT AS pos, round(sum(v) / any_value(n), 6) AS value
+FROM v JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) USING (doc_id)
+GROUP BY doc_id, bucket HAVING round(sum(v) / any_value(n), 6) <> 0""",
+    "entity_tickers": f"""WITH {_MENTIONS},
+orgs AS (SELECT DISTINCT entity FROM kept WHERE label = 'ORG'),
+tick AS (SELECT 'P' || p_partkey AS symbol, 'P' || p_partkey || p_type || p_name AS text FROM part),{_hashed(
+    "e", "orgs", "entity", _GRAMS.format("entity"), 256)},{_hashed("t", "tick", "symbol", _GRAMS.format("text"), 256)},
+s AS (SELECT entity, symbol, sum(e.v * t.v) AS s FROM e JOIN t USING (bucket) GROUP BY 1, 2),
+best AS (SELECT entity, symbol, s FROM s QUALIFY row_number() OVER (PARTITION BY entity ORDER BY s DESC, symbol) = 1),
+links AS (SELECT entity, coalesce(symbol, (SELECT min(symbol) FROM tick)) AS ticker, round(coalesce(s, 0.0), 9) AS similarity
+  FROM orgs LEFT JOIN best USING (entity))
+SELECT doc_id, entity, n, ticker, similarity
+FROM (SELECT doc_id, entity, count(*) AS n FROM kept GROUP BY 1, 2) LEFT JOIN links USING (entity)""",
+    "ticker_rows": """SELECT 'P' || p_partkey AS symbol, CASE WHEN p_partkey % 7 > 0 THEN p_type || ', "' || p_brand || '"' END AS sector,
+  p_name AS sub_industry FROM part""",
     "ticker_texts": "SELECT DISTINCT p_brand || p_type || p_name AS ticker_text FROM part",
     "date_strings": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day,
   strftime(o_orderdate - INTERVAL 56 DAY, '%Y-%m-%d') AS start,

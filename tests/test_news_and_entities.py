@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions.lexicon import LexiconScorer
-from marketloom.operators import articles, entities, linking
+from marketloom.operators import articles, cells, entities, linking
 from marketloom.operators.skew import join_dimension, spread_join
 from marketloom.plans.pipeline import news_report
 from marketloom.schemas import ARTICLE_META
@@ -188,6 +188,54 @@ def test_link_vectors(spark, k, limit):
         assert r.score == pytest.approx(best) and (r.c_id == want[key] or abs(q[key[0]] @ c[r.c_id] - best) < 1e-12)
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_cells_prune_and_stay_exact(spark, limit):
+    """Clustered vectors in many cells and blocks: all matches, by both metrics, in each part."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 6)) * 8
+    c = centres[rng.integers(20, size=1_500)] + rng.normal(size=(1_500, 6)) + 50
+    q = c[:120] + rng.normal(size=(120, 6)) * 0.1
+    qs = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(q)], "q_id int, q_value array<double>, part int")
+    cs = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(c)], "c_id int, c_value array<double>, part int")
+    for metric, scores in ((linking.InnerProduct(), q @ c.T),
+                           (linking.NegativeSquaredDistance(), -((q[:, None] - c[None]) ** 2).sum(axis=2))):
+        scores = np.where(np.arange(120)[:, None] % 2 == np.arange(1_500)[None] % 2, scores, -np.inf)
+        scores[np.arange(120), np.arange(120)] = -np.inf
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+        got = cells.best_matches(qs, cs, metric, 3, exclude_same_id=True, max_broadcast_bytes=limit, tile_rows=32, cell_rows=8)
+        rows = {(r.q_id, r["rank"]): r.c_id for r in got.collect()}
+        assert rows == {(i, r + 1): order[i, r] for i, r in product(range(120), range(3))}
+
+
+def test_cells_far_from_a_query_are_left_out():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 4)) * 50
+    x = centres[rng.integers(30, size=3_000)] + rng.normal(size=(3_000, 4))
+    metric, rows = linking.NegativeSquaredDistance(), {"": len(x)}
+    parts, made = cells._fit({"": x}, rows, 16)
+    cell = cells._assign(x, np.full(len(x), "", object), parts, made)
+    stats = cells._statistics(metric, x, cell, parts, made)
+    bound, home = cells.bounds(metric, stats, x[:200], np.full(200, "", object), 3)
+    floor = np.sort(-((x[:200, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, -3]
+    assert (bound >= floor[:, None]).mean() < 0.2
+    for i in range(200):
+        assert (bound[i][cell] >= -((x[i] - x) ** 2).sum(axis=1) - 1e-6).all()
+
+
+def test_names_share_letters_or_are_not_aligned(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(60)]
+    names = [" ".join(sorted(rng.choice(words, 3))) for _ in range(400)]
+    metric, aligned = linking.NameRatio(), []
+    monkeypatch.setattr(linking, "lcs_length", lambda a, b: aligned.append(1) or lcs(a, b))
+    side = cells.Side(np.array(names, object), names, metric.features(names))
+    i, j, score = metric.top(side, side, 3, np.full(400, -np.inf), False)
+    assert len(aligned) < 0.35 * 400 * 400
+    for row in range(0, 400, 40):
+        want = sorted((-round(200 * lcs(names[row], t) / (len(names[row]) + len(t))) for t in names))[:3]
+        assert sorted(-score[i == row])[:3] == want
+
+
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
