@@ -1,15 +1,19 @@
 """Toxicity: a learned lexicon, Levenshtein automata over its trie, context windows.
 
 Terms and stems (beginnings shared by several toxic words) are learned from a bounded labelled
-sample. All terms stand in one trie; the automaton that accepts every word within a term's edit
-distance walks the trie with an error count, and its states are made once and kept, so most words
-end after two or three steps. Each hit is weighed by the words around it: quotation marks,
-reporting verbs and naming ("the word ...") mark quotation, second persons and commands mark abuse.
-A logistic regression turns the counts of a text into its score.
+sample. All stand in one trie; the automaton that accepts every word within a term's edit distance
+(letters left out, added, replaced, or two neighbours swapped, anywhere in the word) walks the trie with an
+error count, and its states are made once and kept. Terms below nine letters and stems allow one
+edit, longer terms two. Hits with edits on short terms and on stems are counted apart, so that the fit
+decides what they are worth. Words with digits or signs inside (``id1ot``) are read as a whole as well as
+in their letter runs. Each hit is weighed by the words around it: quotation marks, reporting verbs and
+naming ("the word ...") mark quotation, second persons and commands mark abuse. A logistic regression
+turns the counts of a text into its score.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -25,35 +29,48 @@ from marketloom.llm.common import labelled_sample, own
 from marketloom.session import materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
+MIXED = re.compile(r"\d*[^\W\d_]+(?:[\d@$!|*+_.'’-]{1,2}[^\W\d_]+)+|\d+[^\W\d_]+|[^\W\d_]+[\d@$!|]{1,2}(?![^\W_])")
 QUOTES = frozenset("\"'“”„«»‘’`>")
 REPORT = frozenset("""said says wrote called quoted quote word words term reported alleged claims slur
 insult insults dit disait mot mots selon sagte schrieb wort laut dijo dice palabra según""".split())
 DIRECT = frozenset("""you your youre u are tu te vous ton ta du dich ihr dein eres tú usted shut go""".split())
 WINDOW = 5
-FEATURES = ["exact", "stem", "near", "far", "quoted", "direct", "per_word", "terms"]
+KINDS = ["exact", "stem", "near", "far", "stem_near", "short"]
+FEATURES = [*KINDS, "quoted", "direct", "per_word", "terms"]
+SHORT = 5               # edits of shorter terms are a kind of their own
+
+
+ANY = "any"             # whatever follows
+
+
+def allowed(term: str) -> int:
+    """Edits a term may have."""
+    return 1 if len(term) < 9 else 2
 
 
 class Automaton:
     """Words within the edit distance of a trie's terms; a stem also accepts any continuation.
 
-    A state is the set of (trie node, errors) reached; states and steps are made when first met.
+    A state is the set of ((trie node, need), errors) reached, need being the letter that must follow to end
+    a swap, or ANY after a stem; states and steps are made when first met.
     """
 
     def __init__(self, terms: list[str], stems: list[str]) -> None:
+        self.words = list(terms), list(stems)
         self.next: list[dict[str, int]] = [{}]
-        self.term: dict[int, tuple[str, int]] = {}
+        self.term: dict[int, str] = {}
         self.stem: dict[int, str] = {}
         for word in terms:
-            self.term[self._add(word)] = word, 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+            self.term[self._add(word)] = word
         for word in stems:
             self.stem[self._add(word)] = word
-        self.most = max((k for _, k in self.term.values()), default=0)
+        self.most = max(map(allowed, terms), default=1 if stems else 0)
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
         self.ends: list[tuple[str, str] | None] = []
         self.dead = self._state(frozenset())
-        self.start = self._state(self._close({0: 0}, first=True))
+        self.start = self._state(self._close({(0, ""): 0}))
 
     def _add(self, word: str) -> int:
         node = 0
@@ -64,17 +81,17 @@ class Automaton:
             node = self.next[node][c]
         return node
 
-    def _close(self, least: dict[int, int], first: bool = False) -> frozenset:
-        """Add what is reached by leaving out term letters; a word's first letter must be right."""
-        todo = list(least)
+    def _close(self, least: dict[tuple[int, str], int]) -> frozenset:
+        """Add what is reached by leaving out term letters."""
+        todo = [at for at in least if not at[1]]
         while todo:
-            node = todo.pop()
-            e = least[node] + 1
-            if e <= self.most and not (first and node == 0):
-                for child in self.next[node].values():
-                    if least.get(child, 9) > e:
-                        least[child] = e
-                        todo.append(child)
+            at = todo.pop()
+            e = least[at] + 1
+            if e <= self.most:
+                for child in self.next[at[0]].values():
+                    if least.get((child, ""), 9) > e:
+                        least[child, ""] = e
+                        todo.append((child, ""))
         return frozenset(least.items())
 
     def _state(self, s: frozenset) -> int:
@@ -82,32 +99,42 @@ class Automaton:
             self.number[s] = len(self.states)
             self.states.append(s)
             self.steps.append({})
-            found = [(e, *self.term[n]) for n, e in s if n in self.term]
-            good = sorted((e, w) for e, w, most in found if e <= most)
-            stem = [self.stem[n] for n, e in s if e == 0 and n in self.stem]
-            kinds = ("exact", "near", "far")
-            self.ends.append((kinds[good[0][0]], good[0][1]) if good and (good[0][0] == 0 or not stem)
-                             else ("stem", stem[0]) if stem else None)
+            found = []
+            for (node, need), e in s:
+                if not need and node in self.term and e <= allowed(self.term[node]):
+                    word = self.term[node]
+                    kind = "exact" if e == 0 else "short" if len(word) < SHORT else ("near", "far")[e - 1]
+                    found.append((KINDS.index(kind), word))
+                if need in ("", ANY) and node in self.stem and e <= 1:
+                    found.append((KINDS.index(("stem", "stem_near")[e]), self.stem[node]))
+            self.ends.append((KINDS[min(found)[0]], min(found)[1]) if found else None)
         return self.number[s]
 
     def _step(self, state: int, c: str) -> int:
-        least: dict[int, int] = {}
-        for node, e in self.states[state]:
-            if node in self.stem and e == 0:
-                least[node] = 0  # anything may follow a stem
-            if node or e:  # one letter too many
-                if e + 1 <= self.most:
-                    least[node] = min(least.get(node, 9), e + 1)
+        least: dict[tuple[int, str], int] = {}
+
+        def put(node: int, need: str, e: int) -> None:
+            if e <= self.most and e < least.get((node, need), 9):
+                least[node, need] = e
+
+        for (node, need), e in self.states[state]:
+            if need:
+                if need == ANY or c == need:
+                    put(node, need if need == ANY else "", e)
+                continue
+            if node in self.stem:
+                put(node, ANY, e)
+            put(node, "", e + 1)  # one letter too many
             for letter, child in self.next[node].items():
-                k = e if letter == c else e + 1
-                if k <= self.most and (letter == c or node) and least.get(child, 9) > k:
-                    least[child] = k
+                put(child, "", e if letter == c else e + 1)
+                if letter != c and c in self.next[child]:
+                    put(self.next[child][c], letter, e + 1)  # two letters swapped
         return self._state(self._close(least))
 
     def match(self, word: str) -> tuple[str, str] | None:
-        """(kind, term) with kind exact, stem, near (one edit) or far (two), or None."""
+        """(kind, term), the kind first in KINDS, or None."""
         if len(self.states) > 100_000:  # bounded memory: begin again
-            self.__init__([w for w, _ in self.term.values()], list(self.stem.values()))
+            self.__init__(*self.words)
         state = self.start
         for c in word:
             step = self.steps[state]
@@ -133,7 +160,7 @@ def learn_lexicon(sample: DataFrame, least: int = 5, share: float = 0.85,
     """Words and stems that at least ``least`` toxic documents of ``sample`` (text, label) hold, and
     of whose documents at least ``share`` are toxic. Counts are made in Spark; what comes back is
     bounded by the sample."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,40})"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
     heads = F.array_distinct(F.flatten(F.array(*[
         F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(
             F.substring(w, 1, n), F.lit("*"))) for n in stem_lengths])))
@@ -147,15 +174,15 @@ def learn_lexicon(sample: DataFrame, least: int = 5, share: float = 0.85,
         family = [w for w in words_ if w.startswith(s)]
         if not any(s.startswith(x) for x in stems) and len(family) != 1:
             stems.append(s)
-    return sorted(w for w in words_ if not any(w.startswith(s) for s in stems)), stems
+    return sorted(words_), stems
 
 
 def counts(text: str, seen: dict, automaton: Automaton) -> list[float]:
     """The FEATURES of a text."""
     low = text.lower()
-    words = TOKEN.findall(low)
+    words, mixed = TOKEN.findall(low), MIXED.findall(low)
     hits = 0
-    for w in set(words):
+    for w in {*words, *mixed}:
         if w not in seen:
             if len(seen) > 300_000:
                 seen.clear()
@@ -164,23 +191,30 @@ def counts(text: str, seen: dict, automaton: Automaton) -> list[float]:
     out = dict.fromkeys(FEATURES, 0.0)
     if not hits:
         return list(out.values())
+
+    def matched(m: re.Match) -> tuple[str, str] | None:
+        if m[0] not in seen:
+            seen[m[0]] = automaton.match(m[0])
+        return seen[m[0]]
+
     places = list(TOKEN.finditer(low))
+    whole = [m for m in MIXED.finditer(low) if matched(m)] if mixed else []
+    inside = {i for m in whole for i in range(m.start(), m.end())}
+    starts = [p.start() for p in places]
     names = set()
-    for i, m in enumerate(places):
-        hit = seen.get(m[0])
+    for m in [*whole, *(p for p in places if p.start() not in inside)]:
+        hit = matched(m)
         if hit is None:
-            if m[0] in seen:
-                continue
-            hit = seen[m[0]] = automaton.match(m[0])
-            if hit is None:
-                continue
+            continue
+        i = bisect.bisect_left(starts, m.start())
         around = {p[0] for p in places[max(0, i - WINDOW):i + WINDOW + 1]}
         left, right = low[max(0, m.start() - 40):m.start()], low[m.end():m.end() + 40]
         quoted = bool(QUOTES & set(left[-2:])) and bool(QUOTES & set(right[:2])) or bool(REPORT & around)
-        names.add(hit[1])
         out["quoted" if quoted else hit[0]] += 1.0
-        out["direct"] += float(not quoted and bool(DIRECT & around))
-    found = sum(out[k] for k in ("exact", "stem", "near", "far"))
+        if hit[0] != "short":
+            names.add(hit[1])
+            out["direct"] += float(not quoted and bool(DIRECT & around))
+    found = sum(out[k] for k in KINDS if k != "short")
     per = found / max(1, len(words))
     out = {k: math.log1p(v) for k, v in out.items()}
     out["per_word"], out["terms"] = min(1.0, 20 * per), math.log1p(len(names))

@@ -10,37 +10,59 @@ BAD = ["grumblefink", "snotzel", "dreckwurm", "blorfo"]
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        old, row = row, [i + 1] + [0] * len(b)
-        for j, y in enumerate(b):
-            row[j + 1] = min(row[j] + 1, old[j + 1] + 1, old[j] + (x != y))
-    return row[-1]
+    """Edits with swaps of neighbours."""
+    d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def plain(word, terms, stems):
+    """The best (kind, term) by distances to all terms and to all beginnings for stems."""
+    found = []
+    for t in terms:
+        d = distance(word, t)
+        if d <= toxicity.allowed(t):
+            found.append(("exact" if d == 0 else "short" if len(t) < 5 else ("near", "far")[d - 1], t))
+    for s in stems:
+        d = min(distance(word[:n], s) for n in range(len(word) + 1))
+        if d <= 1:
+            found.append((("stem", "stem_near")[d], s))
+    return min(((toxicity.KINDS.index(k), t) for k, t in found), default=None)
 
 
 def test_automaton_equals_edit_distance():
     r = random.Random(1)
-    terms = ["abcde", "abcdeabcd", "bad", "cabab"]
-    machine = toxicity.Automaton(terms, ["dada"])
-    limit = {t: 0 if len(t) < 5 else 1 if len(t) < 9 else 2 for t in terms}
-    for _ in range(4_000):
-        base = list(r.choice(terms + ["dadaX"]))
+    terms, stems = ["abcde", "abcdeabcd", "bad", "cabab", "dadax"], ["dada", "eca"]
+    machine = toxicity.Automaton(terms, stems)
+    kinds = set()
+    for _ in range(6_000):
+        base = list(r.choice(terms + ["dadaX", "ecabe"]))
         for _ in range(r.randint(0, 3)):
             k = r.randrange(len(base))
-            base[k:k + r.randint(0, 1)] = r.choice(["", "a", "b", "e"])
+            if r.random() < 0.3 and k:
+                base[k - 1], base[k] = base[k], base[k - 1]
+            else:
+                base[k:k + r.randint(0, 1)] = r.choice(["", "a", "b", "e"])
             base = base or ["a"]
         word = "".join(base)
-        got = machine.match(word)
-        near = sorted((distance(word, t), t) for t in terms if distance(word, t) <= limit[t] and (
-            word[0] == t[0]))
-        if near and near[0][0] == 0:
-            assert got == ("exact", near[0][1])
-        elif word.startswith("dada"):
-            assert got == ("stem", "dada")
-        elif got is not None:
-            assert near and got[0] == ("exact", "near", "far")[near[0][0]]
-        else:
-            assert not near
+        got, want = machine.match(word), plain(word, terms, stems)
+        assert got == (want and (toxicity.KINDS[want[0]], want[1])), word
+        kinds.add(got and got[0])
+    assert kinds == {*toxicity.KINDS, None}
+
+
+def test_misspellings_that_were_cut_away():
+    machine = toxicity.Automaton(["idiot"], ["blorf"])
+    for word, kind in (("diot", "near"), ("xdiot", "near"), ("idoit", "near"), ("id1ot", "near"), ("blrfo", "stem_near"), ("blorfing", "stem")):
+        assert machine.match(word)[0] == kind
+    machine = toxicity.Automaton(["idiot", "moron"], [])
+    for text in ("what an id1ot he is", "m0ron!", "you m*ron", "the idi0t.", "1diot"):
+        assert toxicity.counts(text, {}, machine)[toxicity.FEATURES.index("near")] > 0, text
+    assert not any(toxicity.counts("a1b2 c-d e.f 10x", {}, machine))
 
 
 def corpus(r, n=500):
