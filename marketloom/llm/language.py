@@ -23,7 +23,7 @@ from marketloom.session import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
-WORD_PART = 48  # longer runs of letters are scored in parts of this length
+WORD_PART = 48  # longer runs of letters are summed on their own, and fitted in parts of this length
 CACHE = 500_000  # words a task keeps the sums of
 
 
@@ -40,7 +40,7 @@ def pieces(path: str) -> dict[str, int]:
 
 
 def parts(word: str) -> list[str]:
-    """The word with the mark of its start, in pieces of at most WORD_PART letters."""
+    """The word with the mark of its start, in pieces of at most WORD_PART letters (for the fit only)."""
     return ["▁" + word[:WORD_PART], *(word[i:i + WORD_PART] for i in range(WORD_PART, len(word), WORD_PART))]
 
 
@@ -59,6 +59,7 @@ class Lattice:
     def __init__(self, index: dict[str, int]) -> None:
         # every beginning of a piece, with the piece's number if it is one itself
         self.known = {p[:i]: -1 for p in index for i in range(1, len(p) + 1)} | index
+        self.longest = max(map(len, index), default=1)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
         get, out = self.known.get, []
@@ -110,11 +111,40 @@ class LanguageModel:
         return np.log(np.maximum(last, 1e-300))
 
     def scores(self, words: list[str], lattice: Lattice) -> np.ndarray:
-        """Log probability of each run of letters, the sum over its parts."""
-        cut = [parts(w) for w in words]
-        flat = self.word_scores([x for c in cut for x in c], lattice)
-        starts = np.cumsum([0, *map(len, cut)])[:-1]
-        return np.add.reduceat(flat, starts, axis=0)
+        """Log probability of each run of letters, summed over all its segmentations."""
+        out = np.zeros((len(words), len(self.languages)))
+        short = [i for i, w in enumerate(words) if len(w) <= WORD_PART]
+        out[short] = self.word_scores(["▁" + words[i] for i in short], lattice)
+        for i, w in enumerate(words):
+            if len(w) > WORD_PART:
+                out[i] = self.long_score("▁" + w, lattice)
+        return out
+
+    def long_score(self, word: str, lattice: Lattice) -> np.ndarray:
+        """The same for one run of any length: the sums are kept for the length of the longest piece, and
+        scaled where they become small."""
+        prob, get, n, reach = np.exp(self.log_prob), lattice.known.get, len(word), lattice.longest
+        ring = np.zeros((reach + 1, prob.shape[1]))
+        ring[0] = 1.0
+        scale = np.zeros(prob.shape[1])
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for i in range(n):
+            p = get(word[i])
+            ends.setdefault(i + 1, []).append((i, p if p and p > 0 else 0))
+            if p is not None:
+                for j in range(i + 2, min(n, i + reach) + 1):
+                    p = get(word[i:j])
+                    if p is None:
+                        break
+                    if p > 0:
+                        ends.setdefault(j, []).append((i, p))
+            here = ends.pop(i + 1)
+            ring[(i + 1) % (reach + 1)] = sum(ring[k % (reach + 1)] * prob[piece] for k, piece in here)
+            small = ring[(i + 1) % (reach + 1)] < 1e-100
+            if small.any():
+                ring[:, small] *= 1e100
+                scale[small] -= 100 * np.log(10)
+        return np.log(np.maximum(ring[n % (reach + 1)], 1e-300)) + scale
 
 
 def fit(docs: DataFrame, each: int = 400, chars: int = 20_000_000, rounds: int = 3,

@@ -48,6 +48,24 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got[k], want)
 
 
+def test_runs_of_any_length_are_summed_whole():
+    index = {"▁": 1, "a": 2, "b": 3, "▁a": 4, "ab": 5, "▁ab": 6, "ba": 7, "abba": 8}
+    prob = np.random.default_rng(1).random((9, 2)) / 9
+    model, lattice = language.LanguageModel(["x", "y"], np.log(prob)), language.Lattice(index)
+    for n in (3, 47, 49, 60, 400, 3_000):
+        word = "".join(np.random.default_rng(n).choice(list("abq"), n))
+        alpha, scale = [np.ones(2)], np.zeros(2)
+        full = "▁" + word
+        for j in range(1, len(full) + 1):
+            now = sum(alpha[i] * prob[index.get(full[i:j], 0)] for i in range(max(0, j - 4), j)
+                      if full[i:j] in index or j - i == 1)
+            scale += np.log(now)
+            alpha = [a / now for a in alpha] + [np.ones(2)]
+        assert np.allclose(model.scores([word], lattice)[0], scale)
+        if n < 48:
+            assert np.allclose(model.long_score(full, lattice), scale)
+
+
 def test_awkward_rows(spark):
     rows = awkward(random.Random(1)) + [(30, "12345 ?!"), (31, "q" * 5_000)]
     docs = frame(spark, rows)
