@@ -1,7 +1,7 @@
 """Secret scans: candidate strings, a random forest against false positives, redaction.
 
-Candidates are values assigned to a secret-like name and long runs of letters, digits and
-+/_- with a digit. Their features are length, entropy, character transitions, coverage by
+Candidates are values assigned to a secret-like name, passwords in URLs, tokens of several dotted parts,
+long parts of paths, and runs of letters, digits and +/_- with a digit or of mixed case. Their features are length, entropy, character transitions, coverage by
 dictionary words, the path, the marks around and the words before. A random forest of Spark ML
 trained from labelled findings decides; the built-in findings are planted in excerpts of the given
 documents (issuer formats and assignments as secrets; digests, identifiers, placeholders, versions
@@ -31,15 +31,24 @@ from marketloom.session import materialize
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer)"
 CANDIDATE = re.compile(
+    # a value assigned to a secret-like name
     rf"(?i:\b{NAME}\w*[\"']?\s{{0,3}}(?:[:=]|=>)\s{{0,3}}[\"']?)(?P<value>[^\s\"'<>,;]{{6,}})"
-    r"|(?<![\w@./+-])(?P<bare>(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2})(?![\w@])")
+    # the password of a URL's user-info
+    r"|(?<=://)[^\s:/@]*:(?P<login>[^\s/@]{3,})(?=@)"
+    # tokens with dots: three parts, or two of which one has a digit
+    r"|(?<![\w@+-])(?P<dotted>(?=[A-Za-z_.-]*[0-9])[A-Za-z0-9_-]{2,}(?:\.[A-Za-z0-9_=-]{6,}){1,})(?![\w@])"
+    # long parts of a path
+    r"|(?<=/)(?P<part>(?=[A-Za-z_-]*[0-9]|[A-Z_-]*[a-z][a-z_-]*[A-Z])[A-Za-z0-9_-]{16,}={0,2})(?![\w@])"
+    # free runs with a digit, of mixed case or of capitals
+    r"|(?<![\w@./+-])(?P<bare>(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}={0,2}|(?:[A-Z]{16,}|(?=[A-Z]*[a-z]+[A-Z])[A-Za-z]{16,}))(?![\w@])")
 NEAR_SECRET = re.compile(rf"(?i)\b{NAME}|\bkey\b|aws|ssh|login")
 NEAR_OTHER = re.compile(r"(?i)commit|sha-?(?:1|256)|md5|checksum|digest|uuid|guid|\bid\b|version|file|image|https?:|www\.|example|placeholder|sample|build|order|isbn")
+LETTERS = re.compile("[a-z]{3,}")
 PLACEHOLDER = re.compile(r"(?i)your|example|change|placeholder|xxx|dummy|sample|test|\*\*\*|<|\$\{|redacted|none|null|todo")
 TEST_PATH = re.compile(r"(?i)test|example|sample|mock|fixture|docs?/")
 FEATURES = ["length", "entropy", "transitions", "digits", "capitals", "symbols", "hex", "covered",
             "longest_word", "path", "assigned", "quoted", "near_secret", "near_other", "placeholder",
-            "distinct", "prefix", "dashes"]
+            "distinct", "prefix", "dashes", "dots", "in_url", "then_at"]
 FOUND = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                    ("lead", pa.string()), ("features", pa.list_(pa.float64()))])
 
@@ -56,13 +65,15 @@ def dictionary(path: str) -> frozenset[str]:
 def _coverage(value: str, words: frozenset[str]) -> tuple[float, int]:
     """Share of characters in dictionary words, greedily from the left, and the longest word."""
     low, i, total, longest = value.lower(), 0, 0, 0
-    while i < len(low):
-        for n in range(min(12, len(low) - i), 2, -1):
-            if low[i:i + n] in words:
-                total, longest, i = total + n, max(longest, n), i + n
-                break
-        else:
-            i += 1
+    for run in LETTERS.finditer(low):  # no word spans other characters
+        i = run.start()
+        while i < run.end() - 2:
+            for n in range(min(12, run.end() - i), 2, -1):
+                if low[i:i + n] in words:
+                    total, longest, i = total + n, max(longest, n), i + n
+                    break
+            else:
+                i += 1
     return total / len(low), longest
 
 
@@ -76,7 +87,7 @@ def features(text: str, start: int, end: int, assigned: bool, path: str,
     n = len(value)
     counts = {c: value.count(c) for c in set(value)}
     kinds = [_kind(c) for c in value]
-    covered, longest = _coverage(value[:512], words)
+    covered, longest = _coverage(value, words)
     before, after = text[max(0, start - 48):start], text[end:end + 2]
     hexed = re.fullmatch(r"[0-9a-fA-F-]+", value) is not None
     return [math.log1p(n), -sum(k / n * math.log2(k / n) for k in counts.values()),
@@ -86,13 +97,14 @@ def features(text: str, start: int, end: int, assigned: bool, path: str,
             float(before[-1:] in "\"'`" and before != ""),
             float(bool(NEAR_SECRET.search(before))), float(bool(NEAR_OTHER.search(before))),
             float(bool(PLACEHOLDER.search(value))), len(counts) / n,
-            float(bool(re.match(r"[A-Za-z]{2,6}[-_]|[A-Z]{4}", value))), float(value.count("-"))]
+            float(bool(re.match(r"[A-Za-z]{2,6}[-_]|[A-Z]{4}", value))), float(value.count("-")),
+            float(value.count(".")), float("://" in before), float(after[:1] == "@")]
 
 
 def spans(text: str) -> Iterator[tuple[int, int, bool]]:
     for m in CANDIDATE.finditer(text):
-        kind = "value" if m["value"] else "bare"
-        yield m.start(kind), m.end(kind), kind == "value"
+        kind = m.lastgroup
+        yield m.start(kind), m.end(kind), kind in ("value", "login")
 
 
 def candidates(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -127,6 +139,8 @@ def _plant(r: random.Random) -> tuple[str, str, int]:
     up = "".join(r.choice(letters) for _ in range(16))
     mixed = base64.b64encode(raw).decode()
     digest = hashlib.sha1(raw).hexdigest()
+    long = base64.urlsafe_b64encode(raw + raw[::-1]).decode().replace("=", "")
+    token = re.sub(r"[^A-Za-z0-9]", "k", mixed)
     word = r.choice(["river", "window", "update", "manager", "central", "picture", "report"])
     name = r.choice(["password", "token", "secret", "api_key", "auth_token", "access-key", "pwd"])
     sign = r.choice(["=", " = ", ": ", '="', " = \"", "='"])
@@ -145,6 +159,15 @@ def _plant(r: random.Random) -> tuple[str, str, int]:
         ("", f"{word}-{r.choice(['one', 'large', 'small'])}-{r.randint(1, 9999)}", 0),
         ("file ", f"{word}_{word}_{r.randint(1, 400)}", 0), ("version ", f"{word}-{r.randint(1, 9)}-release-{r.randint(1, 99)}", 0),
         (r.choice(["order ", "", ""]), str(r.randint(10 ** 12, 10 ** 17)), 0),
+        ("", f"SG.{token[:22]}.{long[:43]}", 1), (r.choice(["", "jwt ", "cookie "]), f"eyJ{token[:17]}.eyJ{long[:r.randint(30, 60)]}.{long[10:53]}", 1),
+        (f"https://hooks.{word}.com/services/T{up[:8]}/B{up[8:]}/", token[:24], 1),
+        (r.choice(["postgres", "mysql", "amqp", "https"]) + f"://{word}:", r.choice([digest[:16], token[:14], token[:9] + "!7"]), 1),
+        (r.choice(["", "key ", "code "]), token[:r.randint(16, 30)], 1),
+        (f"https://www.{word}.com/{word}/", f"{word}-{word}-{r.choice(['story', 'guide', 'page'])}-{r.randint(1, 99)}", 0),
+        (f"https://cdn.{word}.org/", f"{word.title()}{word.title()}{r.choice(['Overview', 'Settings'])}", 0),
+        ("", f"{word}.{r.choice(['config', 'manager', 'service'])}.{word}{r.randint(1, 9)}", 0), ("", f"{word}{r.randint(1, 9)}.example.com", 0),
+        ("version ", f"v{r.randint(1, 9)}.{r.randint(100000, 999999)}.release", 0), ("", f"{word.title()}{word.title()}{word.title()}", 0),
+        (r.choice(["", "room ", "item "]), f"{word[:4]}{r.randint(1000, 99999)}", 0), ("ftp://guest:", "guest", 0), ("https://user:", "password", 0),
         ("", f"{r.randint(1000, 9999)}-{r.randint(1000, 9999)}-{r.randint(1000, 9999)}", 0), ("", f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}", 0),
     ])
 
@@ -165,7 +188,7 @@ def findings(docs: DataFrame, documents: int = 1_500, each: int = 8) -> DataFram
                     lead, value, label = _plant(r)
                     at = r.randint(0, len(words))
                     head = " ".join([*words[max(0, at - 12):at], lead]) if at else lead
-                    end = r.choice(['"', "'"]) if lead[-1:] in "\"'" else ""
+                    end = r.choice(['"', "'"]) if lead[-1:] in "\"'" else "@db.host" if re.search("://.*:$", lead) else ""
                     path = r.choice(["", "", "src/app.py", "tests/data.py"])
                     out.append((f"{head}{value}{end} {' '.join(words[at:at + 12])}", path, len(head), label))
             yield pd.DataFrame(out, columns=["text", "path", "start", "label"])

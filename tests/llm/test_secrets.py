@@ -32,6 +32,51 @@ def test_finds_secrets_and_removes_false_findings(spark):
     assert "1beb58" not in clean[1].text and "AKIA" not in clean[0].text and "b7db" not in clean[2].text
 
 
+KEYS = {"SG.aB3dE5fG7hI9jK1lM3nO5p.qR7sT9uV1wX3yZ5aB7cD9eF1gH3iJ5kL7mN9oP1qR3": "the mail key ",
+        "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U": "",
+        "pQ7rS9tU1vW3xY5zA7bC9dE1": "https://hooks.slack.com/services/T0A1B2C3D/B4E5F6G7H/", "s3cr3tPassw0rd": "postgres://admin:",
+        "q9z7K2m4": "key ", "fooBarBazQuxQuuxCorge": "x "}
+
+
+def test_every_class_of_candidates_is_seen():
+    for value, lead in KEYS.items():
+        after = "@db.host/x" if lead.startswith("postgres") else " end"
+        text = f"some words {lead}{value}{after}"
+        found = {text[a:b] for a, b, _ in secrets.spans(text)}
+        assert any(value in x for x in found), (value, found)
+    long = "a1" * 4_000
+    assert [(a, b) for a, b, _ in secrets.spans(f"x {long} y")] == [(2, 2 + len(long))]
+
+
+def test_coverage_reads_whole_values_like_brute_force():
+    words, r = frozenset({"river", "window", "abc", "abcdefghijkl"}), random.Random(5)
+
+    def plain(v):
+        i = total = longest = 0
+        while i < len(v):
+            n = next((n for n in range(min(12, len(v) - i), 2, -1) if v[i:i + n] in words), 0)
+            total, longest, i = total + n, max(longest, n), i + (n or 1)
+        return total / len(v), longest
+
+    for _ in range(200):
+        v = "".join(r.choice(["river", "window", "abc", "abcdefghijkl", "x", "9", "-", "ri", "ver"]) for _ in range(r.randint(1, 400)))
+        assert secrets._coverage(v, words) == plain(v)
+
+
+def test_planted_classes_are_told_apart(spark):
+    r = random.Random(21)
+    forest = model(spark, r)
+    docs = frame(spark, [(10_000 + i, prose(r, 60, "abcdefghijklmnop")) for i in range(150)])
+    held = secrets.findings(docs, documents=150)
+    rows = held.withColumn("doc_id", F.xxhash64("text", "path", "start"))
+    got = (rows.select("doc_id", "start", "label").distinct()
+           .join(secrets.scan(rows, forest, path="path"), ["doc_id", "start"], "left").select("label", "is_secret").collect())
+    real = [x for x in got if x.label == 1]
+    assert sum(x.is_secret is not None for x in real) >= 0.98 * len(real)  # candidates, by the pattern
+    assert sum(bool(x.is_secret) for x in real) >= 0.9 * len(real)
+    assert sum(bool(x.is_secret) for x in got if x.label == 0) <= 0.08 * (len(got) - len(real))
+
+
 def test_awkward_rows(spark):
     rows = awkward(random.Random(1)) + [(20, "é😀 password=b7db7aa4a5fcc78305 é"), (None, "pwd: 9c7db7aa4a5fcc783")]
     docs = frame(spark, rows + rows[-2:]).withColumn("score", F.lit(1))
