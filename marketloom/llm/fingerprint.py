@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import fits_broadcast, let
 from marketloom.session import materialize
 
+#: Paragraphs: at least 96 characters up to the end of a sentence; the first HEAD characters are cut
+#: finer, at the blank after 12, so that short texts have several digests too.
 PARAGRAPH = r"(?s).{96}[^.!?\n]{0,128}[.!?\n]*|.+"
+HEAD, PIECE = 96, r"(?s).{12}\S*\s*|.+"
 ROW, ROWS = 8, 3
 CELLS = ROW * ROWS
 LOAD = 10  # digests a block is planned for
@@ -31,7 +34,9 @@ NONE = "array<struct<n:int,k:bigint,c:bigint>>"
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs; none for null or empty text."""
-    cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
+    full = F.coalesce(text, F.lit(""))
+    cut = F.concat(F.regexp_extract_all(F.substring(full, 1, HEAD), F.lit(PIECE), F.lit(0)),
+                   F.regexp_extract_all(F.substring(full, HEAD + 1, (1 << 31) - 1), F.lit(PARAGRAPH), F.lit(0)))
     return F.array_distinct(F.transform(F.filter(cut, lambda p: F.length(p) > 0), lambda p: F.xxhash64(p)))
 
 
