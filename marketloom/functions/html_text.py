@@ -25,36 +25,50 @@ _ENDS_P = set("""address article aside blockquote center details dialog dir div
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search
 section summary table ul dd dt td th tr tbody thead tfoot""".split())
 _SCOPE = set("html body table td th caption button object template".split())
+_ENDS_ITSELF = {"li", "td", "th", "tr", "dd", "dt"}
+_LIST_SCOPE = _SCOPE - {"td", "th"} | {"ul", "ol", "dl"}
 _NOT_TEXT = {"script", "style", "template"}
 
 
 class _Page(HTMLParser):
-    """Elements in document order, each with the range of text runs it covers."""
+    """Elements in document order, each with the range of text runs it covers.
+
+    Of the open elements the depths are kept by tag, and those of the barriers of implied ends, so a
+    tag costs the same however many elements are open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.texts: list[str] = []
         self.elements: list[list] = []      # [tag, attributes, first run, end run]
         self._open: list[int] = []
+        self._depths: dict[str, list[int]] = {}
+        self._barriers: tuple[list[int], list[int]] = [], []    # depths of _SCOPE and of _LIST_SCOPE
+        self._hidden = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _ENDS_P:
-            self._imply_end("p", _SCOPE)
-        if tag in ("li", "td", "th", "tr", "dd", "dt"):
-            self._imply_end(tag, _SCOPE - {"td", "th"} | {"ul", "ol", "dl"})
+            self._imply_end("p", self._barriers[0])
+        if tag in _ENDS_ITSELF:
+            self._imply_end(tag, self._barriers[1])
         self.elements.append([tag, dict(attrs), len(self.texts), None])
         if tag not in _VOID:
+            depth = len(self._open)
             self._open.append(len(self.elements) - 1)
+            self._depths.setdefault(tag, []).append(depth)
+            for scope, depths in zip((_SCOPE, _LIST_SCOPE), self._barriers):
+                if tag in scope:
+                    depths.append(depth)
+            self._hidden += tag in _NOT_TEXT
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(self.elements[i][0] == tag for i in self._open):
+        if self._depths.get(tag):
             self._close_down_to(tag)
 
     def handle_data(self, data: str) -> None:
-        if not any(self.elements[i][0] in _NOT_TEXT for i in self._open):
+        if not self._hidden:
             self.texts.append(data)
 
     def finish(self) -> _Page:
@@ -65,14 +79,10 @@ class _Page(HTMLParser):
             e[3] = e[2] if e[3] is None else e[3]
         return self
 
-    def _imply_end(self, tag: str, barriers: set) -> None:
-        for i in reversed(self._open):
-            name = self.elements[i][0]
-            if name == tag:
-                return self._close_down_to(tag)
-            if name in barriers:
-                return None
-        return None
+    def _imply_end(self, tag: str, barriers: list[int]) -> None:
+        depths = self._depths.get(tag)
+        if depths and (not barriers or depths[-1] >= barriers[-1]):
+            self._close_down_to(tag)
 
     def _close_down_to(self, tag: str) -> None:
         while self._pop() != tag:
@@ -81,6 +91,11 @@ class _Page(HTMLParser):
     def _pop(self) -> str:
         e = self.elements[self._open.pop()]
         e[3] = len(self.texts)
+        self._depths[e[0]].pop()
+        for depths in self._barriers:
+            if depths and depths[-1] == len(self._open):
+                depths.pop()
+        self._hidden -= e[0] in _NOT_TEXT
         return e[0]
 
 

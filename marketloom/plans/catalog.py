@@ -20,7 +20,7 @@ from marketloom.functions.expressions import (
 from marketloom.functions.html_text import html_main_text
 from marketloom.operators import (
     articles, bars, classifiers, entities, evaluation, linking, samples, sentiment)
-from marketloom.operators.indicators import add_indicators
+from marketloom.operators.indicators import add_indicators, indicator_states
 from marketloom.operators.labels import add_signal_label, class_index, fit_thresholds
 from marketloom.operators.layout import Series
 from marketloom.operators.skew import join_dimension
@@ -118,6 +118,16 @@ def indicator_query(columns: list[str], digits: int, spark: SparkSession, folder
     return rounded(made.select("Date", "Ticker", *columns), digits)
 
 
+def indicators_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """Indicators of the later half of the days, from states saved after the earlier half."""
+    panel = daily_panel(spark, folder)
+    cut = F.lit(dt.date(1995, 6, 17))
+    states = materialize(indicator_states(panel.where(F.col("Date") < cut), DAILY), "states")
+    columns = ["ema", "sma", "rsi", "macd", "macd_signal", "macd_diff", "daily_return", "volatility"]
+    made = add_indicators(panel.where(F.col("Date") >= cut), DAILY, columns=columns, states=states)
+    return rounded(made.select("Date", "Ticker", *columns), 4)
+
+
 def indicators_hourly(spark: SparkSession, folder: str) -> DataFrame:
     panel = materialize(hourly_bars(spark, folder), "bars")
     return rounded(add_indicators(panel, HOURLY).select("Date", "Ticker", *INDICATORS), 4)
@@ -562,6 +572,7 @@ QUERIES: dict[str, Query] = {
     "future_return": partial(indicator_query, ["future_return"], 6),
     "next_values": partial(indicator_query, ["Close_lag1", "Volume_lag1"], 8),
     "indicators_hourly": indicators_hourly,
+    "indicators_resumed": indicators_resumed,
     "thresholds": thresholds,
     "signal_labels": signal_labels,
     "zscore_self": partial(zscore, "self"),

@@ -281,6 +281,9 @@ WHERE "Ticker" IN (SELECT DISTINCT 'Brand#' || substring(source, 4) AS s FROM do
     "future_return": _indicator(["future_return"], 6),
     "next_values": _indicator(["Close_lag1", "Volume_lag1"], 8),
     "indicators_hourly": f'WITH {_HOURLY}{_FEATURES} SELECT "Date", "Ticker", {_r(INDICATORS, 4)} FROM features',
+    "indicators_resumed": f"""WITH {_DAILY}{_FEATURES}
+SELECT "Date", "Ticker", {_r(["ema", "sma", "rsi", "macd", "macd_signal", "macd_diff", "daily_return", "volatility"], 4)}
+FROM features WHERE "Date" >= DATE '1995-06-17'""",
     "thresholds": f"""WITH {_DAILY}{_FEATURES}
 SELECT round(quantile_cont(future_return, 0.3), 6) AS lower, round(quantile_cont(future_return, 0.7), 6) AS upper,
        count(future_return) AS n FROM features""",

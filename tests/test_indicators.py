@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from helpers import collect, panel_frame, to_spark, walk
 from marketloom.operators import layout
-from marketloom.operators.indicators import Params, _carry, add_indicators
+from marketloom.operators.indicators import Params, add_indicators, indicator_states
+from marketloom.operators.series import affine
 from marketloom.operators.layout import Series, with_blocks, with_positions
 from marketloom.schemas import INDICATORS
 
@@ -95,15 +96,46 @@ def test_hot_ticker_is_cut_into_bounded_groups(spark):
         F.max("count")).first()[0] <= 366
 
 
-def test_blocks_do_not_change_results(spark, monkeypatch):
-    pdf = panel_frame({"HOT": walk(700), "G": gappy()})
-    cols = ["sma", "volatility", "momentum", "future_return", "Close_lag1"]
-    want = collect(add_indicators(to_spark(spark, pdf), columns=cols), "Ticker", "Date")
-    real = layout.with_blocks
-    monkeypatch.setattr("marketloom.operators.indicators.with_blocks",
-                        lambda df, b, a: real(df, b, a, block_rows=32))
-    got = collect(add_indicators(to_spark(spark, pdf), columns=cols), "Ticker", "Date")
-    pd.testing.assert_frame_equal(got, want)
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_cuts_do_not_change_results(spark, partitions):
+    """Every number of range partitions, and batches of few rows, give the pandas result."""
+    pdf = panel_frame({"HOT": walk(400), "G": gappy()[:420], "FIVE": walk(5, 4), "NONE": np.full(6, np.nan), "LATE": np.r_[[np.nan] * 30, walk(40)]})
+    before = [spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+        got = collect(add_indicators(to_spark(spark, pdf)), "Ticker", "Date")
+    finally:
+        for k, v in zip(("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch"), before):
+            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = expected(pdf)
+    for c in INDICATORS:
+        a, b = got[c].astype(float), want[c].astype(float)
+        assert (a.isna() == b.isna()).all(), c
+        np.testing.assert_allclose(a.dropna(), b.dropna(), rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("cut", [3, 14, 30, 250])
+def test_saved_states_go_on_without_history(spark, cut):
+    pdf = panel_frame({"A": walk(300), "G": gappy()[:320], "S": walk(40, 9)})
+    old = pdf[pdf.groupby("Ticker").cumcount() < cut]
+    new = pd.concat([pdf.drop(old.index), panel_frame({"NEW": walk(30, 7)})])
+    states = indicator_states(to_spark(spark, old))
+    columns = [c for c in INDICATORS]
+    got = collect(add_indicators(to_spark(spark, new), columns=columns, states=states), "Ticker", "Date")
+    full = expected(pd.concat([pdf, panel_frame({"NEW": walk(30, 7)})], ignore_index=True))
+    want = full.merge(new[["Ticker", "Date"]], on=["Ticker", "Date"]).sort_values(["Ticker", "Date"]).reset_index(drop=True)
+    for c in columns:
+        a, b = got[c].astype(float), want[c].astype(float)
+        assert (a.isna() == b.isna()).all(), c
+        np.testing.assert_allclose(a.dropna(), b.dropna(), rtol=1e-9, atol=1e-9)
+    twice = collect(indicator_states(to_spark(spark, new), states=states), "Ticker")
+    once = collect(indicator_states(to_spark(spark, pd.concat([pdf, panel_frame({"NEW": walk(30, 7)})]))), "Ticker")
+    for a, b in zip(twice["means"], once["means"]):
+        np.testing.assert_allclose(a, b, rtol=1e-9)
+    assert twice["rows"].tolist() == once["rows"].tolist() and twice["live"].tolist() == once["live"].tolist()
 
 
 def test_true_lag_and_short_windows(spark):
@@ -117,21 +149,22 @@ def test_true_lag_and_short_windows(spark):
         add_indicators(to_spark(spark, pdf), columns=["nothing"])
 
 
-def test_carry_across_batches():
-    """The state pass gives the same result however the summaries are batched."""
-    rows = pd.DataFrame({"_key": ["a", "a", "a", "b"], "_bucket": pd.Timestamp(2020, 1, 1),
-                         "e_p": [0.5, 0.5, 0.5, 0.5], "e_s": [1.0, 2.0, 3.0, 4.0]})
-    whole = pd.concat(_carry(["e"], False)(iter([rows])))
-    split = pd.concat(_carry(["e"], False)(iter([rows[:1], rows[1:2], rows[2:]])))
-    assert whole["e_in"].tolist() == split["e_in"].tolist() == [0.0, 1.0, 2.5, 0.0]
+def test_running_products_equal_a_loop():
+    r = np.random.default_rng(4)
+    a = np.where(r.random(500) < 0.05, r.random(500) * 1e-9, r.random(500))
+    b = r.normal(size=500)
+    want, y = [], 2.5
+    for x, z in zip(a, b):
+        y = x * y + z
+        want.append(y)
+    np.testing.assert_allclose(affine(a, b, 2.5), want, rtol=1e-9, atol=1e-12)
 
 
-def test_plan_has_no_whole_ticker_window_over_rows(spark):
-    """Row-level windows are keyed by a bounded group besides the ticker."""
-    df = add_indicators(to_spark(spark, panel_frame({"A": walk(50)})), columns=["sma", "volatility"])
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    rows = [line for line in plan.splitlines() if "Window [" in line and "Close" in line]
-    assert rows and all("_bucket" in line or "_blk" in line for line in rows)
+def test_plan_moves_the_rows_once(spark):
+    """One scan of the sorted parts, one exchange, no window."""
+    df = add_indicators(to_spark(spark, panel_frame({"A": walk(50)})))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1 and "Window" not in plan
 
 
 def test_hourly_grain(spark):

@@ -1,3 +1,4 @@
+import time
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import chunking, lexicon
 from marketloom.functions.expressions import (
     analysis_text, days_before, fetch_status, nan_to_null, strip, ticker_text)
+from marketloom.functions import html_text
 from marketloom.functions.html_text import html_main_text, main_text
 from marketloom.functions.lexicon import FINANCE_KEYWORDS, LexiconScorer, model_scorer
 from marketloom.operators.sentiment import aggregate_chunk_rows, aggregate_scores, document_sentiment
@@ -152,3 +154,63 @@ def test_arrow_scorer_agrees_with_expression(docs):
     b = document_sentiment(docs, scorer=model_scorer(load), batched=True).orderBy("doc_id").collect()
     assert [(r.doc_id, r.label, round(r.score, 9), r.details) for r in a] == [
         (r.doc_id, r.label, round(r.score, 9), r.details) for r in b]
+
+
+def test_pages_cost_the_same_per_tag():
+    """Unclosed elements don't slow down what follows them."""
+    def took(n, tag):
+        page = "<article>" + f"<{tag}>x" * n + "<p>one</p><p>two</p></b></article>"
+        start = time.perf_counter()
+        text = main_text(page)
+        return time.perf_counter() - start, text
+
+    for tag in ("div", "b", "custom"):
+        took(2_000, tag)
+        small, _ = took(20_000, tag)
+        large, text = took(200_000, tag)
+        assert text == "one\ntwo" and large < 30 * small + 1 and large < 20
+
+
+def test_implied_ends_follow_the_open_elements():
+    """Against a scan over all open elements, on random tags."""
+    import random
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.closed, self.n = [], {}, 0
+
+        def imply(self, tag, barriers):
+            for i, (name, _) in enumerate(reversed(self.open)):
+                if name == tag:
+                    return self.close_to(len(self.open) - 1 - i)
+                if name in barriers:
+                    return None
+
+        def close_to(self, k):
+            for _, e in self.open[k:]:
+                self.closed[e] = self.n
+            del self.open[k:]
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text._ENDS_P:
+                self.imply("p", html_text._SCOPE)
+            if tag in ("li", "td", "th", "tr", "dd", "dt"):
+                self.imply(tag, html_text._SCOPE - {"td", "th"} | {"ul", "ol", "dl"})
+            self.n += 1
+            if tag not in html_text._VOID:
+                self.open.append((tag, self.n))
+
+        def handle_endtag(self, tag):
+            at = [i for i, (name, _) in enumerate(self.open) if name == tag]
+            if at:
+                self.close_to(at[-1])
+
+    tags = ["p", "div", "li", "ul", "td", "tr", "table", "b", "br", "object", "dl", "dd", "th", "article"]
+    for seed in range(200):
+        r = random.Random(seed)
+        page = "".join(f"<{'/' if r.random() < 0.35 else ''}{r.choice(tags)}>" for _ in range(80))
+        plain, ours = Plain(), html_text._Page()
+        plain.feed(page), ours.feed(page)
+        assert [e for _, e in plain.open] == [i + 1 for i in ours._open]
