@@ -56,9 +56,11 @@ def _records(fetched: DataFrame, content: Column) -> DataFrame:
 
 
 def scrape(meta: DataFrame, pages: DataFrame) -> DataFrame:
-    """Metadata -> processed articles. Texts are taken once per page, before they meet the articles."""
+    """Metadata -> processed articles. Texts are taken once per page some article names, before they meet
+    the articles."""
     status = fetch_status(F.col("http_status"), F.col("error_kind"))
-    texts = outcome_columns(pages).withColumn("html", F.when(status == "success", html_main_text(
+    asked = outcome_columns(pages).join(meta.select("url").distinct(), "url", "left_semi")
+    texts = asked.withColumn("html", F.when(status == "success", html_main_text(
         F.when(status == "success", F.col("html")))))
     return _records(fetch_from_table(valid_articles(meta), texts), F.col("html"))
 

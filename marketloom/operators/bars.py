@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,14 +16,47 @@ from marketloom.schemas import FIELDS
 WIDE_TICKERS = 5_000
 
 
+def packed_order(rows: DataFrame, order: Sequence[str]) -> Column | None:
+    """One number that orders as the columns ``order`` do one after the other, nulls first: a long, or a decimal
+    of 38 digits; None for columns that are not whole numbers, dates or times, or whose ranges do not fit.
+
+    The ranges come from one aggregation over these columns alone."""
+    whole = {"tinyint": F.col, "smallint": F.col, "int": F.col, "bigint": F.col, "date": F.unix_date, "timestamp": F.unix_micros}
+    if rows.sparkSession.conf.get("spark.sql.session.timeZone") == "UTC":  # elsewhere clock changes would reorder them
+        whole["timestamp_ntz"] = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    kinds = dict(rows.dtypes)
+    numbers = []
+    for c in order:
+        fixed = re.fullmatch(r"decimal\((\d+),(\d+)\)", kinds[c])
+        if fixed and int(fixed[1]) <= 18:
+            numbers.append((F.col(c) * F.lit(10 ** int(fixed[2]))).cast("bigint"))
+        elif kinds[c] in whole:
+            numbers.append(whole[kinds[c]](c).cast("bigint"))
+        else:
+            return None
+    found = rows.agg(*[f(n).alias(f"{f.__name__}{i}") for i, n in enumerate(numbers) for f in (F.min, F.max)]).first()
+    least = [found[f"min{i}"] or 0 for i in range(len(order))]
+    sizes = [(found[f"max{i}"] or 0) - low + 2 for i, low in enumerate(least)]  # 0 stands for null
+    if math.prod(sizes) >= 10 ** 38:
+        return None
+    kind = "bigint" if math.prod(sizes) < 1 << 62 else "decimal(38,0)"
+    out = F.lit(0).cast(kind)
+    for n, low, size in zip(numbers, least, sizes):
+        place = F.coalesce(n.cast(kind) - F.lit(str(low - 1)).cast(kind), F.lit(0).cast(kind))
+        out = (out * F.lit(str(size)).cast(kind) + place).cast(kind)
+    return out
+
+
 def ohlcv(ticks: DataFrame, key: Column, time: Column, price: Column, order: Sequence[str],
           volume: Column | None = None) -> DataFrame:
     """One bar per (key, time). ``order`` must order the ticks of a bar uniquely.
 
     Every aggregate merges partial results, so ticks of a busy key shrink to one row per bar
-    before the shuffle. ``volume`` defaults to the number of ticks.
+    before the shuffle. Where the order columns fit one number all buffers have a fixed width and
+    Spark aggregates by hash, without sorting ticks; else it sorts. ``volume`` defaults to the number of ticks.
     """
-    at = F.struct(*order)
+    at = packed_order(ticks, order)
+    at = F.struct(*order) if at is None else at
     px = ticks.select(key.alias("Ticker"), time.alias("Date"), price.alias("_px"), at.alias("_at"),
                       (F.lit(1.0) if volume is None else volume.cast("double")).alias("_vol"))
     return (px.where(F.col("Ticker").isNotNull() & F.col("Date").isNotNull())

@@ -19,7 +19,7 @@ from marketloom.functions.expressions import (
     analysis_text, day_string, days_before, strip, ticker_text)
 from marketloom.functions.html_text import html_main_text
 from marketloom.operators import (
-    articles, bars, classifiers, entities, evaluation, linking, samples, sentiment)
+    articles, bars, classifiers, entities, evaluation, linking, samples, sentiment, training)
 from marketloom.operators.indicators import add_indicators, indicator_states
 from marketloom.operators.labels import add_signal_label, class_index, fit_thresholds
 from marketloom.operators.layout import Series
@@ -57,11 +57,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    ticks = join_dimension(table(spark, folder, "lineitem"), part, ["l_partkey"])
+    lines = table(spark, folder, "lineitem").withColumn("l_price", F.col("l_extendedprice").cast("decimal(15,2)"))
+    ticks = join_dimension(lines, part, ["l_partkey"])
     return bars.ohlcv(
         ticks, F.col("p_brand"), F.to_date("l_shipdate"),
         F.col("l_extendedprice") / F.col("l_quantity"),
-        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_price"],
         F.col("l_quantity"))
 
 
@@ -249,11 +250,45 @@ def train_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(again.summary)
 
 
-def train_network(spark: SparkSession, folder: str) -> DataFrame:
-    """Loss per iteration of the perceptron on the training windows."""
+def _train_shards(spark: SparkSession, folder: str) -> DataFrame:
     sides = pipeline.split_windows(features(spark, folder), DAILY, stats_from="train")
-    model = classifiers.fit_window_classifier(materialize(sides.train, "windows"), max_iter=15)
-    return classifiers.training_history(model)
+    return training.pack(materialize(sides.train, "windows"), ["Ticker", "Date"])
+
+
+NETWORK = training.Network((91, 64, 3))
+
+
+def train_network(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss and accuracy of every epoch of the perceptron on the training windows."""
+    done = training.train_network(_train_shards(spark, folder), NETWORK)
+    return rounded(spark.createDataFrame(done.history, "epoch int, loss double, accuracy double"))
+
+
+def train_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """Four epochs at once against two and, from the saved state, two more: epochs, parameters that differ,
+    training rows, and whether the loss fell."""
+    shards = _train_shards(spark, folder)
+    path = scratch_path(spark, "network")
+    once = training.train_network(shards, NETWORK, epochs=4)
+    training.train_network(shards, NETWORK, epochs=2, path=path)
+    again = training.train_network(shards, NETWORK, epochs=4, path=path)
+    differ = int((once.weights != again.weights).sum() + (once.second != again.second).sum())
+    falls = all(a[1] > b[1] for a, b in zip(again.history, again.history[1:]))
+    rows = shards.agg(F.sum(F.length("y") / 8).cast("long").alias("rows"))
+    return rows.select(F.lit(len(again.history)).alias("epochs"), F.lit(differ).alias("differ"), "rows", F.lit(falls).alias("falls"))
+
+
+def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Test rows of each label, and how many a reloaded model predicts otherwise than the fitted one."""
+    done = pipeline.train_and_evaluate(daily_panel(spark, folder), DAILY, stats_from="train", kind="logistic")
+    path = scratch_path(spark, "model")
+    models.save_model(done.model, path)
+    first = materialize(done.predictions, "predictions")
+    again = classifiers.predict_windows(models.load_model(path), first.select("Date", "Ticker", "features", "signal_label"))
+    again = again.select("Date", "Ticker", F.col("prediction").alias("other"), F.col("probability").alias("others"))
+    far = F.exists(F.zip_with("probability", "others", lambda a, b: F.abs(a - b)), lambda d: d > 1e-12)
+    return first.join(again, ["Date", "Ticker"], "left").groupBy("signal_label").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.coalesce((F.col("prediction") != F.col("other")) | far, F.lit(True)), 1)).alias("mismatches"))
 
 
 def train_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -397,7 +432,7 @@ def html_text(spark: SparkSession, folder: str) -> DataFrame:
 def incremental_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Two batches of files through one checkpoint, with a rerun that must add nothing."""
     meta = document_articles(spark, folder).drop("doc_id")
-    pages = fetch_results(spark, folder)
+    pages = stream.extract_pages(fetch_results(spark, folder), scratch_path(spark, "page-texts"))
     src, out, ckpt = (scratch_path(spark, n) for n in ("incoming", "processed", "progress"))
     for _ in range(2):
         news.write_json_lines(meta, src, mode="append")
@@ -410,6 +445,19 @@ def incremental_articles(spark: SparkSession, folder: str) -> DataFrame:
     return done.groupBy("status", "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
+def incremental_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The same articles delivered three times in different files: each comes out once."""
+    meta = document_articles(spark, folder).drop("doc_id")
+    pages = stream.extract_pages(fetch_results(spark, folder), scratch_path(spark, "page-texts"))
+    src, out, ckpt = (scratch_path(spark, n) for n in ("incoming", "processed", "progress"))
+    for _ in range(3):
+        news.write_json_lines(meta, src, mode="append")
+        s = stream.processed_stream(stream.once(stream.article_stream(spark, src)), pages)
+        stream.run_incremental(s, out, ckpt).awaitTermination()
+    done = spark.read.schema("title string, url string, author string, status string, symbol string, scraped_content string").json(out)
+    return done.select("title", "url", "author", "status", "symbol", F.length("scraped_content").alias("size"))
+
+
 # ---------------------------------------------------------------- text
 
 def chunks_fixed(spark: SparkSession, folder: str) -> DataFrame:
@@ -590,6 +638,8 @@ QUERIES: dict[str, Query] = {
     "train_network": train_network,
     "train_forest": train_forest,
     "tune_forest": tune_forest,
+    "train_resumed": train_resumed,
+    "model_roundtrip": model_roundtrip,
     "smote": smote,
     "news_flatten": news_flatten,
     "symbol_news_all": partial(symbol_news, "all"),
@@ -601,6 +651,7 @@ QUERIES: dict[str, Query] = {
     "html_main_text": html_text,
     "news_sentiment": news_sentiment,
     "incremental_articles": incremental_articles,
+    "incremental_state": incremental_state,
     "chunks_fixed": chunks_fixed,
     "chunks_recursive": chunks_recursive,
     "doc_sentiment": doc_sentiment,

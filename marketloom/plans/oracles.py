@@ -301,6 +301,10 @@ SELECT "Date", "Ticker", signal_label FROM labelled WHERE {_ALL}""",
 SELECT "Date", "Ticker", side, signal_label, len(v) AS n_values, round(v[1], 4) AS first_close,
        round(v[79], 4) AS last_close, round(list_sum(v), 4) AS total
 FROM wins WHERE k >= 6 AND k <= cnt - 2""",
+    "train_resumed": f"""WITH {_DAILY}{_FEATURES}{_LABELLED}{_SIDES}{_scaled("train")}{_WINDOWS}
+SELECT 4 AS epochs, 0 AS differ, count(*) AS rows, true AS falls FROM wins WHERE side = 'train' AND k >= 6 AND k <= cnt - 2""",
+    "model_roundtrip": f"""WITH {_DAILY}{_FEATURES}{_LABELLED}{_SIDES}{_scaled("train")}{_WINDOWS}
+SELECT signal_label, count(*) AS n, 0 AS mismatches FROM wins WHERE side = 'test' AND k >= 6 AND k <= cnt - 2 GROUP BY 1""",
     "label_distribution": f"""{_PRED}
 SELECT prediction, count(*) AS n, (SELECT count(*) FROM p) AS total FROM p GROUP BY 1""",
     "confusion_matrix": f"""{_PRED}
@@ -350,6 +354,10 @@ SELECT title, url, author, CASE WHEN status = 'success' THEN {_page_text("html")
   status, CASE WHEN status = 'unexpected_exception' THEN 'error on page ' || page_id ELSE '' END AS error_details,
   symbol FROM fetched""",
     "html_main_text": f"SELECT page_id, {_page_text('html')} AS content FROM pages",
+    "incremental_state": f"""WITH {_FETCHED}
+SELECT DISTINCT title, url, author, status, symbol,
+  length(CASE WHEN status = 'success' THEN {_page_text("html")} ELSE '' END)::INT AS size
+FROM fetched WHERE coalesce(url, '') <> ''""",
     "incremental_articles": f"""WITH {_FETCHED}
 SELECT status, symbol, 2 * count(*) AS n FROM fetched GROUP BY 1, 2
 UNION ALL SELECT 'malformed_line', NULL, 2 * count(*) FROM documents""",

@@ -28,17 +28,40 @@ def article_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
                          F.when(~ok, F.col("value")).alias("_bad"))
 
 
-def processed_stream(meta: DataFrame, pages: DataFrame) -> DataFrame:
-    """Streaming metadata joined to the page table and turned into processed articles.
+def once(meta: DataFrame) -> DataFrame:
+    """Every article and every malformed line of the stream once, however often it is delivered.
 
-    Outcomes are those of ``fetch_from_table``: ``pages`` may hold ``http_status``, ``error_kind`` and
-    ``error_message``. Lines that are no record come out as ``malformed_line`` with the line as
-    details, so nothing that arrived is lost. The main text is taken per page before the join.
-    """
+    What has been seen is kept as a 16-byte digest in the state store of the query's checkpoint, dealt by digest,
+    and outlives restarts."""
+    digest = F.unhex(F.md5(F.to_json(F.struct(*meta.columns))))
+    return meta.withColumn("_seen", digest).dropDuplicates(["_seen"]).drop("_seen")
+
+
+def extract_pages(pages: DataFrame, path: str) -> DataFrame:
+    """(url, _status, error_message, _text) of every page, written to ``path`` once, so that no micro-batch
+    parses pages: it reads the texts it joins. A second call with the same ``path`` reads what is there."""
+    spark = pages.sparkSession
     page = outcome_columns(pages)
     status = fetch_status(F.col("http_status"), F.col("error_kind"))
-    page = page.select("url", status.alias("_status"), "error_message", F.when(
+    made = page.select("url", status.alias("_status"), "error_message", F.when(
         status == "success", html_main_text(F.when(status == "success", F.col("html")))).alias("_text"))
+    made.write.mode("ignore").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def processed_stream(meta: DataFrame, pages: DataFrame) -> DataFrame:
+    """Streaming metadata joined to the page texts of ``extract_pages`` and turned into processed articles.
+
+    Outcomes are those of ``fetch_from_table``. Lines that are no record come out as ``malformed_line``
+    with the line as details, so nothing that arrived is lost. Raw ``pages`` are taken too; then their texts
+    are made in every micro-batch.
+    """
+    page = pages
+    if "_text" not in pages.columns:
+        page = outcome_columns(pages)
+        status = fetch_status(F.col("http_status"), F.col("error_kind"))
+        page = page.select("url", status.alias("_status"), "error_message", F.when(
+            status == "success", html_main_text(F.when(status == "success", F.col("html")))).alias("_text"))
     bad = meta["_bad"] if "_bad" in meta.columns else F.lit(None).cast("string")
     rows = meta.withColumn("_bad", bad)
     keep = F.col("_bad").isNotNull() | (F.coalesce("url", F.lit("")) != "")

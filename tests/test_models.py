@@ -176,3 +176,23 @@ def test_bars_from_ticks(spark):
     got = {r.Date: (r.Open, r.High, r.Low, r.Close, r.Volume)
            for r in bars.ohlcv(ticks, F.col("k"), F.col("d"), F.col("px"), ["n"]).collect()}
     assert got == {1: (7.0, 7.0, 4.0, 4.0, 3.0), 2: (1.0, 1.0, 1.0, 1.0, 1.0)}
+
+
+def test_packed_order_of_ticks(spark):
+    """Ties in the leading columns, nulls and negative numbers order as a struct would; no sort aggregation."""
+    rng = np.random.default_rng(9)
+    rows = [("AB"[i % 2], i % 3, *(None if rng.random() < 0.1 else int(v) for v in (rng.integers(-3, 3), rng.integers(-10 ** 12, 10 ** 12), i)),
+             float(rng.random())) for i in range(600)]
+    ticks = spark.createDataFrame(rows, "k string, d int, a int, b long, c int, px double")
+    ticks = ticks.withColumns({"day": F.date_add(F.lit("2020-01-01").cast("date"), F.col("a")),
+                               "at": F.timestamp_micros("b"), "price": (F.col("b") / 100).cast("decimal(15,2)")})
+    for order in (["a", "b", "c"], ["day", "at", "c"], ["price", "c"], ["c"]):
+        got = bars.ohlcv(ticks, F.col("k"), F.col("d"), F.col("px"), order)
+        assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+        at = F.struct(*order)
+        want = {(r.k, r.d): (r.o, r.c) for r in ticks.groupBy("k", "d").agg(
+            F.min_by("px", at).alias("o"), F.max_by("px", at).alias("c")).collect()}
+        assert {(r.Ticker, r.Date): (r.Open, r.Close) for r in got.collect()} == want
+    assert bars.packed_order(ticks, ["px"]) is None
+    wide = spark.createDataFrame([(-(1 << 63) + 1, (1 << 63) - 1), ((1 << 63) - 1, -5)], "a long, b long")
+    assert bars.packed_order(wide, ["a", "b"]) is None and bars.packed_order(wide, ["a"]) is not None

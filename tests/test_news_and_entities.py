@@ -264,3 +264,19 @@ def test_link_names(spark, limit):
         rows = got.where(F.col("name") == n).orderBy("rank").collect()
         assert [(r.score, r.title) for r in rows] == want
     assert got.where("name = 'inc apple' and rank = 1").first().score == 100
+
+
+def test_stream_takes_every_article_once(spark, tmp_path):
+    pages = spark.createDataFrame([("http://a", "<p>one</p>"), ("http://b", "<p>two</p>")], "url string, html string")
+    texts = stream.extract_pages(pages, str(tmp_path / "texts"))
+    files = [["a", "b", "a"], ["b", "c", "a"], ["d"]]
+    for n, names in enumerate(files):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        lines = [json.dumps({"title": x, "url": f"http://{x}", "author": None, "symbol": "S"}) for x in names] + ["{bad"]
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(lines) + "\n")
+        for _ in range(2):
+            s = stream.processed_stream(stream.once(stream.article_stream(spark, str(tmp_path / "in"))), texts)
+            stream.run_incremental(s, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    got = sorted((r.title or "", r.status, r.scraped_content) for r in spark.read.json(str(tmp_path / "out")).collect())
+    assert got == [("", "malformed_line", ""), ("a", "success", "one"), ("b", "success", "two"), ("c", "network_error", ""), ("d", "network_error", "")]
+    assert stream.extract_pages(pages.limit(0), str(tmp_path / "texts")).count() == 2  # made once
