@@ -320,6 +320,22 @@ def smote(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.when(off, 1)).alias("outside"))
 
 
+def smote_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each class that a cross-validated forest is fitted on in each of three folds, after oversampling,
+    and the rows it is judged on. All rows take part: missing features count as 0."""
+    sides = samples.split_panel(features(spark, folder), 0.8, DAILY)
+    keys = ["Ticker", "Date"]
+    rows = classifiers.align_columns(sides[0], FEATURES, keep=["signal_label", *keys])
+    rows = materialize(classifiers.with_folds(rows, keys), "folds")
+    forest, out = classifiers.SmoteForest(keys, FEATURES), []
+    for fold in range(3):
+        grown = forest.grown(rows.where(F.col("fold") != fold)).groupBy((F.col("label") - 1).cast("int").alias("signal_label")).agg(
+            F.count(F.lit(1)).alias("fitted"))
+        held = rows.where(F.col("fold") == fold).groupBy("signal_label").agg(F.count(F.lit(1)).alias("judged"))
+        out.append(grown.join(held, "signal_label", "left").select(F.lit(fold).alias("fold"), "signal_label", "fitted", "judged"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # ---------------------------------------------------------------- news
 
 def document_articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -641,6 +657,7 @@ QUERIES: dict[str, Query] = {
     "train_resumed": train_resumed,
     "model_roundtrip": model_roundtrip,
     "smote": smote,
+    "smote_folds": smote_folds,
     "news_flatten": news_flatten,
     "symbol_news_all": partial(symbol_news, "all"),
     "symbol_news_last": partial(symbol_news, "last"),

@@ -334,6 +334,12 @@ SELECT CAST(sum(n) AS BIGINT) AS n, round(100.0 * sum(correct) / sum(n), 6) AS a
 c AS (SELECT signal_label, count(*) AS n FROM sides WHERE side = 'train' AND {_ALL} GROUP BY 1)
 SELECT signal_label, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) - n AS made, 0 AS outside FROM c""",
 
+    "smote_folds": f"""WITH {_DAILY}{_FEATURES}{_LABELLED}{_SIDES},
+r AS (SELECT signal_label, ('0x' || substr(md5('42|' || "Ticker" || '|' || CAST("Date" AS VARCHAR)), 1, 7))::INT % 3 AS own
+  FROM sides WHERE side = 'train'),
+c AS (SELECT f AS fold, signal_label, count(*) FILTER (own <> f) AS n, count(*) FILTER (own = f) AS judged
+  FROM r, (SELECT unnest([0, 1, 2]) AS f) GROUP BY 1, 2)
+SELECT fold::INT AS fold, signal_label, max(n) OVER (PARTITION BY fold) AS fitted, judged FROM c""",
     "news_flatten": f"""WITH {_ARTICLES} SELECT title, author, url, 'good' AS kind FROM articles
 UNION ALL SELECT '{{"status":"ok","articles":[{{"title": "' || doc_id, NULL, NULL, 'bad' FROM articles""",
     "symbol_news_all": f"""SELECT unnest({_SPLIT.format("text")}) AS title, lang AS author,

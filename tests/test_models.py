@@ -196,3 +196,17 @@ def test_packed_order_of_ticks(spark):
     assert bars.packed_order(ticks, ["px"]) is None
     wide = spark.createDataFrame([(-(1 << 63) + 1, (1 << 63) - 1), ((1 << 63) - 1, -5)], "a long, b long")
     assert bars.packed_order(wide, ["a", "b"]) is None and bars.packed_order(wide, ["a"]) is not None
+
+
+def test_oversampling_stays_inside_the_training_folds(rows):
+    df = rows.where("signal_label <> -1 or id % 3 = 0")
+    folded = classifiers.with_folds(df, ["id"])
+    assert {r.fold for r in folded.select("fold").distinct().collect()} == {0, 1, 2}
+    assert folded.exceptAll(classifiers.with_folds(df.repartition(5), ["id"])).count() == 0
+    forest = classifiers.SmoteForest(["id"], ["x", "z"])
+    grown = {r.label: r["count"] for r in forest.grown(folded.where("fold <> 0")).groupBy("label").count().collect()}
+    assert len(grown) == 3 and len(set(grown.values())) == 1
+    cv = classifiers.tune_balanced_forest(df, ["id"], ["x", "z"], trees=[5], depths=[2, 4], leaves=[1])
+    assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.6
+    out = cv.bestModel.transform(df.where("id < 50"))
+    assert out.count() == df.where("id < 50").count()  # nothing is resampled in prediction
