@@ -10,12 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: the finance keyword set
-FINANCE_KEYWORDS = """
-profit loss revenue earnings dividend merger acquisition default bankruptcy downgrade upgrade
-regulation compliance fine lawsuit fraud volatility inflation interest credit loan debt equity bond
-stock shareholder investment portfolio risk return yield growth decline forecast outlook capital
-market economy trade shares assets liabilities valuation fund index
-""".split()
+FINANCE_KEYWORDS = [
+    "profit", "loss", "revenue", "earnings", "dividend", "merger", "acquisition", "default", "bankruptcy", "downgrade",
+    "upgrade", "regulation", "compliance", "fine", "lawsuit", "fraud", "volatility", "inflation", "interest", "credit",
+    "loan", "debt", "equity", "bond", "stock", "shareholder", "investment", "portfolio", "risk", "return", "yield",
+    "growth", "decline", "forecast", "outlook", "capital", "market", "economy", "trade", "shares", "assets",
+    "liabilities", "valuation", "fund", "index"]
 
 # A scorer maps a text column to struct<label string, score double>.
 Scorer = Callable[[Column], Column]

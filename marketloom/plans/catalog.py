@@ -234,9 +234,16 @@ def eval_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- classifiers
 
-def _train_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    sides = samples.split_panel(features(spark, folder), 0.8, DAILY)
-    return materialize(samples.complete_rows(sides[0]), "train"), samples.complete_rows(sides[1])
+FOREST_INPUTS = [*FEATURES, "High", "Low"]
+
+
+def _train_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """All rows of both sides with the forest's inputs (missing values 0, tickers as 0/1 columns), and their names."""
+    keep = ["signal_label", "Ticker", "Date"]
+    train, test = [classifiers.one_hot(classifiers.align_columns(x, FOREST_INPUTS, keep=keep).withColumn("_t", F.col("Ticker")), "_t")
+                   for x in samples.split_panel(features(spark, folder), 0.8, DAILY)]
+    train = materialize(train, "train")
+    return train, test, [c for c in train.columns if c not in keep]
 
 
 def train_classifier(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,23 +300,36 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def train_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Balanced forest on single rows; report on the test rows."""
-    train, test = _train_rows(spark, folder)
-    model = classifiers.fit_forest(train, FEATURES, trees=20, depth=8)
-    preds = classifiers.predict_rows(model, test, FEATURES, keep=["signal_label"])
+    train, test, inputs = _train_rows(spark, folder)
+    model = classifiers.fit_forest(train, inputs, trees=20, depth=8)
+    preds = classifiers.predict_rows(model, test, inputs, keep=["signal_label"])
     return rounded(evaluation.class_report(preds.withColumnRenamed("signal_label", "label")))
 
 
+def forest_support(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows predicted for each true label of the test side, and the columns the forest was given; a model that is
+    saved and loaded, and new rows without some of the columns, go through the same path."""
+    train, test, inputs = _train_rows(spark, folder)
+    path = scratch_path(spark, "forest")
+    models.save_model(classifiers.fit_forest(train, inputs, trees=10, depth=5), path)
+    model = models.load_model(path)
+    preds = classifiers.predict_rows(model, test.drop("High", inputs[-1]), inputs, keep=["signal_label"])
+    ok = F.col("prediction").isin(-1, 0, 1) & (F.abs(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9)
+    return preds.groupBy("signal_label").agg(F.count(F.lit(1)).alias("support"), F.count(F.when(ok, 1)).alias("valid")).withColumn(
+        "inputs", F.lit(len(inputs)))
+
+
 def tune_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-validated accuracy of each grid point (a small grid)."""
-    train, _ = _train_rows(spark, folder)
-    cv = classifiers.tune_forest(train, FEATURES, trees=[10], depths=[3, 5], leaves=[1, 3])
+    train, _, inputs = _train_rows(spark, folder)
+    cv = classifiers.tune_forest(train, inputs, trees=[10], depths=[3, 5], leaves=[1, 3])
     rows = [(i, float(x)) for i, x in enumerate(cv.avgMetrics)]
     return rounded(spark.createDataFrame(rows, "grid_point int, accuracy double"))
 
 
 def smote(spark: SparkSession, folder: str) -> DataFrame:
     """Class sizes after oversampling, and how many new rows lie off the segment of a row and its neighbour."""
-    train, _ = _train_rows(spark, folder)
+    train, _, _ = _train_rows(spark, folder)
     grown = classifiers.smote(train, ["Ticker", "Date"], FEATURES, trace=True)
     a, b, v = F.col("ends")[0], F.col("ends")[1], F.array(*FEATURES)
     # a point of the segment has equal shares of every coordinate's difference
@@ -653,6 +673,7 @@ QUERIES: dict[str, Query] = {
     "train_classifier": train_classifier,
     "train_network": train_network,
     "train_forest": train_forest,
+    "forest_support": forest_support,
     "tune_forest": tune_forest,
     "train_resumed": train_resumed,
     "model_roundtrip": model_roundtrip,

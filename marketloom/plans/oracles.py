@@ -331,9 +331,13 @@ SELECT batch_id, n, correct, round(accuracy, 6) AS accuracy, round(loss, 6) AS l
     "eval_metrics": f"""{_PRED}{_BATCHES}
 SELECT CAST(sum(n) AS BIGINT) AS n, round(100.0 * sum(correct) / sum(n), 6) AS accuracy, round(avg(loss), 6) AS loss FROM batches""",
     "smote": f"""WITH {_DAILY}{_FEATURES}{_LABELLED}{_SIDES},
-c AS (SELECT signal_label, count(*) AS n FROM sides WHERE side = 'train' AND {_ALL} GROUP BY 1)
+c AS (SELECT signal_label, count(*) AS n FROM sides WHERE side = 'train' GROUP BY 1)
 SELECT signal_label, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) - n AS made, 0 AS outside FROM c""",
 
+    "forest_support": f"""WITH {_DAILY}{_FEATURES}{_LABELLED}{_SIDES}
+SELECT signal_label, count(*) AS support, count(*) AS valid,
+  (SELECT count(DISTINCT "Ticker") FROM sides WHERE side = 'train')::INT + {len(FEATURES) + 2} AS inputs
+FROM sides WHERE side = 'test' GROUP BY 1""",
     "smote_folds": f"""WITH {_DAILY}{_FEATURES}{_LABELLED}{_SIDES},
 r AS (SELECT signal_label, ('0x' || substr(md5('42|' || "Ticker" || '|' || CAST("Date" AS VARCHAR)), 1, 7))::INT % 3 AS own
   FROM sides WHERE side = 'train'),
