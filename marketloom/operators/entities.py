@@ -161,10 +161,12 @@ def embed_text(rows: DataFrame, text: str = "text", dim: int = 256, out: str = "
 
 
 def word_vectors(docs: DataFrame, text: str = "text", dim: int = 64, least: int = 5, seed: int = 42, rounds: int = 1):
-    """A trained embedder: word vectors learned from ``docs``, mean-pooled and of unit length. It takes the
-    place of ``embed_text``; texts without a known word give zeros."""
+    """A trained embedder: vectors of the words that ``docs`` hold ``least`` times, learned in as many partitions
+    as the session shuffles, mean-pooled and of unit length. It takes the place of ``embed_text``; texts without a known
+    word give zeros."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
-    model = Word2Vec(vectorSize=dim, minCount=least, seed=seed, maxIter=rounds, numPartitions=1,
+    model = Word2Vec(vectorSize=dim, minCount=least, seed=seed, maxIter=rounds, numPartitions=partitions,
                      inputCol="_w", outputCol="_v").fit(own)
 
     def embed(rows: DataFrame, text: str = "text", dim: int = dim, out: str = "embedding") -> DataFrame:

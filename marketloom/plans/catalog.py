@@ -508,6 +508,20 @@ def chunks_recursive(spark: SparkSession, folder: str) -> DataFrame:
                        .alias("pos", "chunk"))
 
 
+def chunk_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What recursive chunks must obey, by document: none too long, all pieces of the text in order, and the text's
+    beginning and end among them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", chunking.recursive_chunks()(F.col("text")).alias("c"))
+    own = strip(F.col("text"))
+    places = F.transform("c", lambda x: F.call_function("instr", F.col("text"), x))
+    return docs.select(
+        "doc_id", F.size(F.filter("c", lambda x: F.length(x) > chunking.CHUNK_SIZE)).alias("too_long"),
+        F.size(F.filter(places, lambda p: p == 0)).alias("foreign"),
+        (F.size("c") == 0).alias("none"),
+        F.coalesce(own.startswith(F.get("c", F.lit(0))), F.lit(True)).alias("starts"),
+        F.coalesce(own.endswith(F.get("c", F.size("c") - 1)), F.lit(True)).alias("ends"))
+
+
 def doc_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     scored = sentiment.document_sentiment(table(spark, folder, "documents"), scorer=TONE,
                                           splitter=chunking.fixed_chunks)
@@ -599,6 +613,15 @@ def doc_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(made.select("doc_id", F.posexplode("embedding").alias("pos", "value"))).where("value <> 0")
 
 
+def learned_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each language, and those with a vector of unit length, by word vectors learned from all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    made = entities.word_vectors(docs, dim=32)(docs)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return made.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.abs(norm - 1) < 1e-6, 1)).alias("unit"),
+                                    F.count(F.when(norm == 0, 1)).alias("zero"), F.max(F.size("embedding")).alias("dim"))
+
+
 def entity_tickers(spark: SparkSession, folder: str) -> DataFrame:
     """Organisations linked to the nearest ticker of a ticker CSV, made of the parts."""
     path = scratch_path(spark, "tickers")
@@ -692,6 +715,7 @@ QUERIES: dict[str, Query] = {
     "incremental_state": incremental_state,
     "chunks_fixed": chunks_fixed,
     "chunks_recursive": chunks_recursive,
+    "chunk_checks": chunk_checks,
     "doc_sentiment": doc_sentiment,
     "doc_sentiment_recursive": doc_sentiment_recursive,
     "chunk_rows_sentiment": chunk_rows_sentiment,
@@ -704,6 +728,7 @@ QUERIES: dict[str, Query] = {
     "nearest_ticker": nearest_ticker,
     "fuzzy_names": fuzzy_names,
     "doc_embedding": doc_embedding,
+    "learned_vectors": learned_vectors,
     "entity_tickers": entity_tickers,
     "ticker_rows": ticker_rows,
     "ticker_texts": ticker_texts,

@@ -373,6 +373,8 @@ SELECT status, symbol, 2 * count(*) AS n FROM fetched GROUP BY 1, 2
 UNION ALL SELECT 'malformed_line', NULL, 2 * count(*) FROM documents""",
     "chunks_fixed": f"""WITH {_CHUNKS}
 SELECT doc_id, length(text) > 1792 AS is_long, pos, chunk FROM chunks""",
+    "chunk_checks": f"""SELECT doc_id, 0 AS too_long, 0 AS "foreign", {_STRIP.format("text")} = '' AS "none", true AS starts, true AS ends
+FROM documents WHERE text IS NOT NULL""",
     "doc_sentiment": f"""WITH {_CHUNKS},
 long_chunks AS (SELECT * FROM {_scored("(SELECT * FROM chunks WHERE length(text) > 1792 AND regexp_matches(chunk, '[^[:space:]]'))", "chunk")}),
 whole AS (SELECT * FROM {_scored("(SELECT * FROM documents WHERE length(text) <= 1792)", "text")})
@@ -410,6 +412,11 @@ SELECT name, title, score, rank FROM r WHERE rank <= 5""",
 SELECT doc_id, bucket::INT AS pos, round(sum(v) / any_value(n), 6) AS value
 FROM v JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) USING (doc_id)
 GROUP BY doc_id, bucket HAVING round(sum(v) / any_value(n), 6) <> 0""",
+    "learned_vectors": f"""WITH w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS w FROM documents),
+known AS (SELECT w FROM w GROUP BY 1 HAVING count(*) >= 5),
+has AS (SELECT DISTINCT doc_id FROM w JOIN known USING (w))
+SELECT lang, count(*) AS n, count(h.doc_id) AS unit, count(*) - count(h.doc_id) AS zero, 32 AS dim
+FROM documents d LEFT JOIN has h ON d.doc_id = h.doc_id GROUP BY 1""",
     "entity_tickers": f"""WITH {_MENTIONS},
 orgs AS (SELECT DISTINCT entity FROM kept WHERE label = 'ORG'),
 tick AS (SELECT 'P' || p_partkey AS symbol, 'P' || p_partkey || p_type || p_name AS text FROM part),{_hashed(
