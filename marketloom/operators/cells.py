@@ -160,16 +160,17 @@ def best_matches(queries: DataFrame, corpus: DataFrame, metric: Metric, k: int =
 
     if sum(size for _, size in counted.values()) <= max_broadcast_bytes:
         table = corpus.toPandas().sort_values("c_id", ignore_index=True)
-        shared = queries.sparkSession.sparkContext.broadcast(table)
+        whole, of = side(table, "c"), table["part"].to_numpy()
+        few = np.sort(np.random.default_rng(1).permutation(len(of))[:SAMPLE])
+        sample = {p: whole.features[few[of[few] == p]] if (of[few] == p).any() else whole.features[of == p][:1] for p in rows}
+        parts, centres = _fit(sample, rows, cell_rows)
+        cell = _assign(whole.features, of, parts, centres)
+        shared = queries.sparkSession.sparkContext.broadcast((
+            whole, _statistics(metric, whole.features, cell, parts, centres),
+            [np.flatnonzero(cell == i) for i in range(len(centres))]))
 
         def in_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c, of = side(shared.value, "c"), shared.value["part"].to_numpy()
-            few = np.sort(np.random.default_rng(1).permutation(len(of))[:SAMPLE])
-            sample = {p: c.features[few[of[few] == p]] if (of[few] == p).any() else c.features[of == p][:1] for p in rows}
-            parts, centres = _fit(sample, rows, cell_rows)
-            cell = _assign(c.features, of, parts, centres)
-            cells = _statistics(metric, c.features, cell, parts, centres)
-            members = [np.flatnonzero(cell == i) for i in range(len(centres))]
+            c, cells, members = shared.value
             sides = [c.take(m) for m in members]
             for batch in batches:
                 for lo in range(0, len(batch), 1024):
