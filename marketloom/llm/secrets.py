@@ -200,7 +200,8 @@ def fit(found: DataFrame, trees: int = 30, depth: int = 8, seed: int = 1,
         vocabulary: str = VOCABULARY) -> RandomForestClassificationModel | None:
     """A forest on labelled findings (text, path, start, label); a finding that is no candidate is
     left out. None without both labels: then every candidate counts as a secret."""
-    rows = found.withColumn("doc_id", F.xxhash64("text", "path", "start"))
+    # written first, so that no task runs the workers of two steps
+    rows = materialize(found.withColumn("doc_id", F.xxhash64("text", "path", "start")), "planted")
     seen = candidates(rows, "path", vocabulary)
     made = materialize(
         rows.select("doc_id", "start", F.col("label").cast("double")).distinct()
