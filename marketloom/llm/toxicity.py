@@ -16,9 +16,11 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -29,7 +31,9 @@ from marketloom.llm.common import labelled_sample, own
 from marketloom.session import materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"\d*[^\W\d_]+(?:[\d@$!|*+_.'’-]{1,2}[^\W\d_]+)+|\d+[^\W\d_]+|[^\W\d_]+[\d@$!|]{1,2}(?![^\W_])")
+#: Words with digits or signs inside, before or behind them; nothing is tried twice, however long a run is.
+MIXED = re.compile(r"(?<![^\W_])(?:\d*+[^\W\d_]++(?:[\d@$!|*+_.'’-]{1,2}[^\W\d_]++)++|\d++[^\W\d_]++"
+                   r"|[^\W\d_]++[\d@$!|]{1,2}(?![^\W_]))")
 QUOTES = frozenset("\"'“”„«»‘’`>")
 REPORT = frozenset("""said says wrote called quoted quote word words term reported alleged claims slur
 insult insults dit disait mot mots selon sagte schrieb wort laut dijo dice palabra según""".split())
@@ -48,6 +52,88 @@ def allowed(term: str) -> int:
     return 1 if len(term) < 9 else 2
 
 
+def left_out(word: str) -> Iterator[str]:
+    """The word without one of its letters."""
+    for i in range(len(word)):
+        yield word[:i] + word[i + 1:]
+
+
+_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+class Deletions:
+    """Strings that terms and stems become when letters are left out, to dismiss words in bulk.
+
+    Two words k edits (or swaps) apart become one string when at most k letters of each are left out. The
+    strings of many words with one letter left out are compared as running polynomial hashes, all at once; what
+    passes by chance is settled by the automaton."""
+
+    def __init__(self, terms: list[str], stems: list[str]) -> None:
+        far = [t for t in terms if allowed(t) > 1]
+        self.one = self._hashes({x for t in terms for x in (t, *left_out(t))})
+        self.stems = self._hashes({x for s in stems for x in (s, *left_out(s))})
+        self.sizes = sorted({len(s) for s in stems})
+        self.two = self._hashes({y for t in far for x in (t, *left_out(t)) for y in (x, *left_out(x))})
+        self.letters = np.unique([sum({1 << ord(c) % 64 for c in t}) for t in far]).astype(np.uint64)
+        self.reach = (min(map(len, far), default=0) - 2, max(map(len, far), default=-3) + 2)
+
+    @staticmethod
+    def _hashes(words) -> np.ndarray:
+        return np.unique(np.array([sum(ord(c) * pow(_BASE, i, 1 << 64) for i, c in enumerate(w)) % (1 << 64) for w in words], np.uint64))
+
+    @staticmethod
+    def _known(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(x), bool)
+        return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+    def may(self, words: list[str]) -> np.ndarray:
+        """Whether each word (none empty) may have so few edits that a term or stem allows them."""
+        size = np.array([len(w) for w in words])
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(flat)
+        up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
+        down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n + 1, _BACK, np.uint64)])
+        total = np.r_[np.uint64(0), np.cumsum(flat * up[:n])]
+        end = np.cumsum(size)
+        start = end - size
+        word = np.repeat(np.arange(len(words)), size)
+        at, begin = np.arange(n), start[word]
+        out = self._known((total[end] - total[start]) * down[start], self.one)
+
+        def without(stop: np.ndarray, known: np.ndarray, rows: np.ndarray) -> None:
+            """Words that, cut at ``stop`` and without the letter at ``rows``, are known."""
+            w, i, s = word[rows], at[rows], begin[rows]
+            h = (total[i] - total[s]) * down[s] + (total[stop[w]] - total[i + 1]) * down[s + 1]
+            out[w[self._known(h, known)]] = True
+
+        without(end, self.one, at)
+        for k in self.sizes:
+            for head in (k, k - 1):
+                stop = np.minimum(end, start + head)
+                out |= self._known((total[stop] - total[start]) * down[start], self.stems)
+            for head in (k, k + 1):
+                stop = np.minimum(end, start + head)
+                without(stop, self.stems, np.flatnonzero(at - begin < head))
+        if len(self.letters):
+            masks = np.bitwise_or.reduceat(np.uint64(1) << flat % np.uint64(64), start)
+            long = np.flatnonzero(~out & (size >= self.reach[0]) & (size <= self.reach[1]))
+            near = np.zeros(len(long), bool)
+            for m in self.letters:
+                near |= np.bitwise_count(m & ~masks[long]) <= 2
+            long = long[near]
+            out[long] = self._known((total[end[long]] - total[start[long]]) * down[start[long]], self.two)
+            without(end, self.two, np.flatnonzero(np.isin(word, long)))
+            for n in np.unique(size[long]).tolist():
+                w = long[size[long] == n]
+                i, j = np.triu_indices(n, 1)
+                s = start[w][:, None]
+                h = ((total[s + i] - total[s]) * down[s] + (total[s + j] - total[s + i + 1]) * down[s + 1]
+                     + (total[s + n] - total[s + j + 1]) * down[s + 2])
+                out[w] |= self._known(h.ravel(), self.two).reshape(h.shape).any(axis=1)
+        return out
+
+
 class Automaton:
     """Words within the edit distance of a trie's terms; a stem also accepts any continuation.
 
@@ -64,6 +150,7 @@ class Automaton:
             self.term[self._add(word)] = word
         for word in stems:
             self.stem[self._add(word)] = word
+        self.near = Deletions(terms, stems)
         self.most = max(map(allowed, terms), default=1 if stems else 0)
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
@@ -131,6 +218,14 @@ class Automaton:
                     put(self.next[child][c], letter, e + 1)  # two letters swapped
         return self._state(self._close(least))
 
+    def find_all(self, words: Iterable[str], known: dict[str, tuple[str, str] | None]) -> None:
+        """Put ``match`` of the words into ``known``; those with more edits than any term or stem allows are
+        dismissed in bulk, without a walk."""
+        fresh = [w for w in words if w not in known]
+        if fresh:
+            for w, may in zip(fresh, self.near.may(fresh).tolist()):
+                known[w] = self.match(w) if may else None
+
     def match(self, word: str) -> tuple[str, str] | None:
         """(kind, term), the kind first in KINDS, or None."""
         if len(self.states) > 100_000:  # bounded memory: begin again
@@ -177,24 +272,26 @@ def learn_lexicon(sample: DataFrame, least: int = 5, share: float = 0.85,
     return sorted(words_), stems
 
 
-def counts(text: str, seen: dict, automaton: Automaton) -> list[float]:
-    """The FEATURES of a text."""
+def tokens(text: str) -> tuple[str, list[str], list[str]]:
+    """The text in lower case, its letter runs, and its words with digits or signs."""
     low = text.lower()
-    words, mixed = TOKEN.findall(low), MIXED.findall(low)
-    hits = 0
-    for w in {*words, *mixed}:
-        if w not in seen:
-            if len(seen) > 300_000:
-                seen.clear()
-            seen[w] = automaton.match(w)
-        hits += seen[w] is not None
+    return low, TOKEN.findall(low), MIXED.findall(low)
+
+
+def counts(text: str, seen: dict, automaton: Automaton) -> list[float]:
+    """The FEATURES of a text; ``seen`` keeps the matches of words."""
+    low, words, mixed = tokens(text)
+    automaton.find_all({*words, *mixed}, seen)
+    return counted(low, words, mixed, seen)
+
+
+def counted(low: str, words: list[str], mixed: list[str], seen: dict) -> list[float]:
+    """The same from the tokens, whose matches are known."""
     out = dict.fromkeys(FEATURES, 0.0)
-    if not hits:
+    if not any(map(seen.__getitem__, {*words, *mixed})):
         return list(out.values())
 
     def matched(m: re.Match) -> tuple[str, str] | None:
-        if m[0] not in seen:
-            seen[m[0]] = automaton.match(m[0])
         return seen[m[0]]
 
     places = list(TOKEN.finditer(low))
@@ -221,11 +318,24 @@ def counts(text: str, seen: dict, automaton: Automaton) -> list[float]:
     return list(out.values())
 
 
+@lru_cache(maxsize=1)
+def machine(terms: tuple[str, ...], stems: tuple[str, ...]) -> tuple[Automaton, dict]:
+    """The automaton and the matches known so far, kept from task to task of a worker."""
+    return Automaton(list(terms), list(stems)), {}
+
+
 def add_counts(docs: DataFrame, terms: list[str], stems: list[str], into: str) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton, seen = Automaton(terms, stems), {}
+        automaton, seen = machine(tuple(terms), tuple(stems))
         for series in batches:
-            yield pd.Series([counts(t or "", seen, automaton) for t in series])
+            out = []
+            for at in range(0, len(series), 256):
+                texts = [tokens(t or "") for t in series.iloc[at:at + 256]]
+                if len(seen) > 500_000:
+                    seen.clear()
+                automaton.find_all(set().union(*(x for _, *both in texts for x in both)), seen)
+                out += [counted(*t, seen) for t in texts]
+            yield pd.Series(out)
 
     call = F.pandas_udf(run, "array<double>")
     return docs.withColumn(into, call(F.col("text")))

@@ -36,7 +36,7 @@ def plain(word, terms, stems):
 
 def test_automaton_equals_edit_distance():
     r = random.Random(1)
-    terms, stems = ["abcde", "abcdeabcd", "bad", "cabab", "dadax"], ["dada", "eca"]
+    terms, stems = ["abcde", "abcdeabcd", "bad", "cabab", "dadax", "eeabbaceda"], ["dada", "eca", "bbcad"]
     machine = toxicity.Automaton(terms, stems)
     kinds = set()
     for _ in range(6_000):
@@ -50,6 +50,9 @@ def test_automaton_equals_edit_distance():
             base = base or ["a"]
         word = "".join(base)
         got, want = machine.match(word), plain(word, terms, stems)
+        known = {}
+        machine.find_all([word, "zzz" + word, "q"], known)
+        assert known[word] == got, word
         assert got == (want and (toxicity.KINDS[want[0]], want[1])), word
         kinds.add(got and got[0])
     assert kinds == {*toxicity.KINDS, None}
@@ -63,6 +66,7 @@ def test_misspellings_that_were_cut_away():
     for text in ("what an id1ot he is", "m0ron!", "you m*ron", "the idi0t.", "1diot"):
         assert toxicity.counts(text, {}, machine)[toxicity.FEATURES.index("near")] > 0, text
     assert not any(toxicity.counts("a1b2 c-d e.f 10x", {}, machine))
+    assert not any(toxicity.counts("x" * 200_000 + " " + "x1" * 100_000 + "7" * 100_000, {}, machine))
 
 
 def corpus(r, n=500):
