@@ -57,16 +57,24 @@ def join_narrow(docs: DataFrame, narrow: DataFrame, on: list[str], how: str) ->
     return docs.join(F.broadcast(narrow) if fits_broadcast(narrow) else narrow, on, how)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, text, label double) of at most ``bound`` labelled documents outside fold 0 of 5.
-
-    The ``bound`` smallest hashes of doc_id are taken, so a re-run takes the same rows. Null ids or
-    labels are left out; several labels of one id count as the largest.
-    """
-    rows = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()
+def fold_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label double) outside fold 0 of 5. Null ids or labels are left out; several labels of
+    one id count as the largest."""
+    return (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()
                          & (fold(F.col("doc_id"), 5) != 0))
-            .groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
-            .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(bound))
+            .groupBy("doc_id").agg(F.max(label).cast("double").alias("label")))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, label double) of all labelled documents outside fold 0 of 5."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return join_narrow(texts, fold_labels(labels, label), ["doc_id"], "inner")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """At most ``bound`` of the ``labelled_rows``: those with the smallest hashes of doc_id, so a re-run
+    takes the same rows."""
+    rows = fold_labels(labels, label).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(bound)
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(rows), "doc_id"))
 

@@ -1,27 +1,30 @@
 """Quality classifier: a sparse rule ensemble compiled to column expressions.
 
-Statistics of a text are built-in expressions. A random forest fitted on a bounded labelled sample
-gives tree paths; every prefix of a path is a conjunctive rule over statistics. A logistic
-regression with an L1 penalty weighs the rules, and the rules left with a weight become one
-Spark expression, so scoring is a map over the table without Python.
+Statistics of a text are built-in expressions. A random forest fitted on all labelled rows gives
+tree paths; every prefix of a path is a conjunctive rule over statistics. A logistic regression
+with an L1 penalty weighs the rules, and the rules left with a weight become one Spark expression
+over a constant table of rules, so scoring is a map over the table without Python and its code does
+not grow with the rules.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import WORD, labelled_sample, own
+from marketloom.llm.common import WORD, labelled_rows, let, own
 from marketloom.session import materialize
 
 THRESHOLD = 0.3
+PART_ROWS = 20_000  # labelled rows a task of the fit reads
 Rule = tuple[tuple[str, str, float], ...]  # (statistic, "<=" or ">", value) in conjunction
 
 STATISTICS = ["chars", "words", "lines", "word_length", "line_words", "letters", "capitals",
@@ -80,10 +83,21 @@ def tree_rules(debug: str) -> set[Rule]:
     return rules
 
 
-def holds(rule: Rule, struct: str) -> Column:
-    return reduce(Column.__and__, [
-        F.col(f"{struct}.{name}") <= v if sign == "<=" else F.col(f"{struct}.{name}") > v
-        for name, sign, v in rule])
+def rule_table(rules: Iterable[tuple[Rule, float]]) -> Column:
+    """Rules and weights as one constant column."""
+    rows = [{"tests": [{"at": STATISTICS.index(name) + 1, "upto": sign == "<=", "value": v} for name, sign, v in rule],
+             "weight": w} for rule, w in rules]
+    return F.from_json(F.lit(json.dumps(rows)),
+                       "array<struct<tests array<struct<at int, upto boolean, value double>>, weight double>>")
+
+
+def statistic_list(struct: str) -> Column:
+    return F.array(*[F.col(f"{struct}.{k}") for k in STATISTICS])
+
+
+def holds(rule: Column, statistics: Column) -> Column:
+    """Whether a row of ``rule_table`` holds."""
+    return F.forall(rule["tests"], lambda t: (F.element_at(statistics, t["at"]) <= t["value"]) == t["upto"])
 
 
 @dataclass
@@ -92,35 +106,34 @@ class QualityModel:
     weights: dict[Rule, float]
 
     def score(self, struct: str) -> Column:
-        parts = [F.when(holds(r, struct), v).otherwise(0.0) for r, v in self.weights.items()]
-        z = reduce(Column.__add__, parts, F.lit(self.intercept))
+        rules = rule_table(self.weights.items())
+        z = let(statistic_list(struct), lambda x: F.aggregate(
+            rules, F.lit(self.intercept), lambda z, r: z + F.when(holds(r, x), r["weight"]).otherwise(0.0)))
         return 1.0 / (1.0 + F.exp(-z))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, trees: int = 20, depth: int = 3,
-        penalty: float = 0.002, label: str = "quality") -> QualityModel:
-    """Fit on at most ``bound`` labelled rows outside fold 0. Without labels the score is 0.5,
-    with one class only it is that class's smoothed share."""
+def fit(docs: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 3, penalty: float = 0.002,
+        label: str = "quality") -> QualityModel:
+    """Fit on all labelled rows outside fold 0. Without labels the score is 0.5, with one class
+    only it is that class's smoothed share."""
     s, v = own("s"), own("v")
-    rows = materialize(add_statistics(labelled_sample(docs, labels, label, bound), "text", s)
+    rows = materialize(add_statistics(labelled_rows(docs, labels, label), "text", s)
                        .select("label", F.col(s)), "training")
     n, good = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     share = (good + 1) / (n + 2)
     prior = math.log(share / (1 - share))
     if good in (0, n):
         return QualityModel(prior, {})
-    vectors = rows.select("label", s, array_to_vector(F.array(
-        *[F.col(f"{s}.{k}") for k in STATISTICS])).alias(v)).coalesce(4).cache()
+    vectors = rows.select("label", s, array_to_vector(statistic_list(s)).alias(v)).coalesce(4 + n // PART_ROWS)
     forest = RandomForestClassifier(featuresCol=v, labelCol="label", numTrees=trees, maxDepth=depth,
                                     seed=5, subsamplingRate=0.7).fit(vectors)
     rules = sorted(tree_rules(forest.toDebugString))
     if not rules:
         return QualityModel(prior, {})
-    marks = vectors.select("label", array_to_vector(F.array(
-        *[holds(r, s).cast("double") for r in rules])).alias(v)).cache()
+    marks = vectors.select("label", array_to_vector(let(statistic_list(s), lambda x: F.transform(
+        rule_table((r, 0.0) for r in rules), lambda r: holds(r, x).cast("double")))).alias(v))
     fitted = LogisticRegression(featuresCol=v, labelCol="label", elasticNetParam=1.0,
                                 regParam=penalty, standardization=False, maxIter=100).fit(marks)
-    marks.unpersist(), vectors.unpersist()
     return QualityModel(float(fitted.intercept), {
         r: float(w) for r, w in zip(rules, fitted.coefficients.toArray()) if abs(w) > 1e-9})
 

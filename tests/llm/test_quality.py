@@ -1,5 +1,8 @@
+import math
 import random
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from data import awkward, frame, prose
@@ -49,3 +52,19 @@ def test_awkward_rows_and_missing_labels(spark):
     one = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, quality int"))
     assert not one.weights
     assert quality.score(frame(spark, rows[:0]), one).collect() == []
+
+
+def test_every_labelled_row_is_learned_and_rules_are_one_constant(spark):
+    rows = [(i, "a few plain words.") for i in range(26_000)]
+    model = quality.fit(frame(spark, rows), spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, quality int"))
+    n = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _ in rows)
+    assert n > 20_000 and model.intercept == pytest.approx(math.log((n + 1) / 1))
+    rules = {((quality.STATISTICS[k % 14], "<=" if k % 2 else ">", k / 50),): (-1) ** k / 7 for k in range(150)}
+    wide = quality.QualityModel(0.25, rules)
+    docs = frame(spark, [(1, "One two. THREE 4 5!"), (2, None)])
+    for x in quality.score(quality.add_statistics(docs, "text", "s"), wide).collect():
+        z = 0.25
+        for ((name, sign, v),), w in rules.items():
+            z += w if (x.s[name] <= v) == (sign == "<=") else 0.0
+        assert x.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-12)
+    assert quality.score(docs, wide)._jdf.queryExecution().analyzed().toString().count("CASE WHEN") < 5
