@@ -2,10 +2,10 @@
 
 1. Every whole document is encoded once as ids of benchmark words (0: any other word), stored as
    two or four bytes a word. Document frequencies are counted over all of it.
-2. The latent space is the right singular space of TF-IDF passages: all benchmark items and a
-   documented, bounded sample of corpus passages. It is found by randomised power iteration: the
-   products with the passages are made and summed on the executors, by blocks of words, and the driver
-   gets one (vocabulary x rank) matrix a round.
+2. The latent space is the right singular space of TF-IDF passages: all benchmark items and all
+   passages of all documents, cut every 32 words. One pass over them sums the products of the words that
+   meet in a passage; randomised power iteration then reads these sums, in blocks of words, and the
+   driver gets one (vocabulary x rank) matrix a round.
 3. Every window of 32 words, one every 16, is a passage. An item of n words whose order share asks for m
    of them in order can only stand around a window that has, of any n - m + j of its words, at
    least j. So postings of the rarest n - m + 4 words choose the (passage, item) pairs, exactly; all others
@@ -39,7 +39,9 @@ from marketloom.session import materialize
 PART_CHARS = 1_000_000  # benchmark characters searched at once
 CHUNK_WORDS = 500_000   # document words a task searches at once
 LEAD = 4
-BLOCK_WORDS = 4_096     # vocabulary words whose sums travel together
+PAIRS = 1 << 22         # pairs of words summed at once by a task
+BLOCK_PAIRS = 1 << 19   # pairs of words whose sums travel together
+FIT_TASKS = 64          # most tasks of the pass that sums pairs: each hands on every pair it met
 PUNCTUATION = bytes.maketrans(b".,;:!?\"'()[]{}<>|*#$%&_=/\\-", b" " * 27)
 
 
@@ -152,51 +154,123 @@ def document_frequency(coded: DataFrame, items: Items) -> tuple[np.ndarray, int]
     return n, int(n[0])
 
 
-def fit(items: Items, coded: DataFrame, rank: int = 128, sample: int = 4_000, passes: int = 3,
-        seed: int = 3) -> Items:
-    """Set idf, basis and latent vectors. About ``sample`` documents (by hash) are those whose
-    first windows join the items as passages of the fit; frequencies come from all documents."""
+def meetings(words: np.ndarray, doc: np.ndarray, idf: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word * vocabulary + word, product of their shares), for all pairs of words in a passage.
+
+    ``doc`` numbers the document of each word, ascending; a passage is a run of ``width`` words of one
+    document, and shares are its TF-IDF values at length one. At most ``width`` times the words."""
+    size = len(idf)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+    known = np.flatnonzero(words)
+    passage = np.cumsum(place % width == 0)[known]
+    key, times = np.unique(passage * size + words[known], return_counts=True)
+    passage, word = np.divmod(key, size)
+    share = times * idf[word]
+    start = np.flatnonzero(np.diff(passage, prepend=-1))
+    n = np.diff(np.append(start, len(passage)))
+    share /= np.repeat(np.sqrt(np.add.reduceat(share * share, start)) if len(start) else start, n)
+    each = np.repeat(n, n)  # the words each word meets, itself included
+    left = np.repeat(np.arange(len(word)), each)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(start, n), each)
+    return word[left] * size + word[right], share[left] * share[right]
+
+
+def products(coded: DataFrame, items: Items) -> DataFrame:
+    """(a, b, v): the sums of ``meetings`` over all passages of the documents and the items."""
+    size, width, idf = len(items.idf), items.window, items.idf
+    dense = size * size <= 2 * PAIRS
+
+    def run(batches):
+        total = np.zeros(size * size if dense else 0)
+        keys, sums = np.zeros(0, np.int64), np.zeros(0)
+
+        def out(keys, sums):
+            for i in range(0, len(keys), 100_000):
+                a, b = np.divmod(keys[i:i + 100_000], size)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sums[i:i + 100_000])], ["a", "b", "v"])
+
+        def merged(parts):
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([v for _, v in parts]), len(keys))
+
+        parts, held = [], 0
+        for words, doc in _chunks(batches, items.kind, PAIRS // width // 8 // width * width):
+            key, value = meetings(words, doc, idf, width)
+            if dense:
+                np.add.at(total, key, value)
+                continue
+            parts.append(merged([(key, value)]))
+            held += len(parts[-1][0])
+            if held > PAIRS:
+                keys, sums = merged([(keys, sums), *parts])
+                parts, held = [], 0
+                if len(keys) > PAIRS:
+                    yield from out(keys, sums)
+                    keys, sums = keys[:0], sums[:0]
+        if dense:
+            keys = np.flatnonzero(total)
+            sums = total[keys]
+        elif parts:
+            keys, sums = merged([(keys, sums), *parts])
+        yield from out(keys, sums)
+
+    own = coded.sparkSession.createDataFrame(
+        [(0, w.astype(items.kind).tobytes()) for w in items.words], "doc_id long, words binary")
+    met = [x.select("doc_id", "words").mapInArrow(run, "a long, b long, v double")
+           for x in (own.coalesce(1), coded.coalesce(FIT_TASKS))]
+    return met[0].unionByName(met[1]).groupBy("a", "b").agg(F.sum("v").alias("v"))
+
+
+def _chunks(batches, kind, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, number of their document) of about ``most`` words; a longer document is cut every ``most``."""
+    def joined(rows):
+        return np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+
+    rows, held = [], 0
+    for _, w in _arrays(batches, kind):
+        while len(w) > most:
+            yield joined([w[:most]])
+            w = w[most:]
+        if len(w):
+            rows.append(w)
+            held += len(w)
+        if held >= most:
+            yield joined(rows)
+            rows, held = [], 0
+    if rows:
+        yield joined(rows)
+
+
+def fit(items: Items, coded: DataFrame, rank: int = 128, passes: int = 3, seed: int = 3) -> Items:
+    """Set idf, basis and latent vectors, from all passages of all documents and items."""
     n, docs = document_frequency(coded, items)
     idf = np.log((1.0 + docs) / (1.0 + n)) + 1.0
     idf[0] = idf[1:].max()
     items.idf = idf
-    size, width = len(idf), items.window
+    size = len(idf)
     rank = min(rank, size - 1, max(1, len(items.words)))
-    spark = coded.sparkSession
-    own = spark.createDataFrame(
-        [(0, w.astype(items.kind).tobytes()) for w in items.words], "doc_id long, words binary")
-    share = min(1_000_000, -(-1_000_000 * sample // max(1, docs)))
-    some = (coded.where((F.length("words") > 0)
-                        & (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share))
-            .select("doc_id", F.substring("words", 1, width * 4 * np.dtype(items.kind).itemsize).alias("words")))
-    passages = materialize(own.unionByName(some).repartition(8, F.xxhash64("words")), "passages").coalesce(8)
-
-    def rows(w: np.ndarray):
-        for i in range(0, max(1, len(w) - width // 2), width):
-            t, c = np.unique(w[i:i + width], return_counts=True)
-            c = c[t > 0] * idf[t[t > 0]]
-            if len(c):
-                yield t[t > 0], c / np.linalg.norm(c)
+    block = max(1, BLOCK_PAIRS // size)  # words whose sums travel together
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": [pdf["a"].iloc[0] // block * block], "pairs": [
+            (pdf["a"].to_numpy(np.int64) % block * size + pdf["b"].to_numpy(np.int64)).tobytes()],
+            "v": [pdf["v"].to_numpy(np.float64).tobytes()]})
 
+    blocks = materialize(products(coded, items).groupBy(F.floor(F.col("a") / block)).applyInPandas(
+        pack, "at long, pairs binary, v binary"), "passages")
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))[0]
     for _ in range(passes):
         def multiply(batches, q=q):
-            out = np.zeros((size, rank))
-            for _, w in _arrays(batches, items.kind):
-                for t, c in rows(w):
-                    out[t] += np.outer(c, c @ q[t])
-            for i in range(0, size, BLOCK_WORDS):
-                if (part := out[i:i + BLOCK_WORDS]).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["at", "part"])
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:  # at most one row a task, eight tasks
-            total = sum(np.frombuffer(p, np.float64) for p in pdf["part"])
-            return pd.DataFrame({"at": pdf["at"][:1], "part": [total.tobytes()]})
+            for b in batches:
+                for at, pairs, v in zip(*(c.to_pylist() for c in b.columns)):
+                    some = np.zeros((min(block, size - at), size))
+                    some.reshape(-1)[np.frombuffer(pairs, np.int64)] = np.frombuffer(v, np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([(some @ q).tobytes()], pa.binary())], ["at", "part"])
 
         total = np.zeros((size, rank))
-        for at, part in passages.mapInArrow(multiply, "at long, part binary").groupBy("at").applyInPandas(
-                add, "at long, part binary").collect():
-            total[at:at + BLOCK_WORDS] = np.frombuffer(part, np.float64).reshape(-1, rank)
+        for at, part in blocks.mapInArrow(multiply, "at long, part binary").collect():
+            total[at:at + block] = np.frombuffer(part, np.float64).reshape(-1, rank)
         q = np.linalg.qr(total + 1e-12 * q)[0]
     q[0] = 0
     items.basis = (q * idf[:, None]).astype(np.float32)

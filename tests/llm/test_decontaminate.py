@@ -132,3 +132,32 @@ def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch):
     got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(frame(spark, rows), table).collect()}
     assert len(decontaminate.parts_of(table)) > 3
     assert got == {(i, i) for i, _ in bench}
+
+
+def test_the_latent_space_sums_every_passage_of_every_document(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(9)
+    bench, table = items(spark, r, 6)
+    known = decontaminate.read_items(table)
+    vocabulary = [w.decode() for w in known.vocabulary]
+    rows = [(i, " ".join(r.choice([*vocabulary, "zz", "yy"]) for _ in range(r.randint(0, 150)))) for i in range(40)]
+    rows.append((40, " ".join(r.choice(vocabulary) for _ in range(40_000))))
+    coded = decontaminate.encode(frame(spark, rows), known)
+    known = decontaminate.fit(known, coded)
+    size = len(known.idf)
+    want = np.zeros((size, size))
+    for w in [*known.words, *[np.array([known.vocabulary.get(x, 0) for x in decontaminate.tokens(t)]) for _, t in rows]]:
+        for i in range(0, len(w), known.window):
+            c = np.bincount(w[i:i + known.window].astype(int), minlength=size) * known.idf
+            c[0] = 0
+            if c.any():
+                c /= np.linalg.norm(c)
+                want += np.outer(c, c)
+    for pairs in (decontaminate.PAIRS, 8_192):  # all sums held, or handed on
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        assert (size * size > 2 * pairs) == (pairs == 8_192)
+        got = np.zeros((size, size))
+        for x in decontaminate.products(coded, known).collect():
+            got[x.a, x.b] += x.v
+        assert np.allclose(got, want)
