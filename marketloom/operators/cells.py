@@ -27,6 +27,7 @@ from marketloom.session import materialize
 SAMPLE = 20_000         # reference rows the centres are fitted on
 MAX_CELLS = 1_024       # in each part
 _PAIRS = 1 << 22        # features compared at once by a task
+_SLICE = 2_048          # (query, cell) rows a task hands on at once: each carries the query's value
 
 
 @dataclass
@@ -126,6 +127,12 @@ def bounds(metric: Metric, cells: Cells, q: np.ndarray, part: np.ndarray, k: int
     return bound, full.argmax(axis=1)
 
 
+def slices(queries: pd.DataFrame, q: np.ndarray, cell: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A row for each query row ``q`` and its cell, ``_SLICE`` at a time: a query may ask every cell."""
+    for lo in range(0, len(q), _SLICE):
+        yield queries.iloc[q[lo:lo + _SLICE]].assign(cell=cell[lo:lo + _SLICE])
+
+
 # ---------------------------------------------------------------- matches
 
 def best_matches(queries: DataFrame, corpus: DataFrame, metric: Metric, k: int = 1, exclude_same_id: bool = False,
@@ -215,7 +222,7 @@ def best_matches(queries: DataFrame, corpus: DataFrame, metric: Metric, k: int =
                         bound[np.arange(len(some)), home] = -np.inf
                         floor = some["floor"].to_numpy()
                         q, cell = np.nonzero((bound > -np.inf) & (bound >= (floor - _slack(floor))[:, None]))
-                    yield some.iloc[q].drop(columns="part").assign(cell=cell)
+                    yield from slices(some.drop(columns="part"), q, cell)
         return run
 
     def meet(asked: DataFrame) -> DataFrame:

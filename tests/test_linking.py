@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions.lexicon import sentences, words
-from marketloom.operators import entities
+from marketloom.operators import cells, entities
 from marketloom.operators.phrases import PhraseAutomaton
 from marketloom.schemas import TICKER_DIM
 
@@ -82,3 +82,15 @@ def test_hashed_vectors_are_unit_and_exact(spark):
     one, empty, null = [np.array(r.embedding) for r in df.collect()]
     assert np.linalg.norm(one) == pytest.approx(1, abs=1e-5) and (one * entities.GRID == np.rint(one * entities.GRID)).all()
     assert not empty.any() and not null.any()
+
+
+def test_queries_that_ask_every_cell_are_handed_on_in_slices():
+    import numpy as np
+    import pandas as pd
+
+    queries = pd.DataFrame({"q_id": range(64), "q_value": [np.full(256, float(i)) for i in range(64)]})
+    q, cell = (x.ravel() for x in np.indices((64, 1_024)))
+    made = list(cells.slices(queries, q, cell))
+    assert max(map(len, made)) <= 2_048
+    whole = pd.concat(made)
+    assert whole["q_id"].tolist() == q.tolist() and whole["cell"].tolist() == cell.tolist()
