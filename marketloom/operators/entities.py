@@ -20,6 +20,7 @@ from marketloom.functions.lexicon import LexiconScorer, Scorer, mentions_finance
 from marketloom.operators.linking import link_vectors
 from marketloom.operators.phrases import PhraseAutomaton
 from marketloom.operators.skew import join_dimension, spread_join
+from marketloom.session import materialize
 
 # fixed values: labels of mentions that are kept
 ENTITY_LABELS = ["ORG", "MONEY", "PERSON", "GPE", "PRODUCT"]
@@ -48,16 +49,34 @@ def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, text: str = "text"
     ``part_chars`` characters is dealt by first words to several passes. A trained recogniser can
     replace this operator: the others only need its output columns.
     """
+    found = _found(docs, gazetteer, text, part_chars)
+    return (reduce(DataFrame.unionByName, found).withColumn("sentence", strip(F.col("sentence")))
+            .select("doc_id", "pos", "word", "entity", "label", "sentence"))
+
+
+def mentioned_documents(docs: DataFrame, gazetteer: DataFrame, text: str = "text",
+                        part_chars: int = 32 << 20) -> DataFrame:
+    """The mentions of ``gazetteer_mentions`` with each sentence held once: (doc_id, alone, sentences, found), a row
+    for each document (and pass); ``found`` has (entity, label, at), ``at`` the (pos, word) of its mentions
+    in order. ``alone`` tells that no other row has this doc_id. The operators below take it in place of mentions."""
+    many = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("_many"))
+    own = join_dimension(docs.select("doc_id", F.col(text).alias("_t")), many, ["doc_id"], "left")
+    return reduce(DataFrame.unionByName, _found(own.select(
+        "doc_id", "_t", (F.col("doc_id").isNotNull() & F.col("_many").isNull()).alias("alone")), gazetteer, "_t", part_chars))
+
+
+def _found(docs: DataFrame, gazetteer: DataFrame, text: str, part_chars: int) -> list[DataFrame]:
     phrases = (gazetteer.select("entity", "label", words(F.col("entity")).alias("_w"))
                .where(F.size("_w") > 0).distinct())
     size = phrases.agg(F.coalesce(F.sum(F.length("entity") + 32), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_chars))
     first = F.pmod(F.xxhash64(F.col("_w")[0]), F.lit(parts))
-    tokens = (docs.select("doc_id", sentences(F.col(text)).alias("_s")).where("_s is not null")
-              .withColumn("_w", F.transform("_s", words)))
-    found = [_matches(tokens, phrases.where(first == i) if parts > 1 else phrases) for i in range(parts)]
-    return (reduce(DataFrame.unionByName, found).withColumn("sentence", strip(F.col("sentence")))
-            .select("doc_id", "pos", "word", "entity", "label", "sentence"))
+    nested = ["alone"] if "alone" in docs.columns else []
+    tokens = (docs.select("doc_id", sentences(F.col(text)).alias("_s"), *nested).where("_s is not null")
+              .select("doc_id", "_s", F.transform("_s", words).alias("_w"), *nested))
+    if nested:
+        tokens = tokens.withColumn("_s", F.transform("_s", strip))
+    return [_matches(tokens, phrases.where(first == i) if parts > 1 else phrases) for i in range(parts)]
 
 
 def _matches(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -67,7 +86,17 @@ def _matches(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
         named.setdefault(tuple(r["_w"]), []).append(i)
     known = tokens.sparkSession.sparkContext.broadcast((
         PhraseAutomaton(list(named)), list(named.values()), [r["entity"] for r in rows], [r["label"] for r in rows]))
-    kind = dict(tokens.dtypes)["doc_id"]
+    kind, nested = dict(tokens.dtypes)["doc_id"], "alone" in tokens.columns
+
+    def grouped(docs: int, doc, row, pos, word, entity: pa.Array, label: pa.Array) -> pa.Array:
+        order = np.lexsort((word, pos, row, doc))
+        doc, row, pos, word = doc[order], row[order], pos[order], word[order]
+        new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+        places = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(word, pa.int32())], ["pos", "word"])
+        at = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)), pa.int32()), places)
+        which = pa.array(row[new], pa.int64())
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(docs + 1)), pa.int32()), pa.StructArray.from_arrays(
+            [entity.take(which), label.take(which), at], ["entity", "label", "at"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, names, entity, label = known.value
@@ -86,16 +115,43 @@ def _matches(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
                 at = np.repeat(at, [len(names[k]) for k in phrase.tolist()])
                 s = sentence[at]
                 word = at - (np.cumsum(in_sentence) - in_sentence)[s]
+                if nested:
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(3), part.column(1), grouped(part.num_rows, doc[s], row, pos[s], word, entity, label)],
+                        ["doc_id", "alone", "sentences", "found"])
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(doc[s])), pa.array(pos[s], pa.int32()), pa.array(word, pa.int32()),
                      entity.take(pa.array(row)), label.take(pa.array(row)), texts.take(pa.array(s))],
                     ["doc_id", "pos", "word", "entity", "label", "sentence"])
 
+    if nested:
+        return tokens.mapInArrow(run, f"doc_id {kind}, alone boolean, sentences array<string>, found array<struct<"
+                                      "entity string, label string, at array<struct<pos int, word int>>>>")
     return tokens.mapInArrow(run, f"doc_id {kind}, pos int, word int, entity string, label string, sentence string")
 
 
+def mention_rows(found: DataFrame) -> DataFrame:
+    """``mentioned_documents`` as the rows of ``gazetteer_mentions``."""
+    return (found.select("doc_id", "sentences", F.explode("found").alias("_f"))
+            .select("doc_id", "sentences", "_f.entity", "_f.label", F.explode("_f.at").alias("_a"))
+            .select("doc_id", "_a.pos", "_a.word", "entity", "label",
+                    F.element_at("sentences", F.col("_a.pos") + 1).alias("sentence")))
+
+
+def _by_entity(found: Column) -> Column:
+    """(entity, at) of each entity; the places of one with several labels are merged."""
+    names = F.array_distinct(F.transform(found, lambda f: f["entity"]))
+    merged = F.transform(names, lambda n: F.struct(n.alias("entity"), F.array_sort(F.flatten(F.transform(
+        F.filter(found, lambda f: f["entity"] == n), lambda f: f["at"]))).alias("at")))
+    plain = F.transform(found, lambda f: F.struct(f["entity"].alias("entity"), f["at"].alias("at")))
+    return F.when(F.size(names) == F.size(found), plain).otherwise(merged)
+
+
 def financial_mentions(mentions: DataFrame, labels: Sequence[str] = tuple(ENTITY_LABELS)) -> DataFrame:
     """Mentions with a label of interest."""
+    if "found" in mentions.columns:
+        return mentions.withColumn("found", F.filter("found", lambda f: f["label"].isin(list(labels))))
     return mentions.where(F.col("label").isin(list(labels)))
 
 
@@ -105,7 +161,15 @@ def org_entities(mentions: DataFrame) -> DataFrame:
 
 
 def entity_sentences(mentions: DataFrame) -> DataFrame:
-    """Per document and entity, the sentences of its mentions in order (repeats kept)."""
+    """Per document and entity, the sentences of its mentions in order (repeats kept).
+
+    Of ``mentioned_documents`` only documents that share a doc_id are shuffled."""
+    if "found" in mentions.columns:
+        kept = materialize(mentions, "mentions")
+        alone = kept.where("alone").select("doc_id", "sentences", F.explode(_by_entity(F.col("found"))).alias("_m"))
+        made = alone.select("doc_id", "_m.entity", F.col("sentences").alias("_all"), F.col("_m.at").alias("_at")).select(
+            "doc_id", "entity", F.transform("_at", lambda a: F.element_at(F.col("_all"), a["pos"] + 1)).alias("sentences"))
+        return made.unionByName(entity_sentences(mention_rows(kept.where("not alone"))))
     at = F.struct("pos", "word", "sentence")
     ordered = F.array_sort(F.collect_list(at))
     return mentions.groupBy("doc_id", "entity").agg(
@@ -123,7 +187,20 @@ def scored_mentions(mentions: DataFrame, scorer: Scorer | None = None) -> DataFr
 
 
 def entity_sentiment(mentions: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """Sentiment of each entity of a document: that of the last sentence mentioning it."""
+    """Sentiment of each entity of a document: that of the last sentence mentioning it.
+
+    Of ``mentioned_documents`` each such sentence is scored in place, once for all its entities."""
+    if "found" in mentions.columns:
+        kept = materialize(mentions, "mentions")
+        lasts = F.transform(_by_entity(F.col("found")), lambda m: F.struct(
+            F.array_max(m["at"])["pos"].alias("pos"), m["entity"].alias("entity")))
+        ends = kept.where("alone").select("doc_id", "sentences", lasts.alias("_l")).select(
+            "doc_id", "sentences", "_l", F.explode(F.array_distinct(F.col("_l.pos"))).alias("_p")).select(
+            "doc_id", F.element_at("sentences", F.col("_p") + 1).alias("_t"), F.transform(
+                F.filter("_l", lambda x: x["pos"] == F.col("_p")), lambda x: x["entity"]).alias("_e"))
+        made = ends.withColumn("_s", (scorer or LexiconScorer())(F.col("_t"))).select("doc_id", F.explode("_e").alias("entity"), "_s")
+        return made.select("doc_id", "entity", "_s.label", "_s.score").unionByName(
+            entity_sentiment(mention_rows(kept.where("not alone")), scorer))
     last = F.max_by("sentiment", F.struct("pos", "word"))
     return (scored_mentions(mentions, scorer).groupBy("doc_id", "entity").agg(last.alias("_s"))
             .select("doc_id", "entity", "_s.label", "_s.score"))

@@ -555,9 +555,9 @@ def gazetteer(spark: SparkSession, folder: str) -> DataFrame:
             .withColumn("label", F.element_at(label, F.length("entity") % 7 + 1)))
 
 
-def mentions(spark: SparkSession, folder: str) -> DataFrame:
+def mentions(spark: SparkSession, folder: str, find=entities.gazetteer_mentions) -> DataFrame:
     g = materialize(gazetteer(spark, folder), "gazetteer")
-    return entities.gazetteer_mentions(table(spark, folder, "documents"), g)
+    return find(table(spark, folder, "documents"), g)
 
 
 def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
@@ -570,14 +570,15 @@ def org_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entity_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    made = entities.entity_sentences(entities.financial_mentions(mentions(spark, folder)))
+    found = mentions(spark, folder, entities.mentioned_documents)
+    made = entities.entity_sentences(entities.financial_mentions(found))
     return made.select("doc_id", "entity", F.size("sentences").alias("n"),
                        F.array_join("sentences", "\n").alias("sentences"))
 
 
 def entity_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    m = materialize(entities.financial_mentions(mentions(spark, folder)), "mentions")
-    return rounded(entities.entity_sentiment(m, TONE))
+    found = mentions(spark, folder, entities.mentioned_documents)
+    return rounded(entities.entity_sentiment(entities.financial_mentions(found), TONE))
 
 
 def ticker_vectors(spark: SparkSession, folder: str) -> DataFrame:
