@@ -155,10 +155,11 @@ def document_frequency(coded: DataFrame, items: Items) -> tuple[np.ndarray, int]
 
 
 def meetings(words: np.ndarray, doc: np.ndarray, idf: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word * vocabulary + word, product of their shares), for all pairs of words in a passage.
+    """(place of a pair of words, product of their shares), for all pairs of words in a passage, each once.
 
     ``doc`` numbers the document of each word, ascending; a passage is a run of ``width`` words of one
-    document, and shares are its TF-IDF values at length one. At most ``width`` times the words."""
+    document, and shares are its TF-IDF values at length one. The pair of words a <= b has place b * (b + 1) / 2 + a.
+    At most (``width`` + 1) / 2 times the words."""
     size = len(idf)
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
@@ -170,56 +171,74 @@ def meetings(words: np.ndarray, doc: np.ndarray, idf: np.ndarray, width: int) ->
     start = np.flatnonzero(np.diff(passage, prepend=-1))
     n = np.diff(np.append(start, len(passage)))
     share /= np.repeat(np.sqrt(np.add.reduceat(share * share, start)) if len(start) else start, n)
-    each = np.repeat(n, n)  # the words each word meets, itself included
-    left = np.repeat(np.arange(len(word)), each)
-    right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(start, n), each)
-    return word[left] * size + word[right], share[left] * share[right]
+    at = np.arange(len(word))
+    each = np.repeat(start + n, n) - at  # the words from each on, itself included
+    right = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - at, each)
+    return (word * (word + 1) // 2)[right] + np.repeat(word, each), share[right] * np.repeat(share, each)
+
+
+def sums(batches: Iterator[pa.RecordBatch], kind: type, idf: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, v) with a <= b: the sums of ``meetings`` over the passages of a task's documents.
+
+    Holds a sum for every pair of words if these are few; else the pairs met, at most ``PAIRS``, then hands them on."""
+    size = len(idf)
+    low = np.arange(size + 1) * np.arange(1, size + 2) // 2  # the place of each word's first pair
+    dense = int(low[-1]) <= 2 * PAIRS
+    total = np.zeros(low[-1] if dense else 0)
+
+    def out(keys, values):
+        for i in range(0, len(keys), 100_000):
+            key = keys[i:i + 100_000]
+            b = np.searchsorted(low, key, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(key - low[b]), pa.array(b), pa.array(values[i:i + 100_000])],
+                                             ["a", "b", "v"])
+
+    def merged(parts):
+        keys, values = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()  # their room is needed for the order
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[new], np.add.reduceat(values, new) if len(new) else values
+
+    parts, held = [], 0
+    for words, doc in _chunks(batches, kind, PAIRS // width // 8 // width * width):
+        pair = meetings(words, doc, idf, width)
+        if dense:
+            np.add.at(total, *pair)
+            continue
+        parts.append(merged([pair]))
+        held += len(parts[-1][0])
+        if held > PAIRS:
+            parts = [merged(parts)]
+            held = len(parts[0][0])
+            if held > PAIRS // 2:
+                yield from out(*parts.pop())
+                held = 0
+    if dense:
+        keys = np.flatnonzero(total)
+        parts = [(keys, total[keys])]
+    elif parts:
+        parts = [merged(parts)]
+    for part in parts:
+        yield from out(*part)
 
 
 def products(coded: DataFrame, items: Items) -> DataFrame:
-    """(a, b, v): the sums of ``meetings`` over all passages of the documents and the items."""
-    size, width, idf = len(items.idf), items.window, items.idf
-    dense = size * size <= 2 * PAIRS
+    """(a, b, v): the ``sums`` over all passages of the documents and the items, both ways round."""
+    kind, idf, width = items.kind, items.idf, items.window
 
     def run(batches):
-        total = np.zeros(size * size if dense else 0)
-        keys, sums = np.zeros(0, np.int64), np.zeros(0)
-
-        def out(keys, sums):
-            for i in range(0, len(keys), 100_000):
-                a, b = np.divmod(keys[i:i + 100_000], size)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sums[i:i + 100_000])], ["a", "b", "v"])
-
-        def merged(parts):
-            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([v for _, v in parts]), len(keys))
-
-        parts, held = [], 0
-        for words, doc in _chunks(batches, items.kind, PAIRS // width // 8 // width * width):
-            key, value = meetings(words, doc, idf, width)
-            if dense:
-                np.add.at(total, key, value)
-                continue
-            parts.append(merged([(key, value)]))
-            held += len(parts[-1][0])
-            if held > PAIRS:
-                keys, sums = merged([(keys, sums), *parts])
-                parts, held = [], 0
-                if len(keys) > PAIRS:
-                    yield from out(keys, sums)
-                    keys, sums = keys[:0], sums[:0]
-        if dense:
-            keys = np.flatnonzero(total)
-            sums = total[keys]
-        elif parts:
-            keys, sums = merged([(keys, sums), *parts])
-        yield from out(keys, sums)
+        return sums(batches, kind, idf, width)
 
     own = coded.sparkSession.createDataFrame(
         [(0, w.astype(items.kind).tobytes()) for w in items.words], "doc_id long, words binary")
     met = [x.select("doc_id", "words").mapInArrow(run, "a long, b long, v double")
            for x in (own.coalesce(1), coded.coalesce(FIT_TASKS))]
-    return met[0].unionByName(met[1]).groupBy("a", "b").agg(F.sum("v").alias("v"))
+    once = met[0].unionByName(met[1]).groupBy("a", "b").agg(F.sum("v").alias("v"))
+    pair, turned = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = F.when(F.col("a") == F.col("b"), F.array(pair)).otherwise(F.array(pair, turned))
+    return once.select(F.explode(both).alias("pair"), "v").select("pair.a", "pair.b", "v")
 
 
 def _chunks(batches, kind, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -161,3 +161,30 @@ def test_the_latent_space_sums_every_passage_of_every_document(spark, monkeypatc
         for x in decontaminate.products(coded, known).collect():
             got[x.a, x.b] += x.v
         assert np.allclose(got, want)
+
+
+def test_pairs_are_summed_once_and_in_bounded_memory():
+    """Pipeline and op6 of round 3: a task held half a gigabyte and made every pair twice."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    key, value = decontaminate.meetings(np.arange(1, 33), np.zeros(32, int), np.ones(40), 32)
+    assert len(set(key.tolist())) == len(key) == 32 * 33 // 2 and np.allclose(value, 1 / 32)
+    for size in (3_500, 12_000):  # all sums held, or handed on
+        words = r.integers(0, size, (600, 1_000)).astype(np.uint16)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([w.tobytes() for w in words], pa.binary())],
+                                           ["doc_id", "words"])
+        rows = total = 0
+        tracemalloc.start()
+        for x in decontaminate.sums(iter([batch]), np.uint16, np.ones(size), 32):
+            a, b, v = (c.to_numpy() for c in x.columns)
+            assert (1 <= a).all() and (a <= b).all() and (b < size).all()
+            rows += len(a)
+            total += float(v[a == b].sum())
+        assert tracemalloc.get_traced_memory()[1] < 300 << 20
+        tracemalloc.stop()
+        assert rows > 3_000_000
+        assert abs(total - 600 * 32) < 1e-6 * total  # the squares of a passage's shares sum to one
