@@ -8,7 +8,8 @@ from functools import partial, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Normalizer, Word2Vec
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,10 @@ from marketloom.session import materialize
 
 # fixed values: labels of mentions that are kept
 ENTITY_LABELS = ["ORG", "MONEY", "PERSON", "GPE", "PRODUCT"]
+# learned vectors: neighbours on each side, words a step and a product, chance words a step and how many count for a
+# pair, rate; words whose vectors travel together, texts packed together
+WINDOW, STEP_WORDS, TILE, NOISE, NEGATIVES, RATE = 5, 512, 32, 64, 5, 0.1
+BLOCK_WORDS, PACK_ROWS = 1_024, 256
 
 
 def document_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -237,19 +242,154 @@ def embed_text(rows: DataFrame, text: str = "text", dim: int = 256, out: str = "
     return rows.withColumn(out, unit(buckets(pieces(F.col(text)), dim)))
 
 
+def _places(flat: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each word in ``known``, -1 for others, and whether it has one."""
+    at = pc.index_in(flat, value_set=known.cast(flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+    return at, at >= 0
+
+
+class SkipGrams:
+    """Word vectors by skip-grams with negative sampling: each word is to be told from chance words by its
+    neighbours, at most ``WINDOW`` known words away. Steps are taken on ``STEP_WORDS`` words at once, with chance words in
+    common and a rate for each word that falls with its squared gradients (Adagrad)."""
+
+    def __init__(self, inner: np.ndarray, outer: np.ndarray, noise: np.ndarray, seed) -> None:
+        self.inner, self.outer, self.chance = inner.copy(), outer.copy(), np.cumsum(noise / noise.sum())
+        self.grown = np.ones(len(inner), np.float32), np.ones(len(inner), np.float32)
+        self.random = np.random.default_rng(seed)
+        self.met = np.zeros(len(inner), bool)
+        self.far = np.abs(np.arange(TILE + 2 * WINDOW) - WINDOW - np.arange(TILE)[:, None]).astype(np.int32)
+        self.far[self.far == 0] = WINDOW + 1
+
+    def learn(self, ids: np.ndarray, doc: np.ndarray) -> None:
+        """One step on words and the ascending numbers of their documents. ``TILE`` words at a time meet the words
+        around them in one product, in which only pairs within reach count."""
+        n = -(-len(ids) // TILE) * TILE
+        word, text = np.zeros(n, np.int64), np.full(n + 2 * WINDOW, -2, np.int32)
+        word[:len(ids)], text[WINDOW:WINDOW + len(ids)], text[WINDOW + len(ids):WINDOW + n] = ids, doc, -1
+        x, y = self.inner[word], self.outer[word].reshape(-1, TILE, self.outer.shape[1])
+        around = np.arange(0, n, TILE)[:, None] + np.arange(TILE + 2 * WINDOW)
+        near = np.zeros((len(text), x.shape[1]), np.float32)
+        near[WINDOW:WINDOW + n] = x
+        near, ids = near[around], word
+        mine, there = text[WINDOW:WINDOW + n].reshape(-1, TILE, 1), text[around][:, None, :]
+        reach = self.random.integers(1, WINDOW + 1, mine.shape, np.int32) * (mine >= 0)
+        pair = ((self.far <= reach) & (mine == there)).astype(np.float32)
+        g = pair / (1 + np.exp(np.matmul(y, near.transpose(0, 2, 1))))
+        dx = self._joined(np.matmul(g.transpose(0, 2, 1), y))
+        dy = np.matmul(g, near).reshape(x.shape)
+        times = self._joined(pair.sum(axis=1)[:, :, None])
+        other = np.minimum(np.searchsorted(self.chance, self.random.random(NOISE)), len(self.chance) - 1)
+        z = self.outer[other]
+        g = np.float32(NEGATIVES / NOISE) * times / (1 + np.exp(-(x @ z.T)))
+        dx -= g @ z
+        self._move(self.inner, self.grown[0], ids, dx)
+        self._move(self.outer, self.grown[1], np.concatenate([ids, other]), np.concatenate([dy, -(g.T @ x)]))
+        self.met[ids[:len(doc)]] = True
+
+    @staticmethod
+    def _joined(parts: np.ndarray) -> np.ndarray:
+        """The sum of the rows that tiles hold for the same word."""
+        tiles, _, dim = parts.shape
+        total = np.zeros((tiles + 1, TILE, dim), np.float32)
+        total[:-1] += parts[:, :TILE]
+        total[1:, :2 * WINDOW] += parts[:, TILE:]
+        return total.reshape(-1, dim)[WINDOW:WINDOW + tiles * TILE]
+
+    @staticmethod
+    def _move(vectors: np.ndarray, grown: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        word, d = ids[order][first], np.add.reduceat(d[order], first)
+        grown[word] += (d * d).mean(axis=1)
+        vectors[word] += RATE * d / np.sqrt(grown[word])[:, None]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of ``PACK_ROWS`` texts: each different one with its times, the place of every one in these, and the
+    ends of the texts."""
+    for b in batches:
+        for lo in range(0, b.num_rows, PACK_ROWS):
+            found = b.column(0).slice(lo, PACK_ROWS)
+            coded = found.flatten().dictionary_encode()
+            at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+            ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False)).astype(np.int64)
+            if len(at):
+                times = np.bincount(at, minlength=len(coded.dictionary))
+                yield pa.RecordBatch.from_pylist([{"words": coded.dictionary.to_pylist(), "times": times.tolist(),
+                                                   "at": at.tobytes(), "ends": ends.tobytes()}], _PACKED)
+
+
+_PACKED = pa.schema([("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("at", pa.binary()), ("ends", pa.binary())])
+
+
+def _steps(batches: Iterator[pa.RecordBatch], known: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(known words, number of their document) of the texts of ``_packed``, ``STEP_WORDS`` words at most."""
+    for b in batches:
+        for i in range(b.num_rows):
+            place, _ = _places(b.column(0).slice(i, 1).flatten(), known)
+            ids = place[np.frombuffer(b.column(2)[i].as_py(), np.int32)]
+            ends = np.frombuffer(b.column(3)[i].as_py(), np.int64)
+            doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[ids >= 0]
+            ids = ids[ids >= 0]
+            for lo in range(0, len(ids), STEP_WORDS):
+                yield ids[lo:lo + STEP_WORDS], doc[lo:lo + STEP_WORDS]
+
+
 def word_vectors(docs: DataFrame, text: str = "text", dim: int = 64, least: int = 5, seed: int = 42, rounds: int = 1):
-    """A trained embedder: vectors of the words that ``docs`` hold ``least`` times, learned in as many partitions
-    as the session shuffles, mean-pooled and of unit length. It takes the place of ``embed_text``; texts without a known
-    word give zeros."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """A trained embedder: vectors of the words that ``docs`` hold ``least`` times, learned from all of them by
+    ``SkipGrams`` in as many partitions as the session shuffles and averaged after each round, mean-pooled and of
+    unit length. It takes the place of ``embed_text``; texts without a known word give zeros."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
-    model = Word2Vec(vectorSize=dim, minCount=least, seed=seed, maxIter=rounds, numPartitions=partitions,
-                     inputCol="_w", outputCol="_v").fit(own)
+    packed = materialize(own.mapInArrow(
+        _packed, "words array<string>, times array<long>, at binary, ends binary").repartition(partitions), "words")
+    counts = (packed.select(F.explode(F.arrays_zip("words", "times")).alias("w")).groupBy(F.col("w.words").alias("w"))
+              .agg(F.sum("w.times").alias("n")).where(F.col("n") >= least).toArrow().sort_by("w"))
+    known = counts["w"].combine_chunks()
+    noise = counts["n"].to_numpy().astype(float) ** 0.75
+    inner = ((np.random.default_rng(seed).random((len(known), dim)) - 0.5) / dim).astype(np.float32)
+    outer = np.zeros_like(inner)
+
+    for turn in range(rounds):
+        def train(batches, inner=inner, outer=outer, turn=turn):
+            model = SkipGrams(inner, outer, noise, [seed, turn, TaskContext.get().partitionId()])
+            for ids, doc in _steps(batches, known):
+                model.learn(ids, doc)
+            met = np.flatnonzero(model.met)
+            for at in np.split(met, np.flatnonzero(np.diff(met // BLOCK_WORDS)) + 1) if len(met) else []:
+                both = np.hstack([model.inner[at], model.outer[at]])
+                yield pa.RecordBatch.from_arrays([pa.array([int(at[0]) // BLOCK_WORDS]), pa.array(
+                    [at.astype(np.int64).tobytes()], pa.binary()), pa.array([both.tobytes()], pa.binary())], ["block", "at", "v"])
+
+        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+            total, n = np.zeros((BLOCK_WORDS, 2 * dim)), np.zeros(BLOCK_WORDS)
+            for at, v in zip(pdf["at"], pdf["v"]):
+                at = np.frombuffer(at, np.int64) % BLOCK_WORDS
+                total[at] += np.frombuffer(v, np.float32).reshape(-1, 2 * dim)
+                n[at] += 1
+            at = np.flatnonzero(n)
+            v = (total[at] / n[at, None]).astype(np.float32)
+            return pd.DataFrame({"at": [(at + pdf["block"].iloc[0] * BLOCK_WORDS).tobytes()], "v": [v.tobytes()]})
+
+        met = packed.mapInArrow(train, "block long, at binary, v binary").groupBy("block").applyInPandas(mean, "at binary, v binary")
+        inner, outer = inner.copy(), outer.copy()
+        for row in met.toLocalIterator():
+            at, both = np.frombuffer(row.at, np.int64), np.frombuffer(row.v, np.float32).reshape(-1, 2 * dim)
+            inner[at], outer[at] = both[:, :dim], both[:, dim:]
+
+    @F.arrow_udf("array<double>")
+    def unit(found: pa.Array) -> pa.Array:
+        at, here = _places(found.flatten(), known)
+        ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))
+        ends = np.concatenate([[0], np.cumsum(here)])[ends]
+        made = np.array([inner[x].sum(axis=0, dtype=float) for x in np.split(at[here], ends[:-1])])
+        made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-300)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * dim, pa.int32()), pa.array(made.ravel()))
 
     def embed(rows: DataFrame, text: str = "text", dim: int = dim, out: str = "embedding") -> DataFrame:
-        pooled = model.transform(rows.withColumn("_w", F.coalesce(words(F.col(text)), F.array().cast("array<string>"))))
-        return (Normalizer(inputCol="_v", outputCol="_u", p=2.0).transform(pooled)
-                .withColumn(out, vector_to_array("_u")).drop("_w", "_v", "_u"))
+        return rows.withColumn(out, unit(F.coalesce(words(F.col(text)), F.array().cast("array<string>"))))
 
     return embed
 
