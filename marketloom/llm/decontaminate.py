@@ -28,7 +28,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ from marketloom.llm.common import join_narrow, slices
 from marketloom.session import materialize
 
 PART_CHARS = 1_000_000  # benchmark characters searched at once
-CHUNK_WORDS = 500_000   # document words a task searches at once
+CHUNK_WORDS = 125_000   # document words a task searches at once
 LEAD = 4
 PAIRS = 1 << 22         # pairs of words summed at once by a task
 BLOCK_PAIRS = 1 << 19   # pairs of words whose sums travel together
@@ -202,7 +201,7 @@ def sums(batches: Iterator[pa.RecordBatch], kind: type, idf: np.ndarray, width:
         return keys[new], np.add.reduceat(values, new) if len(new) else values
 
     parts, held = [], 0
-    for words, doc in _chunks(batches, kind, PAIRS // width // 8 // width * width):
+    for words, doc in _chunks(batches, kind, max(1, PAIRS // width // 32 // width) * width):
         pair = meetings(words, doc, idf, width)
         if dense:
             np.add.at(total, *pair)
@@ -215,13 +214,11 @@ def sums(batches: Iterator[pa.RecordBatch], kind: type, idf: np.ndarray, width:
             if held > PAIRS // 2:
                 yield from out(*parts.pop())
                 held = 0
-    if dense:
-        keys = np.flatnonzero(total)
-        parts = [(keys, total[keys])]
-    elif parts:
-        parts = [merged(parts)]
-    for part in parts:
-        yield from out(*part)
+    for i in range(0, len(total), 1 << 18):  # not all at once, as keys and values would take twice the room of the sums
+        keys = i + np.flatnonzero(total[i:i + (1 << 18)])
+        yield from out(keys, total[keys])
+    if parts:
+        yield from out(*merged(parts))
 
 
 def products(coded: DataFrame, items: Items) -> DataFrame:
@@ -231,8 +228,9 @@ def products(coded: DataFrame, items: Items) -> DataFrame:
     def run(batches):
         return sums(batches, kind, idf, width)
 
-    own = coded.sparkSession.createDataFrame(
-        [(0, w.astype(items.kind).tobytes()) for w in items.words], "doc_id long, words binary")
+    # from Arrow: of a list of rows, executors would read the items by a second set of Python workers
+    own = coded.sparkSession.createDataFrame(pa.table(
+        {"doc_id": [0] * len(items.words), "words": [w.astype(kind).tobytes() for w in items.words]}))
     met = [x.select("doc_id", "words").mapInArrow(run, "a long, b long, v double")
            for x in (own.coalesce(1), coded.coalesce(FIT_TASKS))]
     once = met[0].unionByName(met[1]).groupBy("a", "b").agg(F.sum("v").alias("v"))
@@ -271,17 +269,17 @@ def fit(items: Items, coded: DataFrame, rank: int = 128, passes: int = 3, seed:
     rank = min(rank, size - 1, max(1, len(items.words)))
     block = max(1, BLOCK_PAIRS // size)  # words whose sums travel together
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": [pdf["a"].iloc[0] // block * block], "pairs": [
-            (pdf["a"].to_numpy(np.int64) % block * size + pdf["b"].to_numpy(np.int64)).tobytes()],
-            "v": [pdf["v"].to_numpy(np.float64).tobytes()]})
+    def pack(met: pa.Table) -> pa.Table:
+        a, b, v = (met.column(c).to_numpy() for c in ("a", "b", "v"))
+        return pa.table({"at": [int(a[0]) // block * block], "pairs": [(a % block * size + b).tobytes()],
+                         "v": [v.tobytes()]})
 
-    blocks = materialize(products(coded, items).groupBy(F.floor(F.col("a") / block)).applyInPandas(
+    blocks = materialize(products(coded, items).groupBy(F.floor(F.col("a") / block)).applyInArrow(
         pack, "at long, pairs binary, v binary"), "passages")
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))[0]
     for _ in range(passes):
         def multiply(batches, q=q):
-            for b in batches:
+            for b in slices(batches, 1):
                 for at, pairs, v in zip(*(c.to_pylist() for c in b.columns)):
                     some = np.zeros((min(block, size - at), size))
                     some.reshape(-1)[np.frombuffer(pairs, np.int64)] = np.frombuffer(v, np.float64)

@@ -188,3 +188,33 @@ def test_pairs_are_summed_once_and_in_bounded_memory():
         tracemalloc.stop()
         assert rows > 3_000_000
         assert abs(total - 600 * 32) < 1e-6 * total  # the squares of a passage's shares sum to one
+
+
+def test_a_task_holds_its_sums_once():
+    """Pipeline of round 3: keys and values of all sums stood beside the sums themselves."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r, size = np.random.default_rng(5), 3_500
+    words = r.integers(0, size, (300, 1_000)).astype(np.uint16)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([w.tobytes() for w in words], pa.binary())],
+                                       ["doc_id", "words"])
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in decontaminate.sums(iter([batch]), np.uint16, np.ones(size), 32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 2_000_000 and peak < size * (size + 1) // 2 * 8 + (20 << 20)
+
+
+def test_items_need_no_python_workers_of_their_own(spark):
+    """Pipeline of round 3: rows of a list went through a second set of workers beside those of the sums."""
+    import numpy as np
+
+    _, table = items(spark, random.Random(3), 5)
+    known = decontaminate.read_items(table)
+    known.idf = np.ones(len(known.vocabulary) + 1)
+    plan = decontaminate.products(decontaminate.encode(frame(spark, [(1, "abc")]), known), known)
+    parts = plan._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")
+    assert sum("LocalRelation [doc_id" in x for x in parts) == 1 and len(parts) == 4
