@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,14 @@ def own(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex[:8]}"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's, and what glibc, if that is the C library, keeps between blocks in use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows and about ``size`` bytes (one row at least). A
     worker that waits for its next task gives back what it no longer needs."""
@@ -35,7 +44,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 <<
         each = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
         for i in range(0, b.num_rows, each):
             yield b.slice(i, each)
-    pa.default_memory_pool().release_unused()
+        del b
+    give_back()
 
 
 def fold(doc_id: Column, mod: int) -> Column:
