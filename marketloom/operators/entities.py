@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import mmap
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import partial, reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -26,9 +31,11 @@ from marketloom.session import materialize
 # fixed values: labels of mentions that are kept
 ENTITY_LABELS = ["ORG", "MONEY", "PERSON", "GPE", "PRODUCT"]
 # learned vectors: neighbours on each side, words a step and a product, chance words a step and how many count for a
-# pair, rate; words whose vectors travel together, texts packed together
+# pair, rate; words and texts of a pack, words and different ones of a copy; bytes of vectors averaged at once, of
+# those every task holds
 WINDOW, STEP_WORDS, TILE, NOISE, NEGATIVES, RATE = 5, 512, 32, 64, 5, 0.1
-BLOCK_WORDS, PACK_ROWS = 1_024, 256
+PACK_WORDS, PACK_ROWS, COPY_WORDS, COPY_DIFFERENT = 1 << 19, 4_096, 6 << 20, 3 << 19
+MEAN_BYTES, HEAD_BYTES = 8 << 20, 32 << 20
 
 
 def document_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -242,12 +249,6 @@ def embed_text(rows: DataFrame, text: str = "text", dim: int = 256, out: str = "
     return rows.withColumn(out, unit(buckets(pieces(F.col(text)), dim)))
 
 
-def _places(flat: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each word in ``known``, -1 for others, and whether it has one."""
-    at = pc.index_in(flat, value_set=known.cast(flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
-    return at, at >= 0
-
-
 class SkipGrams:
     """Word vectors by skip-grams with negative sampling: each word is to be told from chance words by its
     neighbours, at most ``WINDOW`` known words away. Steps are taken on ``STEP_WORDS`` words at once, with chance words in
@@ -261,9 +262,9 @@ class SkipGrams:
         self.far = np.abs(np.arange(TILE + 2 * WINDOW) - WINDOW - np.arange(TILE)[:, None]).astype(np.int32)
         self.far[self.far == 0] = WINDOW + 1
 
-    def learn(self, ids: np.ndarray, doc: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, doc: np.ndarray, other: np.ndarray | None = None) -> None:
         """One step on words and the ascending numbers of their documents. ``TILE`` words at a time meet the words
-        around them in one product, in which only pairs within reach count."""
+        around them in one product, in which only pairs within reach count. ``other``: the chance words, if drawn."""
         n = -(-len(ids) // TILE) * TILE
         word, text = np.zeros(n, np.int64), np.full(n + 2 * WINDOW, -2, np.int32)
         word[:len(ids)], text[WINDOW:WINDOW + len(ids)], text[WINDOW + len(ids):WINDOW + n] = ids, doc, -1
@@ -279,7 +280,8 @@ class SkipGrams:
         dx = self._joined(np.matmul(g.transpose(0, 2, 1), y))
         dy = np.matmul(g, near).reshape(x.shape)
         times = self._joined(pair.sum(axis=1)[:, :, None])
-        other = np.minimum(np.searchsorted(self.chance, self.random.random(NOISE)), len(self.chance) - 1)
+        if other is None:
+            other = np.minimum(np.searchsorted(self.chance, self.random.random(NOISE)), len(self.chance) - 1)
         z = self.outer[other]
         g = np.float32(NEGATIVES / NOISE) * times / (1 + np.exp(-(x @ z.T)))
         dx -= g @ z
@@ -299,97 +301,366 @@ class SkipGrams:
     @staticmethod
     def _move(vectors: np.ndarray, grown: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        word, d = ids[order][first], np.add.reduceat(d[order], first)
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        word, d = ids[first], np.add.reduceat(d[order], first)
         grown[word] += (d * d).mean(axis=1)
         vectors[word] += RATE * d / np.sqrt(grown[word])[:, None]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of ``PACK_ROWS`` texts: each different one with its times, the place of every one in these, and the
-    ends of the texts."""
+class Copy(SkipGrams):
+    """A ``SkipGrams`` that holds only the words one task meets or draws, by their ranks. Words start
+    where their rank says, the same in every copy."""
+
+    def __init__(self, dim: int, room: int, seed: int, turn: int, copy: int) -> None:
+        """``room``: how many words there can be. Memory is touched only as far as there are."""
+        super().__init__(np.zeros((0, dim), np.float32), np.zeros((0, dim), np.float32), np.ones(0), [seed, turn, copy])
+        self.seed, self.ranks, self.rows = seed, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.inner, self.outer, *grown = (_untouched(room, x) for x in (dim, dim, 1, 1))
+        self.grown, self.met = tuple(x[:, 0] for x in grown), np.zeros(room, bool)
+
+    def places(self, ranks: np.ndarray, both: np.ndarray | None = None) -> np.ndarray:
+        """The rows of ascending different ranks. Those that are new get one, with the vectors ``both`` if given."""
+        at = np.searchsorted(self.ranks, ranks)
+        new = np.append(self.ranks, -1)[at] != ranks
+        if new.any():
+            held, dim = len(self.ranks), self.inner.shape[1]
+            total = held + int(new.sum())
+            self.inner[held:total] = start_vectors(ranks[new], dim, self.seed) if both is None else both[new, :dim]
+            self.outer[held:total] = 0 if both is None else both[new, dim:]
+            self.met[held:total] = False
+            for x in self.grown:
+                x[held:total] = 1
+            self.rows = np.insert(self.rows, at[new], np.arange(held, total))
+            self.ranks = np.insert(self.ranks, at[new], ranks[new])
+            at = np.searchsorted(self.ranks, ranks)
+        return self.rows[at]
+
+    def learn_pack(self, pack: "Pack", noise: np.ndarray) -> None:
+        """All steps on a pack; ``noise`` has the ranks of the chance words of each."""
+        drawn, other = np.unique(noise, return_inverse=True)
+        place, other = self.places(pack.ranks), self.places(drawn)[other].reshape(noise.shape)
+        doc = np.repeat(np.arange(len(pack.ends)), np.diff(pack.ends, prepend=0))
+        for i, lo in enumerate(range(0, len(doc), STEP_WORDS)):
+            self.learn(place[pack.at[lo:lo + STEP_WORDS]], doc[lo:lo + STEP_WORDS], other[i])
+
+    def blocks(self, width: int, last: bool) -> Iterator[pa.RecordBatch]:
+        """The vectors of the words met, ``width`` ranks to a row; after the last round only the inner ones count."""
+        met = self.met[self.rows]
+        ranks, rows = self.ranks[met], self.rows[met]
+        ends = np.append(np.flatnonzero(np.diff(ranks // width)) + 1, len(ranks)) if len(ranks) else ranks
+        starts = np.append(0, ends[:-1])
+        for lo in range(0, len(ends), 256):
+            some = slice(starts[lo], ends[min(lo + 256, len(ends)) - 1])
+            edges = np.append(starts[lo], ends[lo:lo + 256]) - starts[lo]
+            v = self.inner[rows[some]]
+            v = v if last else np.hstack([v, self.outer[rows[some]]])
+            yield pa.RecordBatch.from_arrays([pa.array(ranks[starts[lo:lo + 256]] // width), _cut(ranks[some], edges),
+                                              _cut(v, edges)], ["block", "at", "v"])
+
+
+def _untouched(rows: int, dim: int) -> np.ndarray:
+    """A matrix whose memory is taken a small page at a time as rows are written, and given back with it. (NumPy asks for
+    huge pages, which are slower to get here and hold more.)"""
+    held = mmap.mmap(-1, max(1, 4 * rows * dim), mmap.MAP_PRIVATE | mmap.MAP_ANONYMOUS)
+    if hasattr(mmap, "MADV_NOHUGEPAGE"):
+        held.madvise(mmap.MADV_NOHUGEPAGE)
+    return np.frombuffer(held, np.float32, rows * dim).reshape(rows, dim)
+
+
+def start_vectors(ranks: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    """Even chance numbers from -1 / (2 dim) to 1 / (2 dim), set by rank, column and seed (splitmix64)."""
+    z = (ranks.astype(np.uint64)[:, None] * np.uint64(dim) + np.arange(1, dim + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    z += np.random.SeedSequence(seed).generate_state(1, np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / 2 ** 53 - 0.5).astype(np.float32) / np.float32(dim)
+
+
+def _cut(x: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The rows of ``x`` between ``edges`` as bytes."""
+    width = x[:1].nbytes if len(x) else 0
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)),
+                                                               pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, before a worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _shut(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each, packed."""
+    x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return np.array([x.itemsize, len(x)]).tobytes() + (pa.compress(x.tobytes(), "zstd", asbytes=True) if len(x) else b"")
+
+
+def _opened(x: bytes) -> np.ndarray:
+    width, n = np.frombuffer(x, np.int64, 2).tolist()
+    return np.frombuffer(pa.decompress(x[16:], n * width, "zstd", asbytes=True) if n else b"", f"u{width}").astype(np.int64)
+
+
+class Pack:
+    """A row of ``_coded``: the ranks of the different known words, the place of every one in these, the ends of the texts."""
+
+    def __init__(self, ranks: bytes, at: bytes, ends: bytes) -> None:
+        self.ranks, self.at, self.ends = np.cumsum(_opened(ranks)), _opened(at), _opened(ends)
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts given as words and key, up to ``PACK_WORDS`` words together: each different word with its times, the place
+    of every one in these, the ends of the texts, and their keys."""
+    first = TaskContext.get().partitionId() << 33
+    texts: list[tuple[pa.Array, pa.Array]] = []
+    made = words_held = rows_held = 0
+
+    def pack() -> Iterator[pa.RecordBatch]:
+        nonlocal made, words_held, rows_held
+        if words_held:
+            coded = pa.chunked_array([x.flatten() for x, _ in texts]).combine_chunks().dictionary_encode()
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            size = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x, _ in texts])
+            ends, n = np.cumsum(size.astype(np.int64)), len(coded.dictionary)
+            edges, times = pa.array([0, n], pa.int32()), pa.array(np.bincount(at, minlength=n))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([first + made]), pa.array([words_held]), pa.array([n]),
+                pa.ListArray.from_arrays(edges, coded.dictionary.cast(pa.string())), pa.ListArray.from_arrays(edges, times),
+                pa.array([_shut(at)]), pa.array([_shut(ends)]), pa.array([b"".join(k for _, x in texts for k in x.to_pylist())])],
+                ["pack", "n", "different", "words", "times", "at", "ends", "keys"])
+            made += 1
+        texts.clear()
+        words_held = rows_held = 0
+
     for b in batches:
-        for lo in range(0, b.num_rows, PACK_ROWS):
-            found = b.column(0).slice(lo, PACK_ROWS)
-            coded = found.flatten().dictionary_encode()
-            at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-            ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False)).astype(np.int64)
-            if len(at):
-                times = np.bincount(at, minlength=len(coded.dictionary))
-                yield pa.RecordBatch.from_pylist([{"words": coded.dictionary.to_pylist(), "times": times.tolist(),
-                                                   "at": at.tobytes(), "ends": ends.tobytes()}], _PACKED)
+        total = np.cumsum(pc.list_value_length(b.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            before = int(total[lo - 1]) if lo else 0
+            hi = int(np.searchsorted(total, before + PACK_WORDS - words_held, "right"))
+            hi = min(max(hi, lo + (not rows_held)), lo + PACK_ROWS - rows_held)
+            if hi > lo:
+                texts.append((b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)))
+                words_held, rows_held, lo = words_held + int(total[hi - 1]) - before, rows_held + hi - lo, hi
+            if lo < b.num_rows:
+                yield from pack()
+    yield from pack()
+    _give_back()
 
 
-_PACKED = pa.schema([("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("at", pa.binary()), ("ends", pa.binary())])
+_PACKS = ("pack long, n long, different long, words array<string>, times array<long>, at binary, ends binary, keys binary")
 
 
-def _steps(batches: Iterator[pa.RecordBatch], known: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(known words, number of their document) of the texts of ``_packed``, ``STEP_WORDS`` words at most."""
-    for b in batches:
-        for i in range(b.num_rows):
-            place, _ = _places(b.column(0).slice(i, 1).flatten(), known)
-            ids = place[np.frombuffer(b.column(2)[i].as_py(), np.int32)]
-            ends = np.frombuffer(b.column(3)[i].as_py(), np.int64)
-            doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[ids >= 0]
-            ids = ids[ids >= 0]
-            for lo in range(0, len(ids), STEP_WORDS):
-                yield ids[lo:lo + STEP_WORDS], doc[lo:lo + STEP_WORDS]
+def _key(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("string")))
 
 
-def word_vectors(docs: DataFrame, text: str = "text", dim: int = 64, least: int = 5, seed: int = 42, rounds: int = 1):
-    """A trained embedder: vectors of the words that ``docs`` hold ``least`` times, learned from all of them by
-    ``SkipGrams`` in as many partitions as the session shuffles and averaged after each round, mean-pooled and of
-    unit length. It takes the place of ``embed_text``; texts without a known word give zeros."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
-    packed = materialize(own.mapInArrow(
-        _packed, "words array<string>, times array<long>, at binary, ends binary").repartition(partitions), "words")
-    counts = (packed.select(F.explode(F.arrays_zip("words", "times")).alias("w")).groupBy(F.col("w.words").alias("w"))
-              .agg(F.sum("w.times").alias("n")).where(F.col("n") >= least).toArrow().sort_by("w"))
-    known = counts["w"].combine_chunks()
-    noise = counts["n"].to_numpy().astype(float) ** 0.75
-    inner = ((np.random.default_rng(seed).random((len(known), dim)) - 0.5) / dim).astype(np.float32)
-    outer = np.zeros_like(inner)
+def _packed(rows: DataFrame, text: str) -> DataFrame:
+    own = rows.where(F.col(text).isNotNull()).select(words(F.col(text)).alias("w"), _key(text).alias("k"))
+    return materialize(own.mapInArrow(_packs, _PACKS), "words")
 
+
+def _ranked(packed: DataFrame, least: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(w, rank) of the words met ``least`` times, the most frequent first, and (times, words met so often) in this order."""
+    counts = (packed.select(F.explode(F.arrays_zip("words", "times")).alias("w")).groupBy(F.col("w.words").alias("w"))
+              .agg(F.sum("w.times").alias("n")).where(F.col("n") >= least))
+    listed = materialize(counts.orderBy(F.desc("n"), "w").withColumn("rank", F.monotonically_increasing_id()), "vocabulary")
+    listed = listed.withColumn("part", F.shiftright("rank", 33))
+    parts = sorted(listed.groupBy("part").count().collect())
+    first = np.cumsum([0] + [n for _, n in parts]).tolist()
+    table = F.broadcast(packed.sparkSession.createDataFrame(
+        [(r["part"], before) for r, before in zip(parts, first)], "part long, before long"))
+    often = sorted(((r["n"], r["count"]) for r in listed.groupBy("n").count().collect()), reverse=True)
+    return listed.join(table, "part").select("w", (F.col("rank").bitwiseAND((1 << 33) - 1) + F.col("before")).alias("rank")), often
+
+
+def _coded(packed: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The packs with ranks for words; unknown words are left out."""
+    own = (packed.select(F.col("pack").alias("of"), F.posexplode("words").alias("at", "w")).join(ranked, "w")
+           .select("of", "at", "rank"))
+
+    def code(pack: pa.Table, known: pa.Table) -> pa.Table:
+        row = pack.to_pylist()[0]
+        rank = np.full(row["different"], -1, np.int64)
+        rank[known["at"].to_numpy()] = known["rank"].to_numpy()
+        rank = rank[_opened(row["at"])]
+        ends = np.append(0, np.cumsum(rank >= 0))[_opened(row["ends"])]
+        ranks, at = np.unique(rank[rank >= 0], return_inverse=True)
+        _give_back()
+        return pa.table({"pack": [row["pack"]], "n": [len(at)], "ranks": [_shut(np.diff(ranks, prepend=0))], "at": [_shut(at)],
+                         "ends": [_shut(ends)], "keys": [row["keys"]]})
+
+    return materialize(packed.select("pack", "different", "at", "ends", "keys").groupBy("pack").cogroup(own.groupBy("of"))
+                       .applyInArrow(code, "pack long, n long, ranks binary, at binary, ends binary, keys binary"), "coded")
+
+
+class Noise:
+    """Chance words for each step on a pack: ranks, by times to the power of 0.75. Words met equally often follow each
+    other, so what is held is one row for each number of times."""
+
+    def __init__(self, often: list[tuple[int, int]], seed: int) -> None:
+        times, self.words = np.array(often, np.int64).reshape(-1, 2).T
+        self.each, self.first, self.seed = times ** 0.75, np.cumsum(self.words) - self.words, seed
+        self.ends = np.cumsum(self.each * self.words)
+
+    def draw(self, words: int, turn: int, pack: int) -> np.ndarray:
+        steps = -(-words // STEP_WORDS)
+        if not steps:
+            return np.zeros((0, NOISE), np.int64)
+        x = np.random.default_rng([self.seed, turn, pack]).random((steps, NOISE)) * self.ends[-1]
+        at = np.minimum(np.searchsorted(self.ends, x, "right"), len(self.ends) - 1)
+        before = self.ends[at] - self.each[at] * self.words[at]
+        return self.first[at] + np.clip(((x - before) / self.each[at]).astype(np.int64), 0, self.words[at] - 1)
+
+
+def _spread(spark, n: int) -> list[int]:
+    """``n`` numbers that ``repartition(n, ...)`` deals to one task each."""
+    ids = spark.range(n * (n.bit_length() + 10))
+    found = ids.groupBy(F.pmod(F.hash("id"), F.lit(n))).agg(F.min("id")).collect()
+    taken = [r[1] for r in found]
+    return taken + [-i for i in range(1, n - len(taken) + 1)]
+
+
+def _learned(coded: DataFrame, copies: DataFrame, n_copies: int, room: int, noise: Noise, dim: int, seed: int, rounds: int) -> DataFrame:
+    """(rank, v): the vectors of all words, averaged over the copies that met them. A copy learns from some packs, one after
+    the other, and holds only the words it meets or draws."""
+    packs = coded.drop("keys").join(copies, "pack")
+    stream = packs.select("copy", "pack", "n", "ranks", "at", "ends").withColumns(
+        {"rank": F.lit(None).cast("long"), "v": F.lit(None).cast("binary")})
+    learned = None
     for turn in range(rounds):
-        def train(batches, inner=inner, outer=outer, turn=turn):
-            model = SkipGrams(inner, outer, noise, [seed, turn, TaskContext.get().partitionId()])
-            for ids, doc in _steps(batches, known):
-                model.learn(ids, doc)
-            met = np.flatnonzero(model.met)
-            for at in np.split(met, np.flatnonzero(np.diff(met // BLOCK_WORDS)) + 1) if len(met) else []:
-                both = np.hstack([model.inner[at], model.outer[at]])
-                yield pa.RecordBatch.from_arrays([pa.array([int(at[0]) // BLOCK_WORDS]), pa.array(
-                    [at.astype(np.int64).tobytes()], pa.binary()), pa.array([both.tobytes()], pa.binary())], ["block", "at", "v"])
+        last = turn == rounds - 1
+        width = dim if last else 2 * dim
+        block = max(32, min(1_024, MEAN_BYTES // (4 * width * n_copies)))
+
+        def train(batches):
+            model, copy = None, None
+            for b in batches:
+                for (now, sent), rows in groupby(b.to_pylist(), lambda x: (x["copy"], x["v"] is not None)):
+                    if now != copy:
+                        if model:
+                            yield from model.blocks(block, last)
+                        model, copy = Copy(dim, room, seed, turn, now), now
+                    if sent:
+                        rows = sorted(rows, key=itemgetter("rank"))
+                        model.places(np.array([x["rank"] for x in rows]),
+                                     np.frombuffer(b"".join(x["v"] for x in rows), np.float32).reshape(-1, 2 * dim))
+                    else:
+                        for x in rows:
+                            model.learn_pack(Pack(x["ranks"], x["at"], x["ends"]), noise.draw(x["n"], turn, x["pack"]))
+            if model:
+                yield from model.blocks(block, last)
+            model = None
+            _give_back()
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            total, n = np.zeros((BLOCK_WORDS, 2 * dim)), np.zeros(BLOCK_WORDS)
+            total, n = np.zeros((block, width)), np.zeros(block)
             for at, v in zip(pdf["at"], pdf["v"]):
-                at = np.frombuffer(at, np.int64) % BLOCK_WORDS
-                total[at] += np.frombuffer(v, np.float32).reshape(-1, 2 * dim)
+                at = np.frombuffer(at, np.int64) % block
+                total[at] += np.frombuffer(v, np.float32).reshape(-1, width)
                 n[at] += 1
             at = np.flatnonzero(n)
             v = (total[at] / n[at, None]).astype(np.float32)
-            return pd.DataFrame({"at": [(at + pdf["block"].iloc[0] * BLOCK_WORDS).tobytes()], "v": [v.tobytes()]})
-
-        met = packed.mapInArrow(train, "block long, at binary, v binary").groupBy("block").applyInPandas(mean, "at binary, v binary")
-        inner, outer = inner.copy(), outer.copy()
-        for row in met.toLocalIterator():
-            at, both = np.frombuffer(row.at, np.int64), np.frombuffer(row.v, np.float32).reshape(-1, 2 * dim)
-            inner[at], outer[at] = both[:, :dim], both[:, dim:]
-
-    @F.arrow_udf("array<double>")
-    def unit(found: pa.Array) -> pa.Array:
-        at, here = _places(found.flatten(), known)
-        ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))
-        ends = np.concatenate([[0], np.cumsum(here)])[ends]
-        made = np.array([inner[x].sum(axis=0, dtype=float) for x in np.split(at[here], ends[:-1])])
-        made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-300)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * dim, pa.int32()), pa.array(made.ravel()))
+            return pd.DataFrame({"rank": at + pdf["block"].iloc[0] * block, "v": [x.tobytes() for x in v]})
+
+        def asked(batches):
+            for row in (x for b in batches for x in b.to_pylist()):
+                drawn = noise.draw(row["n"], turn, row["pack"])
+                ranks = np.union1d(np.cumsum(_opened(row["ranks"])), drawn)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ranks), row["copy"])), pa.array(ranks)], ["copy", "rank"])
+
+        whole = stream
+        if turn:  # what a copy needs of the round before comes first
+            needed = packs.select("copy", "pack", "n", "ranks").mapInArrow(asked, "copy long, rank long").distinct().join(learned, "rank")
+            whole = stream.unionByName(needed.withColumn("pack", F.lit(-1).cast("long")), allowMissingColumns=True)
+        met = (whole.repartition(n_copies, "copy").sortWithinPartitions("copy", "pack")
+               .mapInArrow(train, "block long, at binary, v binary"))
+        learned = materialize(met.groupBy("block").applyInPandas(mean, "rank long, v binary"), "vectors")
+    return learned
+
+
+def _pooled(coded: DataFrame, learned: DataFrame, head: np.ndarray, whole: bool) -> DataFrame:
+    """(k, v): the unit vectors of the texts that have a known word. Vectors of the first ranks are ``head``; of the
+    others, unless it is ``whole``, each pack gets those it needs."""
+    dim = head.shape[1]
+
+    def pool(row: dict, table: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        ends, key = _opened(row["ends"]), np.frombuffer(row["keys"], "V16")
+        made = np.array([table[x].sum(axis=0, dtype=float) for x in np.split(at, ends[:-1])])
+        fine = np.diff(ends, prepend=0) > 0
+        made = made[fine] / np.maximum(np.linalg.norm(made[fine], axis=1, keepdims=True), 1e-300)
+        edges = np.arange(len(made) + 1)
+        return pa.RecordBatch.from_arrays([_cut(key[fine], edges), pa.ListArray.from_arrays(
+            pa.array(edges * dim, pa.int32()), pa.array(made.ravel()))], ["k", "v"])
+
+    def held(batches):
+        for row in (x for b in batches for x in b.to_pylist()):
+            ranks = np.cumsum(_opened(row["ranks"]))
+            yield pool(row, head[ranks], _opened(row["at"]))
+
+    def sent(pack: pa.Table, rare: pa.Table) -> pa.Table:
+        row = pack.to_pylist()[0]
+        ranks = np.cumsum(_opened(row["ranks"]))
+        table = np.zeros((len(ranks), dim), np.float32)
+        n = np.searchsorted(ranks, len(head))
+        table[:n] = head[ranks[:n]]
+        table[np.searchsorted(ranks, rare["rank"].to_numpy())] = np.frombuffer(b"".join(rare["v"].to_pylist()), np.float32).reshape(-1, dim)
+        made = pool(row, table, _opened(row["at"]))
+        _give_back()
+        return pa.Table.from_batches([made])
+
+    def rare(batches):
+        for row in (x for b in batches for x in b.to_pylist()):
+            ranks = np.cumsum(_opened(row["ranks"]))
+            ranks = ranks[np.searchsorted(ranks, len(head)):]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ranks), row["pack"])), pa.array(ranks)], ["pack", "rank"])
+
+    schema = "k binary, v array<double>"
+    if whole:
+        return coded.select("ranks", "at", "ends", "keys").mapInArrow(held, schema)
+    asked = coded.select("pack", "ranks").mapInArrow(rare, "pack long, rank long").join(learned.where(F.col("rank") >= len(head)), "rank")
+    return coded.groupBy("pack").cogroup(asked.select("pack", "rank", "v").groupBy("pack")).applyInArrow(sent, schema)
+
+
+def word_vectors(docs: DataFrame, text: str = "text", dim: int = 64, least: int = 5, seed: int = 42, rounds: int = 1):
+    """A trained embedder: vectors of the words that ``docs`` hold ``least`` times, learned from all of them by
+    ``SkipGrams`` in copies (at most as many as the session shuffles, if these are small enough) that are averaged by word after
+    each round, mean-pooled and of unit length. It takes the place of ``embed_text``; texts without a known word give zeros.
+
+    No task and not the driver holds all words: a copy holds those of its texts, averages are made a block of
+    words at a time, and each pack of texts is sent its rare words' vectors. Rows get theirs by the digest of the text, so
+    ``docs`` have to be the same whenever they are read."""
+    spark = docs.sparkSession
+    packed = _packed(docs, text)
+    sizes = sorted(packed.select("pack", "n", "different").collect())
+    total, different = sum(r["n"] for r in sizes), sum(r["different"] for r in sizes)
+    ranked, often = _ranked(packed, least)
+    coded = _coded(packed, ranked)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    n_copies = max(1, min(len(sizes), max(parts, -(-total // COPY_WORDS), -(-different // COPY_DIFFERENT))))
+    key, before, dealt, room = _spread(spark, n_copies), 0, [], [0] * n_copies
+    for r in sizes:
+        at = (2 * before + r["n"]) * n_copies // (2 * total)
+        dealt.append((r["pack"], key[at]))
+        room[at] += r["different"] + -(-r["n"] // STEP_WORDS) * NOISE
+        before += r["n"]
+    copies = F.broadcast(spark.createDataFrame(dealt, "pack long, copy long"))
+    n = sum(x for _, x in often)
+    learned = _learned(coded, copies, n_copies, min(n, max(room)), Noise(often, seed), dim, seed, rounds)
+    head = np.zeros((min(n, HEAD_BYTES // (4 * dim)), dim), np.float32)
+    first = learned.where(F.col("rank") < len(head)).toArrow()
+    head[first["rank"].to_numpy()] = np.frombuffer(b"".join(first["v"].to_pylist()), np.float32).reshape(-1, dim)
+
+    own_text, zeros = text, F.array(*[F.lit(0.0)] * dim)
 
     def embed(rows: DataFrame, text: str = "text", dim: int = dim, out: str = "embedding") -> DataFrame:
-        return rows.withColumn(out, unit(F.coalesce(words(F.col(text)), F.array().cast("array<string>"))))
+        made = coded if rows is docs and text == own_text else _coded(_packed(rows, text), ranked)
+        found = materialize(_pooled(made, learned, head, len(head) == n).dropDuplicates(["k"]), "embeddings")
+        key = f"_k_{uuid.uuid4().hex[:8]}"
+        joined = rows.withColumn(key, _key(text)).join(found.toDF(key, f"{key}v"), key, "left")  # AQE splits a hot text
+        return joined.withColumn(out, F.coalesce(F.col(f"{key}v"), zeros)).select(*rows.columns, *[out] * (out not in rows.columns))
 
     return embed
 
